@@ -21,7 +21,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Rows below which a group takes the fences of its language, and a language those of the whole.
 SMALL = 200
 #: (measure, least spread, how many spreads above the median the fence is)
-FENCES = (("symbol_rate", 0.04, 5.0), ("capital_rate", 0.03, 5.0), ("mark_rate", 0.10, 5.0), ("dup_line_rate", 0.05, 5.0), ("repeat_rate", 0.03, 5.0), ("word_length", 0.5, 6.0))
+FENCES = (("symbol_rate", 0.04, 5.0), ("capital_rate", 0.03, 5.0), ("mark_rate", 0.17, 5.0), ("dup_line_rate", 0.10, 5.0), ("stutter_rate", 0.05, 5.0), ("word_length", 0.5, 6.0))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -48,10 +48,15 @@ def _repeated(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(_covered(F.sort_array(flagged)))
 
 
-def _windows(words: Column) -> Column:
-    """The hash of each window of WINDOW words."""
-    own = F.transform(words, lambda w: F.xxhash64(w))
-    return _let(own, lambda h: F.when(F.size(h) < WINDOW, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW))))))
+def _windows(h: Column) -> Column:
+    """The hash of each window of WINDOW words, from the words' own."""
+    return F.when(F.size(h) < WINDOW, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW)))))
+
+
+def _of_words(words: Column) -> Column:
+    """The number of words, of words in repeated windows, and of words equal to the one before."""
+    stutter = lambda h: F.size(F.filter(h, lambda x, i: F.coalesce(F.get(h, i - 1) == x, F.lit(False)))).cast("long")
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).cast("long").alias("n"), _let(_windows(h), _repeated).alias("r"), stutter(h).alias("s")))
 
 
 def _left(text: Column, pattern: str) -> Column:
@@ -69,7 +74,7 @@ def measured(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != "")
     base = docs.select(
         *kept,
-        _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _let(_windows(w), _repeated).alias("r"))).alias("_words"),
+        _of_words(words).alias("_words"),
         _left(text, r"[\x20\x09-\x0D]+").alias("word_chars"),
         _left(text, r"[^#*$%&|<>]+").alias("n_symbols"),
         _left(text, r"[^\p{Lu}]+").alias("_capitals"),
@@ -82,7 +87,7 @@ def measured(docs: DataFrame) -> DataFrame:
         *kept,
         n.alias("n_words"), "word_chars", "n_symbols", F.col("_lines.d").alias("n_dup_lines"), F.col("_words.r").alias("n_repeat_words"),
         share(F.col("n_symbols"), n).alias("symbol_rate"), share(F.col("_capitals"), F.col("word_chars")).alias("capital_rate"), share(F.col("_marks"), n).alias("mark_rate"),
-        share(F.col("_lines.d"), F.col("_lines.n")).alias("dup_line_rate"), share(F.col("_words.r"), n).alias("repeat_rate"), share(F.col("word_chars"), n).alias("word_length"),
+        share(F.col("_lines.d"), F.col("_lines.n")).alias("dup_line_rate"), share(F.col("_words.s"), n).alias("stutter_rate"), share(F.col("word_chars"), n).alias("word_length"),
     )
 
 

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm import byte_bpe, quality, secrets, shared, token_store
+from quizmill.llm import byte_bpe, decontaminate, neardup, quality, secrets, sharding, shared, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.clustered(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "secret_spans")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -25,6 +29,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.assign(documents(spark, sf_dir))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item or an edited copy of one, with the items."""
+    found = decontaminate.matched(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hits = found.where(F.size("benchmark_hits") > 0)
+    return hits.select("doc_id", F.transform("benchmark_hits", lambda h: h["item_id"]).alias("item_ids"), F.array_max(F.transform("benchmark_hits", lambda h: h["score"])).alias("best_score"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = byte_bpe.encode_decode(documents(spark, sf_dir).select("doc_id", "text"), offsets=False)
     return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -36,5 +52,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_quality_rules, op9_byte_bpe, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_secret_scan, op4_quality_rules, op6_sharding, op7_decontamination, op9_byte_bpe, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {}
