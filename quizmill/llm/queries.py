@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm import byte_bpe, decontaminate, neardup, quality, secrets, sharding, shared, token_store
+from quizmill.llm import byte_bpe, decontaminate, katz, neardup, quality, secrets, sharding, shared, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", F.transform("benchmark_hits", lambda h: h["item_id"]).alias("item_ids"), F.array_max(F.transform("benchmark_hits", lambda h: h["score"])).alias("best_score"))
 
 
+def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = byte_bpe.encode_decode(documents(spark, sf_dir).select("doc_id", "text"), offsets=False)
     return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -52,5 +56,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_secret_scan, op4_quality_rules, op6_sharding, op7_decontamination, op9_byte_bpe, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_secret_scan, op4_quality_rules, op6_sharding, op7_decontamination, op8_katz_backoff, op9_byte_bpe, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {}
