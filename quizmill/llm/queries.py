@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm import byte_bpe, decontaminate, katz, neardup, quality, secrets, sharding, shared, token_store
+from quizmill.llm import byte_bpe, decontaminate, katz, neardup, quality, repeats, secrets, sharding, shared, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.removed(documents(spark, sf_dir))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return rows.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.clustered(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -56,5 +62,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_secret_scan, op4_quality_rules, op6_sharding, op7_decontamination, op8_katz_backoff, op9_byte_bpe, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_repeat_removal, op2_near_dedup, op3_secret_scan, op4_quality_rules, op6_sharding, op7_decontamination, op8_katz_backoff, op9_byte_bpe, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {}
