@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm import byte_bpe, decontaminate, katz, neardup, quality, repeats, secrets, sharding, shared, token_store
+from quizmill.llm import byte_bpe, chat, decontaminate, katz, neardup, quality, repeats, secrets, sharding, shared, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op5_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every turn of every conversation: what the cheapest repair makes of it, and its piece of the rendering."""
+    return chat.repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.assign(documents(spark, sf_dir))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -62,5 +67,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_repeat_removal, op2_near_dedup, op3_secret_scan, op4_quality_rules, op6_sharding, op7_decontamination, op8_katz_backoff, op9_byte_bpe, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_repeat_removal, op2_near_dedup, op3_secret_scan, op4_quality_rules, op5_role_repair, op6_sharding, op7_decontamination, op8_katz_backoff, op9_byte_bpe, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {}
