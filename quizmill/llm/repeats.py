@@ -69,7 +69,7 @@ def least_places(h: np.ndarray, window: int) -> np.ndarray:
 
 
 def occurrences(buf: np.ndarray, ends: np.ndarray, width: int = WIDTH, seed: int = SEED):
-    """(text, hash, identity of the segment, first start, number of starts) of each least hash, starts within the text."""
+    """(text, hash, identity of the segment, first start, number of starts, the hash's place after the first start) of each least hash."""
     text = np.flatnonzero(np.diff(ends) >= width)
     h = gram_hashes(buf, seed)
     least = np.zeros(len(buf), np.int64)
@@ -90,7 +90,7 @@ def occurrences(buf: np.ndarray, ends: np.ndarray, width: int = WIDTH, seed: int
     for k in range(0, 2 * width, seed):
         x = np.minimum(lo + k, stop - seed)
         mark = textvec.mix(mark * U(0x9E3779B97F4A7C15) ^ h[x])
-    return owner[first], h[at[first]], mark, lo - ends[owner[first]], n
+    return owner[first], h[at[first]], mark, lo - ends[owner[first]], n, at[first] - lo
 
 
 def segment_limit(width: int = WIDTH, seed: int = SEED) -> int:
@@ -222,12 +222,12 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-SEGMENT = "key long, h long, sh long, off long, m long, n long, body binary"
+SEGMENT = "key long, h long, sh long, off long, p long, n long, body binary"
 
 
 def _cut(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Segments with their bytes, read from the document that stands for each class."""
-    wanted = classes.groupBy("one.doc_id", "one.text_key").agg(F.collect_list(F.struct("h", "sh", "m", F.col("one.lo").alias("lo"), F.col("one.n").alias("n"))).alias("cuts"))
+    wanted = classes.groupBy("one.doc_id", "one.text_key").agg(F.collect_list(F.struct("h", "sh", F.col("one.lo").alias("lo"), F.col("one.n").alias("n"), F.col("one.p").alias("p"))).alias("cuts"))
     wanted = wanted.withColumnsRenamed({"doc_id": "w_id", "text_key": "w_key"})
     found = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.w_id) & (docs.text_key == wanted.w_key)).select("text", "cuts")
 
@@ -235,14 +235,14 @@ def _cut(classes: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text, cuts in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes()
-                yield _segments([(c["h"], c["h"], c["sh"], 0, c["m"], c["n"], raw[c["lo"] : c["lo"] + c["n"] - 1 + WIDTH]) for c in cuts])
+                yield _segments([(c["h"], c["h"], c["sh"], 0, c["p"], c["n"], raw[c["lo"] : c["lo"] + c["n"] - 1 + WIDTH]) for c in cuts])
 
     return found.mapInArrow(run, SEGMENT).dropDuplicates(["h", "sh"])  # repeated rows give the same segments
 
 
 def _segments(rows) -> pa.RecordBatch:
     kinds = [pa.int64()] * 6 + [pa.binary()]
-    names = ["key", "h", "sh", "off", "m", "n", "body"]
+    names = ["key", "h", "sh", "off", "p", "n", "body"]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
 
 
@@ -252,12 +252,11 @@ def _split(segments: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for _, h, sh, off, m, n, body in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                for a in range(-(off % size), n, size):  # ranges begin at multiples of size, counted from the hash's place
+            for _, h, sh, off, p, n, body in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                for a in range(-((off - p) % size), n, size):  # ranges begin at multiples of size, counted from the hash's place
                     x, y = max(a, 0), min(a + size, n)
-                    part = body[x : y - 1 + WIDTH]
-                    core = hashlib.blake2b(body[y - 1 : x + WIDTH] + b"%d" % (y - x), digest_size=8).digest()
-                    rows.append((int.from_bytes(core, "little", signed=True), h, sh, off + x, m, y - x, part))
+                    core = hashlib.blake2b(body[a + size - 1 : a + WIDTH], digest_size=8).digest()  # also where the range lacks its first or last starts
+                    rows.append((int.from_bytes(core, "little", signed=True), h, sh, off + x, p, y - x, body[x : y - 1 + WIDTH]))
                 if len(rows) > 4096:
                     yield _segments(rows)
                     rows = []
@@ -307,12 +306,12 @@ def covered(docs: DataFrame, group: int = GROUP) -> DataFrame:
         for batch in batches:
             buf, ends = shared.rows_of(batch.column(2))
             for a, b in shared.slices(ends, SLICE):
-                owner, h, sh, lo, n = occurrences(buf[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+                owner, h, sh, lo, n, p = occurrences(buf[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
                 of = pa.array(owner + a)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sh.view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(lo), pa.array(n)], names=["h", "sh", "doc_id", "text_key", "lo", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sh.view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(lo), pa.array(n), pa.array(p)], names=["h", "sh", "doc_id", "text_key", "lo", "n", "p"])
 
-    found = shared.stored(docs.mapInArrow(find, "h long, sh long, doc_id long, text_key long, lo long, n long"), "occurrences")
-    classes = found.groupBy("h", "sh").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "text_key", "lo", "n")).alias("one"))
+    found = shared.stored(docs.mapInArrow(find, "h long, sh long, doc_id long, text_key long, lo long, n long, p long"), "occurrences")
+    classes = found.groupBy("h", "sh").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "text_key", "lo", "n", "p")).alias("one"))
     by_hash = found.groupBy("h").agg(F.count("*").alias("all"), F.approx_count_distinct("sh", 0.1).alias("wide"), F.min("sh").alias("x"), F.max("sh").alias("y")).where("all > 1")
     classes = shared.stored(classes.join(by_hash, "h"), "segments")
     full = classes.where("m > 1").select("h", "sh", F.lit(0).cast("long").alias("a"), (F.col("one.n") - 1).alias("b"))
