@@ -1,0 +1,4 @@
+"""All queries of the library but those of the subpackage llm."""
+
+from quizmill.plans import learner  # noqa: F401
+from quizmill.plans.registry import QUERIES, SQL  # noqa: F401
