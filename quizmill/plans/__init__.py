@@ -1,4 +1,4 @@
 """All queries of the library but those of the subpackage llm."""
 
-from quizmill.plans import access, bank, commerce, content, learner, planner  # noqa: F401
+from quizmill.plans import access, bank, commerce, content, learner, planner, streams  # noqa: F401
 from quizmill.plans.registry import QUERIES, SQL  # noqa: F401
