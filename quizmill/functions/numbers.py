@@ -35,7 +35,7 @@ def half_hours(seconds: Column) -> Column:
 
 def whole_days(until: Column, as_of: Column) -> Column:
     """Days between two dates, never below 0, null without a date."""
-    return F.greatest(F.lit(0), F.datediff(until, as_of)).cast("long")
+    return F.when(until.isNotNull(), F.greatest(F.lit(0), F.datediff(until, as_of))).cast("long")
 
 
 def clock(seconds: Column) -> Column:

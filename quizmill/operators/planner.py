@@ -138,7 +138,7 @@ def days_until(date: Column, as_of: str) -> Column:
 def planner_days_left(target: Column, as_of: str) -> Column:
     """Days from the moment to the target, begun days in full, never below 0."""
     gap = target.cast("timestamp").cast("double") - F.lit(as_of).cast("timestamp").cast("double")
-    return F.greatest(F.lit(0), F.ceil(gap / 86400)).cast("long")
+    return F.when(gap.isNotNull(), F.greatest(F.lit(0), F.ceil(gap / 86400))).cast("long")
 
 
 def months_of_study(hours: Column, per_week: Column) -> Column:

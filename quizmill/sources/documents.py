@@ -23,7 +23,7 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
 
 def bundle(spark: SparkSession, path: str) -> DataFrame:
     """Content bundles: files of one assignment to window.DATA. file, cards, questions, meta; unreadable files drop out."""
-    raw = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    raw = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     body = F.regexp_extract("value", r"window\.DATA = (\{[\s\S]*\});?\s*$", 1)
     return raw.where(body != "").select("file", F.from_json(body, BUNDLE).alias("d")).where("d is not null").select("file", "d.*")
 
@@ -42,7 +42,7 @@ def bank_or_sample(apps: DataFrame, banks_: DataFrame, samples: DataFrame) -> Da
 
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.col("value").alias("body"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("body"))
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
