@@ -22,6 +22,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 SMALL = 200
 #: (measure, least spread, how many spreads above the median the fence is)
 FENCES = (("symbol_rate", 0.04, 5.0), ("capital_rate", 0.03, 5.0), ("mark_rate", 0.17, 5.0), ("dup_line_rate", 0.10, 5.0), ("stutter_rate", 0.05, 5.0), ("word_length", 0.5, 6.0))
+#: What a single token may add to a short text's measures before it counts: signs, and code points of one long word.
+ROOM = (3.0, 40.0)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -128,7 +130,8 @@ def judged(docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
     limits = fences(table)
     beyond = F.lit(False)
     for m, _, _ in FENCES:
-        beyond = beyond | F.coalesce(F.col(m) > F.col(f"fence_{m}"), F.lit(False))
+        slack = F.lit(ROOM[m == "word_length"]) / F.greatest(F.col("n_words"), F.lit(1))
+        beyond = beyond | F.coalesce(F.col(m) > F.col(f"fence_{m}") + slack, F.lit(False))
     verdict = table.join(limits, table.lang.eqNullSafe(limits._lang) & table.source.eqNullSafe(limits._source), "left").drop("_lang", "_source")
     return verdict.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~beyond)
 
