@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizmill.llm import byte_bpe, chat, decontaminate, katz, neardup, quality, repeats, secrets, sharding, shared, token_store
+from quizmill.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +69,4 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_repeat_removal, op2_near_dedup, op3_secret_scan, op4_quality_rules, op5_role_repair, op6_sharding, op7_decontamination, op8_katz_backoff, op9_byte_bpe, op10_token_output)}
-ORACLE_SQL: dict[str, str] = {}
+
