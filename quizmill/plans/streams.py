@@ -24,8 +24,7 @@ def _folder(spark: SparkSession, name: str) -> str:
 def _read(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    parent, _, last = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if "/" not in last and not last.endswith(".parquet") else f"{parent}/{last}*")
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{path}*")  # a file or a folder of files
 
 
 def _run(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
