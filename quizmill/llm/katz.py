@@ -39,7 +39,7 @@ U = np.uint64
 TOP = 5
 END, START = U(0x51ED270B7A3F91C5), U(0x2545F4914F6CDD1D)
 #: Bytes of text whose tokens are counted together before they are sent, and bytes of text for each part.
-BATCH, PART = 12 << 20, 24 << 20
+BATCH, PART = 8 << 20, 12 << 20
 #: A second word with at least such a share of the tokens of the documents looked at is dealt by history. This moves work, not results.
 HOT_SHARE, HOT_DOCS = 1 / 256, 2000
 UNIT = 2.0**32
