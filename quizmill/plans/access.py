@@ -10,7 +10,12 @@ from quizmill.plans.registry import query
 from quizmill.sources import tables
 from quizmill.sources.tables import AS_OF
 
-NOW = F.expr(f"timestamp_ntz'{AS_OF}'")
+
+
+def now():
+    return F.expr(f"timestamp_ntz'{AS_OF}'")
+
+
 ACT = f"(tier='free' OR valid_until IS NULL OR valid_until>TIMESTAMP '{AS_OF}')"
 SCOPE = "CASE WHEN tier='all_access' THEN true WHEN tier<>'pro' THEN false ELSE coalesce(tier_app=slug,false) END"
 SLUG = "'app-'||(id%25)"
@@ -18,7 +23,7 @@ SLUG = "'app-'||(id%25)"
 
 def _asked(spark, d):
     p = tables.profiles(spark, d).withColumn("slug", F.concat(F.lit("app-"), F.col("id") % 25))
-    return p.withColumn("is_active", access.active(F.col("tier"), F.col("valid_until"), NOW))
+    return p.withColumn("is_active", access.active(F.col("tier"), F.col("valid_until"), now()))
 
 
 @query(f"SELECT id, {ACT} AND {SCOPE} AS server, {SCOPE} AS client, {ACT} AND tier<>'free' AND NOT {SCOPE} AS paid_elsewhere, tier='all_access' AND {ACT} AS all_access, tier='free' AS free FROM (SELECT *, {SLUG} AS slug FROM profiles)", "profiles")
@@ -38,7 +43,7 @@ def feature_gates(spark, d):
 
 @query("SELECT id, '{\"tier\":\"'||tier||'\",\"tier_app\":\"'||tier_app||'\",\"tier_valid_until\":'||coalesce('\"'||strftime(valid_until,'%Y-%m-%dT%H:%M:%S')||'\"','null')||',\"is_active\":'||CASE WHEN " + ACT + " THEN 'true' ELSE 'false' END||'}' AS record FROM profiles", "profiles")
 def tier_records(spark, d):
-    return access.tier_record(tables.profiles(spark, d), NOW)
+    return access.tier_record(tables.profiles(spark, d), now())
 
 
 @query("SELECT p_partkey AS id, regexp_full_match(replace(lower(p_name),' ','-'), '[a-z0-9][a-z0-9-]{0,63}') AS slug_ok, regexp_full_match('ebook_'||p_partkey, '(pro_[a-z0-9_]{1,40}|all_access|ebook_[a-z0-9_]{1,40})') AS key_ok FROM part")
