@@ -7,7 +7,8 @@ Jaccard estimate, corrected for registers that agree by chance, and the sizes tu
 sets decide. First each member of a bucket meets only the bucket's least member. Buckets that
 this leaves in several components are worked through in blocks: the members outside the least
 member's component meet all members, so no proposed pair between components goes untested, and
-the members of one component, however many, are never paired with each other.
+the members of one component, however many, are never paired with each other. Buckets with many pairs are decided where
+their members meet, with full sets in blocks of bounded size, and only links leave.
 
 A pair at the threshold shares no band with a chance of about 4e-7, more similar pairs with less.
 Null and empty texts have the empty set and are linked with nothing. Repeated rows are copies.
@@ -30,7 +31,8 @@ ROWS = 5
 BANDS = BUCKETS // ROWS
 REST = 57
 SLICE = 1 << 20
-BLOCK = 256
+#: Pairs of a bucket from which on its full sets are sent to one place, and bytes of them in one block.
+HEAVY, BLOCK_BYTES = 2000, 16 << 20
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 6.0
 U = np.uint64
@@ -109,7 +111,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def banded(classes: DataFrame) -> DataFrame:
-    """(key, c): for each band of a class's registers that isn't empty, its hash."""
+    """(key, band, c): for each band of a class's registers that isn't empty, its hash."""
 
     def run(batches):
         for batch in batches:
@@ -120,9 +122,9 @@ def banded(classes: DataFrame) -> DataFrame:
             for k in range(ROWS):
                 key = textvec.mix(key ^ (reg[:, :, k] * U(0xD6E8FEB86659FD93)))
             row, band = np.nonzero(reg.any(-1))
-            yield pa.RecordBatch.from_arrays([pa.array(key[row, band].view(np.int64)), batch.column(0).take(pa.array(row))], names=["key", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[row, band].view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(band.astype(np.int32))], names=["key", "c", "band"])
 
-    return classes.select("c", "registers").mapInArrow(run, "key long, c binary")
+    return classes.select("c", "registers").mapInArrow(run, "key long, c binary, band int")
 
 
 def _pairs_possible(pairs: DataFrame, percent: int) -> DataFrame:
@@ -146,12 +148,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ok = []
-            for s, t in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (s, t))
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int((y[at] == x).sum())
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
+            ok = [_share(np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64), percent) for s, t in zip(batch.column(2), batch.column(3), strict=True)]
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
@@ -194,46 +191,92 @@ def components(links: DataFrame) -> DataFrame:
     return labels if labels is not None else spark.createDataFrame([], "c binary, root binary")
 
 
-def _across(bands: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Possible pairs between components within buckets that hold several."""
-    known = bands.join(labels, "c", "left").withColumn("label", F.coalesce("root", "c")).select("key", "c", "label")
-    mixed = known.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("c", "label")).alias("least"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
-    rows = shared.stored(known.join(mixed.select("key", "n", F.col("least.label").alias("main")), "key"), "mixed")
-    minor = rows.where("label <> main").groupBy("key").agg(F.count("*").alias("n_minor"))
-    rows = rows.join(minor, "key").join(classes.select("c", "n_shingles", "registers"), "c")
-    wide, tall = F.ceil(F.col("n") / (2 * BLOCK)).cast("int"), F.ceil(F.col("n_minor") / BLOCK).cast("int")
-    part = lambda n: F.pmod(F.xxhash64("c"), n).cast("int")
-    ask = rows.where("label <> main").select("key", part(tall).alias("i"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("j"), F.lit(0).alias("side"), "c", "label", "n_shingles", "registers")
-    all_ = rows.select("key", F.explode(F.sequence(F.lit(0), tall - 1)).alias("i"), part(wide).alias("j"), F.lit(1).alias("side"), "c", "label", "n_shingles", "registers")
-
-    def compare(group):
-        n = np.array([r[2] for r in group])
-        side = np.array([r[0] for r in group])
-        reg = np.frombuffer(b"".join(r[3] for r in group), np.uint16).reshape(-1, BUCKETS)
-        names = {x: k for k, x in enumerate({r[1] for r in group})}
-        label = np.array([names[r[1]] for r in group])
-        t = np.flatnonzero(side == 1)
-        for q in np.flatnonzero(side == 0).tolist():
-            t_q = t[(label[t] != label[q]) & (100 * np.minimum(n[t], n[q]) >= percent * np.maximum(n[t], n[q]))]
-            if len(t_q):
-                ok = may_link(reg[t_q], reg[q][None, :], n[t_q], np.full(len(t_q), n[q]), percent)
-                for k in t_q[ok].tolist():
-                    yield tuple(sorted((group[q][4], group[k][4])))
+def _first_band(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first band in which rows of registers agree and aren't empty."""
+    shape = (-1, BANDS, ROWS)
+    a, b = x[..., : BANDS * ROWS].reshape(shape), y[..., : BANDS * ROWS].reshape(shape)
+    return ((a == b).all(-1) & (a > 0).any(-1)).argmax(-1)
+
+
+def _share(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _compare(group, percent: int, full: bool):
+    """Pairs of one bucket, or of two blocks of it, between components: possible ones, or with full sets linked ones.
+
+    group: (block, minor, c, label, n, registers, band, set). Of two members that meet in several
+    buckets, the first band's decides. With full sets, what is linked here counts as one component.
+    """
+    n = np.array([r[4] for r in group])
+    block = np.array([r[0] for r in group])
+    minor = np.array([r[1] for r in group])
+    reg = np.frombuffer(b"".join(r[5] for r in group), np.uint16).reshape(-1, BUCKETS)
+    names = {x: k for k, x in enumerate({r[3] for r in group})}
+    label = np.array([names[r[3]] for r in group])
+    place = np.arange(len(group))
+    band, two = group[0][6], block.min() != block.max()
+    for q in np.flatnonzero(minor).tolist():
+        other = (label != label[q]) & (~minor | (place > q)) & (100 * np.minimum(n, n[q]) >= percent * np.maximum(n, n[q]))
+        if two:
+            other &= block != block[q]
+        t = np.flatnonzero(other)
+        if not len(t):
+            continue
+        t = t[may_link(reg[t], reg[q][None, :], n[t], np.full(len(t), n[q]), percent)]
+        t = t[_first_band(reg[t], np.broadcast_to(reg[q], (len(t), BUCKETS))) == band] if len(t) else t
+        for k in t.tolist():
+            if full:
+                if label[k] == label[q] or not _share(np.frombuffer(group[q][7], np.uint64), np.frombuffer(group[k][7], np.uint64), percent):
+                    continue
+                label[label == label[k]] = label[q]
+            yield tuple(sorted((group[q][2], group[k][2])))
+
+
+def _meet(rows: DataFrame, percent: int, full: bool) -> DataFrame:
+    """_compare for each (key, i, j). rows: key, i, j, block, minor, c, label, n_shingles, registers, band, s."""
 
     def run(batches):
         import itertools
 
         def lines():
             for batch in batches:
-                yield from zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True)
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
         for _, group in itertools.groupby(lines(), key=lambda r: r[:3]):
-            found = list({*compare([(r[3], r[5], r[6], r[7], r[4]) for r in group])})
+            found = list(_compare([r[3:] for r in group], percent, full))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["u", "v"])
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.select("key", "i", "j", "block", "minor", "c", "label", "n_shingles", "registers", "band", "s").mapInArrow(run, "u binary, v binary")
+
+
+def _mixed(bands: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with what a comparison needs; ``heavy``: the bucket has many pairs."""
+    known = bands.join(labels, "c", "left").withColumn("label", F.coalesce("root", "c")).select("key", "band", "c", "label")
+    mixed = known.groupBy("key").agg(F.min(F.struct("c", "label")).alias("least"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+    rows = known.join(mixed.select("key", F.col("least.label").alias("main")), "key").withColumn("minor", F.col("label") != F.col("main"))
+    rows = rows.join(classes.select("c", "n_shingles", "registers", "one"), "c")
+    size = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if("minor").alias("n_minor"), F.sum("n_shingles").alias("words"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("words") * 8 / BLOCK_BYTES)).cast("int")
+    return rows.join(size.select("key", (F.col("n") * F.col("n_minor") > HEAVY).alias("heavy"), blocks.alias("blocks")), "key")
+
 
-    dealt = ask.unionAll(all_).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select("key", "i", "j", "side", "c", "label", "n_shingles", "registers").mapInArrow(run, "u binary, v binary").distinct()
+def _across(mixed: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(possible pairs of light buckets, linked pairs of heavy ones), all between components."""
+    zero = F.lit(0)
+    light = mixed.where("not heavy").select("*", zero.alias("i"), zero.alias("j"), zero.alias("block"), F.lit(None).cast("binary").alias("s"))
+    possible = shared.stored(_meet(light, percent, False).distinct(), "across")
+    heavy = mixed.where("heavy")
+    wanted = heavy.groupBy("c").agg(F.first("one").alias("one")).select("c", "one.doc_id", "one.text_key")
+    more = shared.stored(full_sets(docs, wanted.join(sets.select("c"), "c", "left_anti")), "sets")
+    heavy = heavy.join(sets.unionAll(more), "c").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    # each pair of blocks is a group; a bucket of one block is sent once
+    met = heavy.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return possible, shared.stored(_meet(met, percent, True).distinct(), "links")
 
 
 def clustered(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -255,13 +298,14 @@ def clustered(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = shared.stored(full_sets(docs, wanted(stars)), "sets")
     links = shared.stored(_verified(stars, sets, percent), "links")
     labels = components(links)
-    across = shared.stored(_across(bands.select("key", "c"), labels, classes, percent).join(stars, ["u", "v"], "left_anti"), "across")
-    if not across.isEmpty():
-        missing = wanted(across).join(sets.select("c"), "c", "left_anti")
-        more = shared.stored(full_sets(docs, missing), "sets")
-        new = shared.stored(_verified(across, sets.unionAll(more), percent), "links")
-        if not new.isEmpty():
-            labels = components(links.unionAll(new))
+    mixed = shared.stored(_mixed(bands.select("key", "band", "c"), labels, classes), "mixed")
+    possible, found = _across(mixed, sets, docs, percent)
+    possible = shared.stored(possible.join(stars, ["u", "v"], "left_anti"), "across")
+    missing = wanted(possible).join(sets.select("c"), "c", "left_anti")
+    more = sets.unionAll(shared.stored(full_sets(docs, missing), "sets"))
+    new = shared.stored(_verified(possible, more, percent).unionAll(found), "links")
+    if not new.isEmpty():
+        labels = components(links.unionAll(new))
     rooted = classes.select("c", "least_id").join(labels, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_class = shared.stored(rooted.join(least, "root").select("c", "component_id"), "components")
@@ -277,8 +321,9 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     from pyspark.sql.window import Window
 
-    flags = clustered(docs, percent).where("kept").select(F.col("doc_id").alias("_k_id"), F.col("text_key").alias("_k_text")).distinct()
-    rows = docs.withColumn("_k_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("_k_doc", F.col("doc_id").cast("long"))
-    found = rows.join(flags, rows._k_doc.eqNullSafe(flags._k_id) & (rows._k_key == flags._k_text), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_k_doc", "_k_key").orderBy(F.lit(0)))
-    return found.withColumn("_k_row", first).where("_k_row = 1").select(*docs.columns)
+    keys = ["_k_doc", "_k_null", "_k_key"]  # plain columns without nulls: join and numbering share one exchange
+    flags = clustered(docs, percent).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_k_doc"), F.col("doc_id").isNull().alias("_k_null"), F.col("text_key").alias("_k_key")).distinct()
+    number = F.col("doc_id").cast("long")
+    rows = docs.select("*", F.coalesce(number, F.lit(0)).alias("_k_doc"), number.isNull().alias("_k_null"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_k_key"))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    return rows.join(flags, keys, "left_semi").withColumn("_k_row", first).where("_k_row = 1").select(*docs.columns)

@@ -377,3 +377,22 @@ def test_pipeline(spark, write_table, folder):
     assert 8 not in result or WORDS  # document 8 starts with a benchmark item in one of its two texts
     assert 100 in result and not any(i in result for i in range(101, 130))
     assert corpus_pipeline.run(spark, folder).where("text like '%AKIAABC%'").count() == 0
+
+
+@pytest.mark.parametrize(("heavy", "size"), [(0, 16 << 20), (0, 4000), (10**9, 16 << 20)])
+def test_op2_heavy_and_light_buckets_agree(spark, monkeypatch, heavy, size):
+    import random
+
+    monkeypatch.setattr(neardup, "HEAVY", heavy)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", size)
+    r = random.Random(9)
+    base = prose(40, 160).split()
+    rows = []
+    for k in range(50):  # copies with a few edits each: some are linked, most only nearly
+        words = list(base)
+        for _ in range(r.randint(1, 4)):
+            words[r.randrange(160)] = f"edit{k}x{r.random()}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(x.doc_id, x.n_shingles, x.component_id, x.kept) for x in neardup.clustered(docs).collect()]
+    assert expect(got) == expect(linked(rows))
