@@ -83,7 +83,8 @@ def estimate(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) ->
     """Jaccard estimates of rows of registers, corrected for chance agreement, and how many registers they rest on."""
     filled = ((x > 0) | (y > 0)).sum(-1)
     same = ((x == y) & (x > 0)).sum(-1)
-    by_chance = chance(n_x, n_y)
+    pair, back = np.unique(np.asarray(n_x, np.int64) << 31 | np.asarray(n_y, np.int64), return_inverse=True)  # few sizes, many pairs
+    by_chance = chance(pair >> 31, pair & ((1 << 31) - 1))[back]
     return (same / np.maximum(filled, 1) - by_chance) / (1 - by_chance), filled
 
 
