@@ -346,7 +346,7 @@ def scores(docs: DataFrame, held_out, folder: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[a : a + 256], strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["kind", "key", "block"])
 
     asked = rows.mapInArrow(ask, "part int, uid long, block binary, info boolean")
-    dealt = asked.repartition(parts, "part").sortWithinPartitions("part", "uid")
+    dealt = asked.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "uid")  # one part a task
     dealt.mapInArrow(count, "kind string, key long, block binary").write.partitionBy("kind").option("compression", "none").parquet(folder)
     model = spark.read.schema("key long, block binary, kind string").parquet(folder)
 
@@ -371,7 +371,7 @@ def scores(docs: DataFrame, held_out, folder: str | None = None) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array(["tail"] * len(out)), pa.array([b for _, b in out], pa.binary())], names=["key", "kind", "block"])
 
-    tails = model.where("kind in ('histories', 'open')").select("key", "kind", "block").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(weigh, "key long, kind string, block binary")
+    tails = model.where("kind in ('histories', 'open')").select("key", "kind", "block").repartitionById(parts, F.col("key").cast("int")).sortWithinPartitions("key").mapInArrow(weigh, "key long, kind string, block binary")
     of_texts = model.where("kind in ('info', 'texts')").select("key", "kind", "block").unionAll(tails)
 
     def close(batches):
