@@ -22,6 +22,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 SMALL = 200
 #: (measure, least spread, how many spreads above the median the fence is)
 FENCES = (("symbol_rate", 0.04, 5.0), ("capital_rate", 0.03, 5.0), ("mark_rate", 0.17, 5.0), ("dup_line_rate", 0.10, 5.0), ("stutter_rate", 0.05, 5.0), ("word_length", 0.5, 6.0))
+#: Groups up to which all fences, of about 100 bytes each, are sent to every task.
+SENT = 50_000
 #: What a single token may add to a short text's measures before it counts: signs, and code points of one long word.
 ROOM = (3.0, 40.0)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -127,7 +129,9 @@ def judged(docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
         if c not in docs.columns:
             docs = docs.withColumn(c, F.lit(None).cast("string"))
     table = stored_measures(docs, keep)
-    limits = fences(table)
+    limits = shared.stored(fences(table), "fences")
+    if limits.count() <= SENT:
+        limits = F.broadcast(limits)  # else both sides are dealt by language and source, and Spark splits large groups
     beyond = F.lit(False)
     for m, _, _ in FENCES:
         slack = F.lit(ROOM[m == "word_length"]) / F.greatest(F.col("n_words"), F.lit(1))
