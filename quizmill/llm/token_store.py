@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -33,6 +34,10 @@ TOKENIZER = "word_bpe_49k.json"
 MAGIC = b"QMTOKEN1"
 NO_ID = -(2**63)
 SLICE = 1 << 20
+#: Words on which the tokenizer's normal form is plain lower case, what its pattern cuts them into, and its sign for each byte that has none.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))}
 #: The dictionary is trained on so many documents at most, the ones whose hashes are lowest, and so many bytes of each.
 TRAIN_DOCS, TRAIN_BYTES, DICT_BYTES = 1000, 4096, 64 << 10
 _ENTRY = np.dtype([("doc_id", "<i8"), ("at", "<i8"), ("length", "<i8"), ("ids", "<i8")])
@@ -47,8 +52,18 @@ class WordCodec:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
 
+        model = tokenizer.model
+
         def compute(new: list[bytes]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)]
+            """Words of plain Latin letters and ASCII signs go straight to the library's merges; others go all its way."""
+            out: list[list[int]] = []
+            for w in new:
+                text = w.decode("utf-8")
+                if PLAIN.fullmatch(text):
+                    out.append([t.id for piece in PIECES.findall(text.lower()) for t in model.tokenize(piece.encode("utf-8").decode("latin-1").translate(BYTE_SIGNS))])
+                else:
+                    out.append(tokenizer.encode(text, add_special_tokens=False).ids)
+            return out
 
         self.cache = SliceCache(compute)
 
