@@ -122,7 +122,7 @@ class SliceCache:
     at most ``most`` slices; beyond that it starts anew, which costs time and never changes ids.
     """
 
-    def __init__(self, compute, most: int = 200_000):
+    def __init__(self, compute, most: int = 800_000):
         self.compute, self.most, self.known = compute, most, {}
 
     def ids(self, buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

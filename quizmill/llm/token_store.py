@@ -54,15 +54,23 @@ class WordCodec:
 
         model = tokenizer.model
 
+        @functools.lru_cache(100_000)
+        def piece(text: str) -> list[int]:
+            return [t.id for t in model.tokenize(text if text.isascii() else text.encode("utf-8").decode("latin-1").translate(BYTE_SIGNS))]
+
         def compute(new: list[bytes]) -> list[list[int]]:
             """Words of plain Latin letters and ASCII signs go straight to the library's merges; others go all its way."""
             out: list[list[int]] = []
             for w in new:
                 text = w.decode("utf-8")
-                if PLAIN.fullmatch(text):
-                    out.append([t.id for piece in PIECES.findall(text.lower()) for t in model.tokenize(piece.encode("utf-8").decode("latin-1").translate(BYTE_SIGNS))])
-                else:
+                if not PLAIN.fullmatch(text):
                     out.append(tokenizer.encode(text, add_special_tokens=False).ids)
+                    continue
+                text = text.lower()
+                if text.isalpha():
+                    out.append(piece(text))
+                else:
+                    out.append([i for part in PIECES.findall(text) for i in piece(part)])
             return out
 
         self.cache = SliceCache(compute)
@@ -148,7 +156,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         name = f"tokens-{TaskContext.get().partitionId():06d}.qmt"
         temporary = f"{path}/.{name}-{uuid.uuid4().hex}"
         known = _dictionary(folder)
-        packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(known) if known else None)
+        shared_words = zstandard.ZstdCompressionDict(known) if known else None
+        if shared_words is not None:
+            shared_words.precompute_compress(level=level)  # else each frame would digest the dictionary anew
+        packer = zstandard.ZstdCompressor(level=level, dict_data=shared_words)
         entries, at, crc, least, most = [], len(MAGIC) + 32, 0, None, None
         with where.open_output_stream(temporary) as f:
             f.write(MAGIC + mark)
