@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quizmill.llm import byte_bpe, decontaminate, neardup, quality, secrets, shared
 
 SECRET = "<|secret|>"
+#: Documents whose sets of 5-word shingles have this Jaccard or more are near copies.
+NEAR_PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return neardup.deduplicated(docs)
+    return neardup.deduplicated(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A document's set holds the hashes of its distinct 5-word shingles. Its sketch has 128 registers: in
 the bucket that a hash's top bits name, the leading zeros of the least remaining hash and the ten bits
-after them. Equal sets are one class from the start. Bands of five registers propose pairs; the
+after them. Equal sets are one class from the start. Bands of registers propose pairs; the
 Jaccard estimate, corrected for registers that agree by chance, and the sizes turn most away; full
 sets decide. First each member of a bucket meets only the bucket's least member. Buckets that
 this leaves in several components are worked through in blocks: the members outside the least
@@ -10,7 +10,8 @@ member's component meet all members, so no proposed pair between components goes
 the members of one component, however many, are never paired with each other. Buckets with many pairs are decided where
 their members meet, with full sets in blocks of bounded size, and only links leave.
 
-A pair at the threshold shares no band with a chance of about 4e-7, more similar pairs with less.
+A band has as many registers as let a pair at the threshold share none with a chance of at most 1e-6:
+five at 85 % (4e-7), four at 80 % (5e-8). More similar pairs are missed with less.
 Null and empty texts have the empty set and are linked with nothing. Repeated rows are copies.
 The least doc_id of a component ignores null ids.
 """
@@ -27,8 +28,8 @@ from quizmill.llm import shared, textvec
 SHINGLE = 5
 PERCENT = 85
 BUCKETS, MANTISSA = 128, 10
-ROWS = 5
-BANDS = BUCKETS // ROWS
+#: The chance with which a pair at the threshold may share no band.
+MISS = 1e-6
 REST = 57
 SLICE = 1 << 20
 #: Pairs of a bucket from which on its full sets are sent to one place, and bytes of them in one block.
@@ -36,7 +37,12 @@ HEAVY, BLOCK_BYTES = 2000, 16 << 20
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 6.0
 U = np.uint64
-_SALTS = textvec.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
+_SALTS = textvec.mix(np.arange(1, BUCKETS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
+
+
+def band_rows(percent: int) -> int:
+    """The most registers of a band with which a pair at the threshold is missed with a chance of MISS or less."""
+    return max((r for r in range(1, BUCKETS + 1) if (1 - (percent / 100) ** r) ** (BUCKETS // r) <= MISS), default=1)
 
 
 def shingle_sets(buf: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
@@ -111,16 +117,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, c binary, registers binary")
 
 
-def banded(classes: DataFrame) -> DataFrame:
-    """(key, band, c): for each band of a class's registers that isn't empty, its hash."""
+def banded(classes: DataFrame, size: int) -> DataFrame:
+    """(key, band, c): for each band of ``size`` of a class's registers that isn't empty, its hash."""
+    n = BUCKETS // size
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            reg = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = np.broadcast_to(_SALTS, reg.shape[:2]).copy()
-            for k in range(ROWS):
+            reg = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS)[:, : n * size].reshape(-1, n, size).astype(np.uint64)
+            key = np.broadcast_to(_SALTS[:n], reg.shape[:2]).copy()
+            for k in range(size):
                 key = textvec.mix(key ^ (reg[:, :, k] * U(0xD6E8FEB86659FD93)))
             row, band = np.nonzero(reg.any(-1))
             yield pa.RecordBatch.from_arrays([pa.array(key[row, band].view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(band.astype(np.int32))], names=["key", "c", "band"])
@@ -192,10 +199,10 @@ def components(links: DataFrame) -> DataFrame:
     return labels if labels is not None else spark.createDataFrame([], "c binary, root binary")
 
 
-def _first_band(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The first band in which rows of registers agree and aren't empty."""
-    shape = (-1, BANDS, ROWS)
-    a, b = x[..., : BANDS * ROWS].reshape(shape), y[..., : BANDS * ROWS].reshape(shape)
+def _first_band(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """The first band of ``size`` registers in which rows of registers agree and aren't empty."""
+    shape = (-1, BUCKETS // size, size)
+    a, b = (z[..., : shape[1] * size].reshape(shape) for z in (x, y))
     return ((a == b).all(-1) & (a > 0).any(-1)).argmax(-1)
 
 
@@ -218,7 +225,7 @@ def _compare(group, percent: int, full: bool):
     names = {x: k for k, x in enumerate({r[3] for r in group})}
     label = np.array([names[r[3]] for r in group])
     place = np.arange(len(group))
-    band, two = group[0][6], block.min() != block.max()
+    band, size, two = group[0][6], band_rows(percent), block.min() != block.max()
     for q in np.flatnonzero(minor).tolist():
         other = (label != label[q]) & (~minor | (place > q)) & (100 * np.minimum(n, n[q]) >= percent * np.maximum(n, n[q]))
         if two:
@@ -227,7 +234,7 @@ def _compare(group, percent: int, full: bool):
         if not len(t):
             continue
         t = t[may_link(reg[t], reg[q][None, :], n[t], np.full(len(t), n[q]), percent)]
-        t = t[_first_band(reg[t], np.broadcast_to(reg[q], (len(t), BUCKETS))) == band] if len(t) else t
+        t = t[_first_band(reg[t], np.broadcast_to(reg[q], (len(t), BUCKETS)), size) == band] if len(t) else t
         for k in t.tolist():
             if full:
                 if label[k] == label[q] or not _share(np.frombuffer(group[q][7], np.uint64), np.frombuffer(group[k][7], np.uint64), percent):
@@ -285,7 +292,7 @@ def clustered(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     prints = shared.stored(fingerprints(docs), "fingerprints")
     sets_of = prints.where("c is not null")
     classes = shared.stored(sets_of.groupBy("c").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
-    bands = banded(classes)
+    bands = banded(classes, band_rows(percent))
     buckets = bands.groupBy("key").agg(F.min("c").alias("u"), F.count("*").alias("n")).where("n > 1")
     bands = shared.stored(bands.join(buckets.select("key", "u"), "key"), "bands")
     side = lambda x: classes.select(F.col("c").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))

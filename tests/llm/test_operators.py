@@ -396,3 +396,28 @@ def test_op2_heavy_and_light_buckets_agree(spark, monkeypatch, heavy, size):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(x.doc_id, x.n_shingles, x.component_id, x.kept) for x in neardup.clustered(docs).collect()]
     assert expect(got) == expect(linked(rows))
+
+
+def test_pipeline_near_dedup_from_80_percent(spark):
+    import random
+
+    import corpus_pipeline
+
+    r = random.Random(4)
+    rows, between = [], 0
+    for k in range(60):  # a text and a copy with some words changed
+        base = prose(3000 + k, 200).split()
+        words = list(base)
+        for j in range(r.randint(2, 6)):
+            words[r.randrange(200)] = f"edit{k}x{j}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(words))]
+    kept = set()
+    for (a, x), (b, y) in zip(rows[::2], rows[1::2], strict=True):
+        x, y = shingles(x), shingles(y)
+        share = len(x & y) / len(x | y)
+        between += 0.8 <= share < 0.85
+        kept |= {a} if share >= 0.8 else {a, b}
+    assert between >= 5 and len(kept) > 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {d.doc_id for d in corpus_pipeline.near_dedup(spark, docs, "").collect()} == kept
+    assert [neardup.band_rows(p) for p in (85, 80)] == [5, 4]
