@@ -2,9 +2,10 @@
 
 Items are taken in blocks whose n-grams are few enough to be sent to every task; each block is
 looked up in all documents. A first pass counts in how many documents each n-gram occurs; an item's
-seeds are its rare n-grams, rare against the item's own others, so an item that leaked into
-a third of the corpus keeps its seeds. A second pass aligns the item with the words around each
-seed, so edited copies score by what they share.
+seeds are its rare n-grams, rare against the item's own others that occur, and the rarest that occur
+of each stretch of it, so an item that leaked into a third of the corpus, edited or not, keeps its
+seeds. A second pass aligns the item with the words around each seed, and around n-grams of which
+a document has several close to each other, so edited copies score by what they share.
 
 Words are lower-cased (A-Z). A null text counts as empty and matches nothing; items without words
 match nothing; items with fewer words than an n-gram are one shorter n-gram. Repeated documents
@@ -25,8 +26,8 @@ GRAM = 4
 SLICE = 1 << 20
 #: Bytes of item texts in a block; about 16 MB of lookup tables go to each task.
 BLOCK_BYTES = 4 << 20
-#: A seed occurs in at most so many documents, or in at most so many times those of the item's lower quartile.
-RARE_DOCS, RARE_TIMES = 40, 4.0
+#: A seed occurs in at most so many documents, or in at most so many times those of the lower quartile of the item's n-grams that occur, or is the rarest of a stretch of so many places.
+RARE_DOCS, RARE_TIMES, STRETCH = 40, 4.0, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.4
 
@@ -85,8 +86,8 @@ class Items:
         return self._mask
 
 
-def rare_seeds(items: Items, docs_with: np.ndarray) -> np.ndarray:
-    """For each entry (n-gram of an item): whether it is a seed of that item."""
+def rare_seeds(items: Items, docs_with: np.ndarray, threshold: float = THRESHOLD, n: int = GRAM) -> np.ndarray:
+    """For each entry (n-gram of an item): whether it is a seed of that item. Where one n-gram alone reaches the threshold, all are."""
     df = np.repeat(docs_with, items.count)
     out = np.zeros(len(df), bool)
     order = np.argsort(items.item, kind="stable")
@@ -94,7 +95,16 @@ def rare_seeds(items: Items, docs_with: np.ndarray) -> np.ndarray:
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if a < b:
             own = order[a:b]
-            out[own] = df[own] <= max(RARE_DOCS, RARE_TIMES * np.quantile(df[own], 0.25))
+            own = own[df[own] > 0]
+            if not len(own):
+                continue
+            if n >= threshold * len(items.words_of(items.item[own[0]])):
+                out[own] = True
+                continue
+            stretch = items.at[own] // STRETCH
+            least = np.full(stretch.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, stretch, df[own])
+            out[own] = (df[own] <= max(RARE_DOCS, RARE_TIMES * np.quantile(df[own], 0.25))) | (df[own] == least[stretch])
     return out
 
 
@@ -170,7 +180,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
         docs_with = np.zeros(len(items.unique), np.int64)
         for r in counted.toLocalIterator():  # one number for each n-gram of the block
             docs_with[r.gram] = r.docs
-        seeds = spark.sparkContext.broadcast(rare_seeds(items, docs_with))
+        seeds = spark.sparkContext.broadcast(rare_seeds(items, docs_with, threshold, n))
         names = out.columns
         out = out.withColumn("text", F.col("text").cast("string")).mapInArrow(_aligner(sent, seeds, threshold, names), out.withColumn("text", F.col("text").cast("string")).schema)
     return out
@@ -204,30 +214,34 @@ def _counter(sent):
 def _aligner(sent, seeds, threshold, names):
     def run(batches):
         items, seed = sent.value, seeds.value
-        live = np.add.reduceat(seed.astype(np.int64), items.first) > 0
         for batch in batches:
             old = batch.column(batch.schema.get_field_index("benchmark_hits")).to_pylist()
             for a, b, word, before in _texts(batch):
                 which, where = items.lookup(word, before)
-                keep = live[which]
-                which, where = which[keep], where[keep]
+                size = items.count[which]
+                entry = textvec.ragged(items.first[which], size)
+                where = np.repeat(where, size)
                 doc = np.searchsorted(before, where, "right") - 1
-                for d in np.unique(doc).tolist():
-                    own = doc == d
-                    size = items.count[which[own]]
-                    entry = textvec.ragged(items.first[which[own]], size)
-                    at = np.repeat(where[own] - before[d], size)
-                    at, entry = at[seed[entry]], entry[seed[entry]]
+                order = np.lexsort((where, items.item[entry], doc))
+                entry, where, doc = entry[order], where[order], doc[order]
+                k = items.item[entry]
+                first = np.flatnonzero(np.diff(doc, prepend=-1).astype(bool) | np.diff(k, prepend=-1).astype(bool))
+                several = np.diff(np.append(first, len(entry))) > 1
+                live = several | (np.add.reduceat(seed[entry].astype(np.int64), first) > 0) if len(first) else several
+                ends = np.append(first[1:], len(entry))
+                for x, y in zip(first[live].tolist(), ends[live].tolist(), strict=True):
+                    d, target = int(doc[x]), items.words_of(k[x])
                     text = word[before[d] : before[d + 1]]
-                    for k in np.unique(items.item[entry]).tolist():
-                        mine = items.item[entry] == k
-                        target = items.words_of(k)
-                        best = (0.0, 0, 0)
-                        for lo, hi in passages(at[mine], items.at[entry[mine]], len(target), len(text)):
-                            score, x, y = align(target, text[lo:hi])
-                            best = max(best, (score / (MATCH * len(target)), lo + x, lo + y))
-                        if best[0] >= threshold:
-                            old[a + d] = [*old[a + d], {"item_id": items.ids[k], "score": best[0], "first_word": best[1], "end_word": best[2]}]
+                    best = (0.0, 0, 0)
+                    at, own = where[x:y] - before[d], entry[x:y]
+                    for lo, hi in passages(at, items.at[own], len(target), len(text)):
+                        here = (at >= lo) & (at < hi)
+                        if not seed[own[here]].any() and len(np.unique(at[here])) < 2:
+                            continue
+                        score, i, j = align(target, text[lo:hi])
+                        best = max(best, (score / (MATCH * len(target)), lo + i, lo + j))
+                    if best[0] >= threshold:
+                        old[a + d] = [*old[a + d], {"item_id": items.ids[k[x]], "score": best[0], "first_word": best[1], "end_word": best[2]}]
             yield shared.with_columns(batch, {"benchmark_hits": pa.array(old, _ARROW)}, names)
 
     return run

@@ -421,3 +421,24 @@ def test_pipeline_near_dedup_from_80_percent(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {d.doc_id for d in corpus_pipeline.near_dedup(spark, docs, "").collect()} == kept
     assert [neardup.band_rows(p) for p in (85, 80)] == [5, 4]
+
+
+def test_op7_edited_copies_in_many_documents(spark):
+    items = [(k, prose(700 + k, 30)) for k in range(3)]
+
+    def edited(k, *places):
+        words = items[k][1].split()
+        for j in places:
+            words[j] = f"changed{j}"
+        return " ".join(words)
+
+    rows = [(k, prose(900 + k, 20) + " " + edited(0, 4, 5, 15)) for k in range(300)]
+    # every stretch has an n-gram of a single whole copy, which is rarer than those of the edited ones
+    rows += [(1000 + k, prose(1300 + k, 20) + " " + edited(1, 6, 14, 22)) for k in range(300)] + [(2000, items[1][1])]
+    rows += [(3000 + k, prose(1700 + k, 50)) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.matched(docs, spark.createDataFrame(items, "item_id long, text string"))
+    hits = {r.doc_id: [h.item_id for h in r.benchmark_hits] for r in got.collect()}
+    assert {i for i, h in hits.items() if h == [0]} == set(range(300))
+    assert {i for i, h in hits.items() if h == [1]} == {*range(1000, 1300), 2000}
+    assert not any(hits[3000 + k] for k in range(50))
