@@ -3,7 +3,8 @@
 The guess cost of a value is the least sum, over all ways to cut it into segments, of the decimal
 logarithms of the guesses that each segment takes: a common word by its rank, a date by the days of
 a century, a repeat by its unit and count, a walk over neighbouring keys or a run of successive
-characters by its length, anything else by brute force; each further segment costs extra.
+characters by its length, anything else by brute force; each further segment costs extra. Brute force
+takes as many guesses a character as the kinds of characters in a value in credential context have signs.
 
 Places count code points, ends are exclusive. A null or empty text has no spans.
 """
@@ -42,9 +43,17 @@ LEET = str.maketrans("@4301$57!", "aaeoisst" + "i")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
 SEGMENT = math.log10(4)
 BRUTE = 1.0
+ALPHABETS = ((re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[0-9]"), 10), (re.compile("[ -/:-@\\[-`{-~]"), 33), (re.compile(r"[^\x00-\x7F]"), 100))
+#: What may be a plain word of a sentence.
+WORD = re.compile("[A-Za-z]?[a-z]+", re.ASCII)
 
 
-def segments(value: str):
+def sign_cost(value: str) -> float:
+    """The decimal logarithm of the number of signs that the value's kinds of characters have together."""
+    return max(BRUTE, math.log10(max(1, sum(n for kind, n in ALPHABETS if kind.search(value)))))
+
+
+def segments(value: str, brute: float):
     """(start, end, cost) of each word, date, repeat, walk and run in the value."""
     plain = value.lower()
     leet = plain.translate(LEET)
@@ -68,7 +77,7 @@ def segments(value: str):
             while value[j : j + width] == value[i : i + width]:
                 j += width
             if j - i >= max(3, 2 * width):
-                yield i, j, BRUTE * width + math.log10((j - i) // width)
+                yield i, j, brute * width + math.log10((j - i) // width)
                 i = j - width + 1
             else:
                 i += 1
@@ -86,21 +95,29 @@ def runs(value: str, follows):
 
 
 @functools.lru_cache(4096)
-def guess_cost(value: str) -> float:
-    """The decimal logarithm of the guesses that the cheapest segmentation takes; 0 for an empty value."""
+def guess_cost(value: str, sign: float = BRUTE) -> float:
+    """The decimal logarithm of the guesses that the cheapest segmentation takes, ``sign`` for each character by brute force; 0 for an empty value."""
     n = len(value)
     ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in segments(value):
+    for i, j, cost in segments(value, sign):
         ends.setdefault(j, []).append((i, cost))
     brute, other = [math.inf] * (n + 1), [math.inf] * (n + 1)  # the last segment is brute force, or another
     other[0] = -SEGMENT
     for j in range(1, n + 1):
-        brute[j] = min(brute[j - 1], other[j - 1] + SEGMENT) + BRUTE
+        brute[j] = min(brute[j - 1], other[j - 1] + SEGMENT) + sign
         for i, cost in ends.get(j, ()):
             other[j] = min(other[j], min(brute[i], other[i]) + SEGMENT + cost)
     return max(0.0, min(brute[n], other[n])) if n else 0.0
 
 
+def covered(a: int, b: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether the spans, in order of start, cover all from a up to b."""
+    for x, y in spans:
+        if x <= a < y:
+            a = y
+    return a >= b
+
+
 def find(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, guess cost of the value) in order of start, then of KINDS."""
     out = [("hex", m.start(), m.end(), BRUTE * (m.end() - m.start())) for m in HEX.finditer(text)]
@@ -112,7 +129,14 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
         base = sorted((a, b) for _, a, b, _ in out)
         for m in CONTEXT.finditer(text):
             a, b = m.span(3)
-            if not any(x < b and a < y for x, y in base) and (cost := guess_cost(m[3].rstrip(".!?)"))) >= HARD:
+            if covered(a, b, base):
+                continue
+            value = m[3].rstrip(".!?)")
+            # after "is", what looks like a word of the sentence is not taken for random letters
+            prose = " is " in text[m.start() : a].lower() and WORD.fullmatch(value)
+            cost = guess_cost(value, BRUTE if prose else sign_cost(value))
+            # a value of which the fixed patterns name a part is a secret to its end
+            if cost >= HARD or (any(x < b and a < y for x, y in base) and not covered(a, a + len(value), base)):
                 out.append(("guess", a, b, cost))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 

@@ -442,3 +442,25 @@ def test_op7_edited_copies_in_many_documents(spark):
     assert {i for i, h in hits.items() if h == [0]} == set(range(300))
     assert {i for i, h in hits.items() if h == [1]} == {*range(1000, 1300), 2000}
     assert not any(hits[3000 + k] for k in range(50))
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("password: xK7vQ2mT$9rL!4nZ&p8Yw end", "<|secret|> end"),
+        ("password: summer2023$extra end", "<|secret|> end"),
+        ("token=aaaaaaaa0000 end", "<|secret|> end"),
+        ("pwd: x9$Kq!7Zv end", "pwd: <|secret|> end"),
+        ("pwd: x9$Kq!7Z end", "pwd: <|secret|> end"),
+        ("password: aB3$xY9!q end", "password: <|secret|> end"),
+        ("pwd: k7q2x9vz end", "pwd: <|secret|> end"),
+        ("pwd: zqxvkwpjr end", "pwd: <|secret|> end"),
+        ("the passphrase is required here", "the passphrase is required here"),
+        ("pwd: password1987 and pwd: winter2023!", "pwd: password1987 and pwd: winter2023!"),
+        ("pwd: 12345678", "pwd: 12345678"),
+    ],
+)
+def test_op3_whole_and_short_values(text, want):
+    found = secrets.find(text)
+    assert secrets.redact(text, found, "<|secret|>") == want
+    assert [s[:3] for s in found if s[0] != "guess"] == base_spans(text)
