@@ -44,14 +44,18 @@ _ENTRY = np.dtype([("doc_id", "<i8"), ("at", "<i8"), ("length", "<i8"), ("ids",
 
 
 class WordCodec:
-    """Ids of whole texts by a tokenizer that drops white space: each different word is encoded once while cached."""
+    """Ids of whole texts by a tokenizer that drops white space: each different word is encoded once while cached.
+
+    Texts that hold one of the tokenizer's added tokens go through the library whole, as these are found before words are.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-
+        added = list(tokenizer.get_added_tokens_decoder().values())
+        self.tokenizer, self.added = tokenizer, [t.content.encode() for t in added]
+        self.all_whole = any(t.normalized for t in added)  # such tokens are found in a normal form, not in the text
         model = tokenizer.model
 
         @functools.lru_cache(100_000)
@@ -82,7 +86,32 @@ class WordCodec:
         run = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(each, out=run[1:])
         cuts = run[before]
-        return np.insert(ids, cuts[1:], end_id), cuts + np.arange(len(ends))
+        out, at = np.insert(ids, cuts[1:], end_id), cuts + np.arange(len(ends))
+        raw = buf.tobytes()
+        whole = self.with_added(raw, ends)
+        if not whole:
+            return out, at
+        size, parts, last = np.diff(at), [], 0
+        for k in whole:
+            own = self.tokenizer.encode(raw[ends[k] : ends[k + 1]].decode("utf-8"), add_special_tokens=False).ids
+            parts += [out[at[last] : at[k]], np.array([*own, end_id], out.dtype)]
+            size[k], last = len(own) + 1, k + 1
+        return np.concatenate([*parts, out[at[last] :]]), np.cumsum([0, *size])
+
+    def with_added(self, raw: bytes, ends: np.ndarray) -> list[int]:
+        """The texts that hold an added token."""
+        if self.all_whole:
+            return list(range(len(ends) - 1))
+        found = set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                k = int(np.searchsorted(ends, at, "right")) - 1
+                inside = at + len(token) <= ends[k + 1]
+                if inside:
+                    found.add(k)
+                at = raw.find(token, int(ends[k + 1]) if inside else at + 1)
+        return sorted(found)
 
 
 @functools.cache

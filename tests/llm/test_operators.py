@@ -464,3 +464,19 @@ def test_op3_whole_and_short_values(text, want):
     found = secrets.find(text)
     assert secrets.redact(text, found, "<|secret|>") == want
     assert [s[:3] for s in found if s[0] != "guess"] == base_spans(text)
+
+
+def test_op10_added_tokens(spark, write_table):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path(token_store.TOKENIZER))
+    texts = ["end <|endoftext|> new", "plain words", "x<|startoftext|>Y z<|endoftext|>", "<|endoftext|>", "<|ENDOFTEXT|> <|endof", "text|> after", None, "<|endoftext|><|endoftext|> é漢字", "last one"]
+    folder = write_table("documents", [(k, t, "en", "s", 1, "x") for k, t in enumerate(texts)], SCHEMA)
+    want, start = [], 0
+    for k, t in enumerate(texts):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert want[0][2:] == (4, zlib.crc32(np.array([806, 49407, 686, 2], "<u4").tobytes()))
+    assert rows_of(queries.op10_token_output(spark, folder)) == want
