@@ -38,7 +38,7 @@ SLICE = 1 << 20
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))}
-#: The dictionary is trained on so many documents at most, the ones whose hashes are lowest, and so many bytes of each.
+#: The dictionary is trained on so many documents at most, the ones whose hashes are lowest, and so many bytes of each, from a place that a hash of its ids names.
 TRAIN_DOCS, TRAIN_BYTES, DICT_BYTES = 1000, 4096, 64 << 10
 _ENTRY = np.dtype([("doc_id", "<i8"), ("at", "<i8"), ("length", "<i8"), ("ids", "<i8")])
 
@@ -131,22 +131,31 @@ def _dictionary(folder: str) -> bytes:
         return f.read()
 
 
+def sample_slice(ids: np.ndarray) -> bytes:
+    """TRAIN_BYTES of a document's ids, from any place of it; all of a shorter one."""
+    raw = ids.astype("<u4").tobytes()
+    at = zlib.crc32(raw) % (max(0, len(raw) - TRAIN_BYTES) // 4 + 1) * 4
+    return raw[at : at + TRAIN_BYTES]
+
+
 def train_dictionary(rows: DataFrame, end_id: int, tokenizer: str) -> bytes:
     """A dictionary from the documents of lowest hash, TRAIN_DOCS at most. It affects sizes only, never ids."""
     import zstandard
 
-    # ranked by id first, so that no task carries more texts than the sample has
-    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    sample = rows.join(F.broadcast(chosen), rows.doc_id.eqNullSafe(chosen.doc_id), "left_semi").select("text")
+    # ranked by id and hash of the text first, so that no task carries more texts than the sample has, also where ids repeat
+    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    chosen = keyed.select("doc_id", "key").distinct().orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key").limit(TRAIN_DOCS)
+    sample = keyed.join(F.broadcast(chosen), keyed.doc_id.eqNullSafe(chosen.doc_id) & (keyed.key == chosen.key), "left_semi").select("text")
 
     def serialize(batches):
         for batch in batches:
             buf, ends = shared.rows_of(batch.column(0))
             for a, b in shared.slices(ends, SLICE):
                 ids, before = word_codec(tokenizer).encode(buf[ends[a] : ends[b]], ends[a : b + 1] - ends[a], end_id)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[x:y].astype("<u4").tobytes()[:TRAIN_BYTES] for x, y in zip(before[:-1], before[1:], strict=True)], pa.binary())], names=["part"])
+                yield pa.RecordBatch.from_arrays([pa.array([sample_slice(ids[x:y]) for x, y in zip(before[:-1], before[1:], strict=True)], pa.binary())], names=["part"])
 
-    parts = sorted(r.part for r in sample.mapInArrow(serialize, "part binary").limit(4 * TRAIN_DOCS).collect())
+    # rows of one id and text give one part
+    parts = sorted(r.part for r in sample.mapInArrow(serialize, "part binary").distinct().collect())
     try:
         return zstandard.train_dictionary(DICT_BYTES, parts).as_bytes()
     except zstandard.ZstdError:  # too few documents to learn from

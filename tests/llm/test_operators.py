@@ -480,3 +480,18 @@ def test_op10_added_tokens(spark, write_table):
         start += len(ids)
     assert want[0][2:] == (4, zlib.crc32(np.array([806, 49407, 686, 2], "<u4").tobytes()))
     assert rows_of(queries.op10_token_output(spark, folder)) == want
+
+
+def test_op10_dictionary_sample(spark):
+    import public_tokenizers
+
+    docs = [np.arange(k, k + 20_000, dtype="<u4") for k in range(200)]
+    slices = [token_store.sample_slice(d) for d in docs]
+    assert all(len(x) == token_store.TRAIN_BYTES and x in d.tobytes() for x, d in zip(slices, docs, strict=True))
+    where = [int(np.frombuffer(x, "<u4")[0]) - k for k, x in enumerate(slices)]
+    assert min(where) < 2000 and max(where) > 17_000
+    assert token_store.sample_slice(docs[0][:5]) == docs[0][:5].tobytes()
+    rows = [(7, prose(5000 + k % 4500, 12)) for k in range(4600)]  # one id with more texts than are taken
+    path = public_tokenizers.path(token_store.TOKENIZER)
+    made = {token_store.train_dictionary(spark.createDataFrame(rows, "doc_id long, text string").repartition(n, "text"), 2, path) for n in (2, 7)}
+    assert len(made) == 1 and made != {b""}
