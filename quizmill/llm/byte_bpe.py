@@ -216,18 +216,20 @@ def encode_decode(docs: DataFrame, path: str | None = None, offsets: bool = True
     """
     path = path or public_tokenizers.path(RANKS)
     shared.shared_dir(docs.sparkSession)
-    new = ["token_ids", *(["token_ends"] if offsets else []), "decoded"]
-    kept = [c for c in docs.columns if c not in ("token_ids", "token_ends", "decoded")]
-    base = docs.select(*kept)
-    if "text" in kept:
-        base = base.withColumn("_encode_me", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    schema = T.StructType([*base.select(*kept).schema.fields, *(T.StructField(n, T.BinaryType() if n == "decoded" else T.ArrayType(T.IntegerType(), False)) for n in new)])
-    names = kept + new
+    new = ("token_ids", *(["token_ends"] if offsets else []), "decoded")
+    return shared.aside(docs, ("text",), lambda rows: _coded(rows, path, offsets, new), new)
+
+
+def _coded(docs: DataFrame, path: str, offsets: bool, new: tuple[str, ...]) -> DataFrame:
+    source = "encoded text"
+    base = docs.withColumn(source, F.coalesce(F.col("text").cast("string"), F.lit("")))
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.BinaryType() if n == "decoded" else T.ArrayType(T.IntegerType(), False)) for n in new)])
+    names = [*docs.columns, *new]
 
     def run(batches):
         coder = codec(path)
         for batch in batches:
-            buf, ends = shared.rows_of(batch.column("_encode_me"))
+            buf, ends = shared.rows_of(batch.column(source))
             for a, b in shared.slices(ends, SLICE):
                 part, own = buf[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
                 ids, before = coder.encode(part, own)

@@ -168,9 +168,13 @@ _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), (
 def matched(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = GRAM) -> DataFrame:
     """Add ``benchmark_hits`` to every row: for each item whose alignment reaches the threshold, its id,
     the score as a share of the item's own, and the range of words. Empty for clean documents."""
+    shared.shared_dir(docs.sparkSession)
+    return shared.aside(docs, ("text",), lambda rows: _matched(rows, benchmark, threshold, n), ("benchmark_hits",))
+
+
+def _matched(docs: DataFrame, benchmark: DataFrame, threshold: float, n: int) -> DataFrame:
     spark = docs.sparkSession
-    shared.shared_dir(spark)
-    out = docs.select(*(c for c in docs.columns if c != "benchmark_hits")).withColumn("benchmark_hits", F.array().cast(HIT))
+    out = docs.withColumn("benchmark_hits", F.array().cast(HIT))
     for block in blocks(benchmark):
         items = Items(block, n)
         if not len(items.hash):

@@ -326,12 +326,15 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without all but one of each group of near copies; of repeated rows, one stays.
 
     Where a component has no doc_id at all, each of its rows counts as kept and stays once for each text.
+    All columns of ``docs`` come back as they are, whatever their names; an empty table gives an empty one.
     """
     from pyspark.sql.window import Window
 
-    keys = ["_k_doc", "_k_null", "_k_key"]  # plain columns without nulls: join and numbering share one exchange
-    flags = clustered(docs, percent).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_k_doc"), F.col("doc_id").isNull().alias("_k_null"), F.col("text_key").alias("_k_key")).distinct()
+    keys = [shared.free_name(docs.columns, c) for c in ("_k_doc", "_k_null", "_k_key")]  # plain columns without nulls: join and numbering share one exchange
+    doc, null, key = keys
+    place = shared.free_name(docs.columns, "_k_row")
+    flags = clustered(docs, percent).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias(doc), F.col("doc_id").isNull().alias(null), F.col("text_key").alias(key)).distinct()
     number = F.col("doc_id").cast("long")
-    rows = docs.select("*", F.coalesce(number, F.lit(0)).alias("_k_doc"), number.isNull().alias("_k_null"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_k_key"))
+    rows = docs.select("*", F.coalesce(number, F.lit(0)).alias(doc), number.isNull().alias(null), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(key))
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
-    return rows.join(flags, keys, "left_semi").withColumn("_k_row", first).where("_k_row = 1").select(*docs.columns)
+    return rows.join(flags, keys, "left_semi").withColumn(place, first).where(F.col(place) == 1).select(*map(shared.column, docs.columns))

@@ -23,10 +23,10 @@ f AS (SELECT doc_id, i, CASE WHEN i-lag(i) OVER (PARTITION BY doc_id ORDER BY i)
 r AS (SELECT doc_id, i, sum(head) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f),
 p AS (SELECT doc_id, run, min(i) AS a, max(i)+400 AS b FROM r GROUP BY 1,2),
 q AS (SELECT doc_id, run, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS last FROM p),
-k AS (SELECT q.doc_id, sum(b-a) AS n_removed, count(*) AS n_spans, max(b) AS tail, string_agg(substr(h.x, CAST(2*last+1 AS BIGINT), CAST(2*(a-last) AS BIGINT)), '' ORDER BY run) AS x FROM q JOIN h ON h.doc_id=q.doc_id GROUP BY 1)
-SELECT h.doc_id, length(h.x)//2 AS n_bytes, CAST(coalesce(k.n_removed,0) AS BIGINT) AS n_removed, coalesce(k.n_spans,0) AS n_spans,
-sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h.x ELSE k.x||substr(h.x, CAST(2*k.tail+1 AS BIGINT)) END)) AS kept_sha256
-FROM h LEFT JOIN k ON k.doc_id=h.doc_id
+k AS (SELECT q.doc_id, sum(b-a) AS n_removed, count(*) AS n_spans, max(b) AS tail, string_agg(substr(h.x, CAST(2*last+1 AS BIGINT), CAST(2*(a-last) AS BIGINT)), '' ORDER BY run) AS x, string_agg(a||':'||b, ',' ORDER BY run) AS spans FROM q JOIN h ON h.doc_id=q.doc_id GROUP BY 1)
+SELECT doc_id, length(x)//2 AS n_bytes, CAST(coalesce(n_removed,0) AS BIGINT) AS n_removed, coalesce(n_spans,0) AS n_spans,
+sha256(kept) AS kept_sha256, coalesce(spans,'') AS spans, TRY(decode(kept)) AS kept_text
+FROM (SELECT h.doc_id, h.x, k.n_removed, k.n_spans, k.spans, unhex(CASE WHEN k.doc_id IS NULL THEN h.x ELSE k.x||substr(h.x, CAST(2*k.tail+1 AS BIGINT)) END) AS kept FROM h LEFT JOIN k ON k.doc_id=h.doc_id)
 """
 
 ORACLE_SQL = {"op1_repeat_removal": REPEATS, "op2_near_dedup": NEAR_DEDUP}

@@ -71,27 +71,28 @@ def _left(text: Column, pattern: str) -> Column:
 def measured(docs: DataFrame) -> DataFrame:
     """Add the counts of COUNTS and the measures of FENCES."""
     own = [*COUNTS, *(m for m, _, _ in FENCES)]
-    kept = [c for c in docs.columns if c not in own]
+    kept = [shared.column(c) for c in docs.columns if c not in own]
+    parts, capitals, marks, rows = (shared.free_name(docs.columns, c) for c in ("_words", "_capitals", "_marks", "_lines"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     core = F.btrim(text, F.lit(_BLANKS))
     words = F.when(core == "", F.array().cast("array<string>")).otherwise(F.split(core, r"[\x20\x09-\x0D]+"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != "")
     base = docs.select(
         *kept,
-        _of_words(words).alias("_words"),
+        _of_words(words).alias(parts),
         _left(text, r"[\x20\x09-\x0D]+").alias("word_chars"),
         _left(text, r"[^#*$%&|<>]+").alias("n_symbols"),
-        _left(text, r"[^\p{Lu}]+").alias("_capitals"),
-        _left(text, r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+").alias("_marks"),
-        _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))).alias("_lines"),
+        _left(text, r"[^\p{Lu}]+").alias(capitals),
+        _left(text, r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+").alias(marks),
+        _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))).alias(rows),
     )
     share = lambda a, b: (a / F.greatest(b, F.lit(1))).cast("double")
-    n = F.col("_words.n")
+    n, line = F.col(parts)["n"], F.col(rows)
     return base.select(
         *kept,
-        n.alias("n_words"), "word_chars", "n_symbols", F.col("_lines.d").alias("n_dup_lines"), F.col("_words.r").alias("n_repeat_words"),
-        share(F.col("n_symbols"), n).alias("symbol_rate"), share(F.col("_capitals"), F.col("word_chars")).alias("capital_rate"), share(F.col("_marks"), n).alias("mark_rate"),
-        share(F.col("_lines.d"), F.col("_lines.n")).alias("dup_line_rate"), share(F.col("_words.s"), n).alias("stutter_rate"), share(F.col("word_chars"), n).alias("word_length"),
+        n.alias("n_words"), "word_chars", "n_symbols", line["d"].alias("n_dup_lines"), F.col(parts)["r"].alias("n_repeat_words"),
+        share(F.col("n_symbols"), n).alias("symbol_rate"), share(F.col(capitals), F.col("word_chars")).alias("capital_rate"), share(F.col(marks), n).alias("mark_rate"),
+        share(line["d"], line["n"]).alias("dup_line_rate"), share(F.col(parts)["s"], n).alias("stutter_rate"), share(F.col("word_chars"), n).alias("word_length"),
     )
 
 
@@ -130,18 +131,25 @@ def judged(docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
             docs = docs.withColumn(c, F.lit(None).cast("string"))
     table = stored_measures(docs, keep)
     limits = shared.stored(fences(table), "fences")
-    if limits.count() <= SENT:
-        limits = F.broadcast(limits)  # else both sides are dealt by language and source, and Spark splits large groups
+    sent = limits.count() <= SENT  # else both sides are dealt by language and source, and Spark splits large groups
     beyond = F.lit(False)
     for m, _, _ in FENCES:
         slack = F.lit(ROOM[m == "word_length"]) / F.greatest(F.col("n_words"), F.lit(1))
         beyond = beyond | F.coalesce(F.col(m) > F.col(f"fence_{m}") + slack, F.lit(False))
-    verdict = table.join(limits, table.lang.eqNullSafe(limits._lang) & table.source.eqNullSafe(limits._source), "left").drop("_lang", "_source")
+    of = [shared.free_name(table.columns, c) for c in ("_lang", "_source")]
+    limits = limits.withColumnsRenamed(dict(zip(("_lang", "_source"), of, strict=True)))
+    same = F.col("lang").eqNullSafe(F.col(of[0])) & F.col("source").eqNullSafe(F.col(of[1]))
+    verdict = table.join(F.broadcast(limits) if sent else limits, same, "left").drop(*of)
     return verdict.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~beyond)
 
 
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns as they are, whatever the names. An empty table gives an empty one."""
+    return shared.aside(docs, ("text", "lang", "source"), lambda rows: judged(rows).where("kept"))
+
+
 def stored_measures(docs: DataFrame, keep: tuple[str, ...] | None) -> DataFrame:
     carry = list(docs.columns if keep is None else dict.fromkeys((*keep, "lang", "source")))
-    own = {*COUNTS, *(m for m, _, _ in FENCES), "base_failed", "kept"}
-    table = measured(docs.select(*(c for c in docs.columns if c not in own)))
-    return shared.stored(table.select(*(c for c in carry if c not in own), *COUNTS, *(m for m, _, _ in FENCES)), "quality")
+    own = {*COUNTS, *(m for m, _, _ in FENCES), *(f"fence_{m}" for m, _, _ in FENCES), "base_failed", "kept"}
+    table = measured(docs.select(*(shared.column(c) for c in docs.columns if c not in own)))
+    return shared.stored(table.select(*(shared.column(c) for c in carry if c not in own), *COUNTS, *(m for m, _, _ in FENCES)), "quality")

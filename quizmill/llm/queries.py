@@ -14,9 +14,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the contract's columns: the removed runs as start:end, and the kept text, null where a cut splits a character."""
     rows = repeats.removed(documents(spark, sf_dir))
+    joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
-    return rows.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_text", 256).alias("kept_sha256"))
+    return rows.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_text", 256).alias("kept_sha256"), joined.alias("spans"), F.try_validate_utf8(F.col("kept_text").cast("string")).alias("kept_text"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

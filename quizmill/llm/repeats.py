@@ -7,18 +7,20 @@ segments of a hash, when they differ, are compared by their suffixes: shards of
 transform each (over symbols that stand for 100 bytes; the four residues of places make the strings),
 two transforms are merged by interleave refinement, which sorts the merged rows by one more symbol each
 round and marks where common prefixes end, and the intervals that four rounds leave undivided are the
-strings of 400 bytes that repeat. Equal symbols are confirmed byte by byte.
+strings of 400 bytes that repeat. Equal symbols are confirmed byte by byte; where two different ones
+have one hash, the strings are told apart by SHA-256 instead.
 
 A hash with very many different segments is not compared in one place: its segments are cut into
 ranges of starts and dealt anew by what all strings of a range have in common, twice if need be; at
 the second time a range is one start and its string alone decides.
 
 A null text counts as empty. Repeated rows are copies, so both lose what they share. Texts shorter
-than the width stay whole.
+than the width stay whole. Further columns of the input, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -33,24 +35,44 @@ SYMBOL = 100
 SLICE = 1 << 20
 #: Different segments of a hash that are compared in one place, and starts in a range beyond that.
 GROUP, RANGE = 2048, 32
+#: Keys of large groups, 8 bytes each, that are sent to every task.
+SENT = 100_000
 #: Bytes of segments that one engine run takes (whole groups), and of one shard in it.
 RUN, SHARD = 4 << 20, 2 << 20
 U = np.uint64
 LOW = (1 << 24) - 1
 
 
+_RNG = np.random.default_rng(20240611)
+_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+_BASE = int(_RNG.integers(1, 2**61)) * 8 + 5
+
+
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, n of each."""
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        f = np.full(n, base, np.uint64)
+        f[0] = 1
+        made.append(np.multiply.accumulate(f))
+    return made[0], made[1]
+
+
 def gram_hashes(buf: np.ndarray, k: int) -> np.ndarray:
-    """The hash of the k bytes from each place on."""
+    """The hash of the k bytes from each place on, from a running sum of random numbers for bytes times powers.
+
+    For at most some hundred bytes: such sums modulo 2^64 are weak for structured strings of 1,024 bytes and more."""
     n = len(buf) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.empty(n, np.uint64)
+    power, back = _powers(textvec.CHUNK + k)
     for a in range(0, n, textvec.CHUNK):
         b = min(n, a + textvec.CHUNK)
-        power, back = textvec._power(b - a + k)
         run = np.empty(b - a + k, np.uint64)
         run[0] = 0
-        np.cumsum(textvec._EXACT[buf[a : b + k - 1]] * power[: b - a + k - 1], out=run[1:])
+        np.cumsum(_BYTE[buf[a : b + k - 1]] * power[: b - a + k - 1], out=run[1:])
         out[a:b] = (run[k:] - run[: b - a]) * back[: b - a]
     return textvec.mix(out)
 
@@ -195,25 +217,39 @@ def repeated_starts(buf: np.ndarray, ends: np.ndarray, starts: np.ndarray, width
     same = np.zeros(len(order) + 1, bool)
     same[1:-1] = block[1:] == block[:-1]
     hit = np.flatnonzero(same[1:-1])
-    confirm(wide, order[hit], order[hit + 1], width)
+    if not all_equal(wide, order[hit], order[hit + 1], width):
+        return _by_bytes(buf, ends, starts, width)
     out = np.zeros(len(wide), bool)
     out[order[same[1:] | same[:-1]]] = True
     return out[place_of]
 
 
-def confirm(buf: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> None:
-    """Check that the strings at a and b are equal, bytes that an earlier pair has compared left out."""
+def all_equal(buf: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> bool:
+    """Whether the strings at each a and b are equal, bytes that an earlier pair has compared left out."""
     order = np.argsort(a, kind="stable")
     a, b = a[order], b[order]
     chained = np.zeros(len(a), bool)
     chained[1:] = (a[1:] == a[:-1] + 1) & (b[1:] == b[:-1] + 1)
     if not np.array_equal(buf[a + width - 1], buf[b + width - 1]):
-        raise ArithmeticError("two strings have one hash")
+        return False
     head = np.flatnonzero(~chained)
     for k in range(0, len(head), 4096):
         x, y = a[head[k : k + 4096]], b[head[k : k + 4096]]
         if not np.array_equal(buf[x[:, None] + np.arange(width)], buf[y[:, None] + np.arange(width)]):
-            raise ArithmeticError("two strings have one hash")
+            return False
+    return True
+
+
+def _by_bytes(buf: np.ndarray, ends: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """What ``repeated_starts`` finds, for segments in which two different symbols have one hash: each string by its SHA-256."""
+    raw, place = buf.tobytes(), textvec.ragged(ends[:-1], starts)
+    seen: dict[bytes, int] = {}
+    mark = [hashlib.sha256(raw[k : k + width]).digest() for k in place.tolist()]
+    for m in mark:
+        seen[m] = seen.get(m, 0) + 1
+    out = np.zeros(len(buf), bool)
+    out[place] = [seen[m] > 1 for m in mark]
+    return out
 
 
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,6 +361,8 @@ def covered(docs: DataFrame, group: int = GROUP) -> DataFrame:
             runs = runs.unionByName(_compare(segments) if size is not None else _equal(segments))
             break
         large = large.select("key")
+        if large.count() <= SENT:  # else both sides are dealt by key, and Spark splits large keys
+            large = F.broadcast(large)
         runs = runs.unionByName(_compare(segments.join(large, "key", "left_anti")))
         segments = shared.stored(_split(segments.join(large, "key", "left_semi"), size), "segments")
     runs = shared.stored(runs, "runs")

@@ -159,14 +159,17 @@ def scan(docs: DataFrame, mark: str | None = None) -> DataFrame:
     ``redacted_text``: the text with ``mark`` in place of every span.
 
     Every row gives one row, repeated ones too; a null text has no spans and stays null. Input columns
-    of these two names are replaced.
+    of the added names are replaced, others stay.
     """
     shared.shared_dir(docs.sparkSession)
-    new = ["secret_spans", *(["redacted_text"] if mark is not None else [])]
-    kept = [c for c in docs.columns if c not in ("secret_spans", "redacted_text")]
-    base = docs.select(*kept)
+    new = ("secret_spans", *(["redacted_text"] if mark is not None else []))
+    return shared.aside(docs, ("text",), lambda rows: _scanned(rows, mark, new), new)
+
+
+def _scanned(docs: DataFrame, mark: str | None, new: tuple[str, ...]) -> DataFrame:
+    base = docs.withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([*base.schema.fields, T.StructField("secret_spans", SPAN, False), *([T.StructField("redacted_text", T.StringType())] if mark is not None else [])])
-    names = kept + new
+    names = [*base.columns, *new]
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("guesses", pa.float64())]))
 
     def run(batches):
@@ -181,4 +184,4 @@ def scan(docs: DataFrame, mark: str | None = None) -> DataFrame:
                     made["redacted_text"] = pa.array([t if t is None else redact(t, f, mark) for t, f in zip(texts, found, strict=True)], pa.string())
                 yield shared.with_columns(part, made, names)
 
-    return base.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return base.mapInArrow(run, schema)

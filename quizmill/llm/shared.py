@@ -1,7 +1,8 @@
 """Places and schemas that every operator of this subpackage shares.
 
 Intermediate tables go to the folder named by ``spark.checkpoint.dir``, which driver and
-executors share, so a lost executor never takes the only copy of a result with it.
+executors share, so a lost executor never takes the only copy of a result with it. They stay there, as
+results are lazy; whoever owns the folder cleans it when a session's results are no longer read.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quizmill-")
         spark.conf.set("spark.checkpoint.dir", found)
         sc.setCheckpointDir(found)
@@ -45,6 +48,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(taken: list[str], wish: str) -> str:
+    """``wish``, with a sign more while a column has that name."""
+    low = {c.lower() for c in taken}
+    while wish.lower() in low:
+        wish += "_"
+    return wish
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def aside(docs: DataFrame, own: tuple[str, ...], stage, new: tuple[str, ...] = ()) -> DataFrame:
+    """``stage`` on ``docs``, whose columns other than ``own`` have neutral names meanwhile, so that none clashes with those of the stage.
+
+    ``new``: columns that the stage adds; input columns of these names go."""
+    names = [c for c in docs.columns if c not in new]
+    mine = [c if c in own else f"column {k}" for k, c in enumerate(names)]
+    out = stage(docs.select(*(column(c).alias(m) for c, m in zip(names, mine, strict=True))))
+    return out.select(*(column(m).alias(c) for c, m in zip(names, mine, strict=True)), *new)
+
+
 def texts_of(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns and ``text``, with doc_id as long and a null text as the empty one."""
     shared_dir(docs.sparkSession)

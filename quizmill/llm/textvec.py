@@ -1,8 +1,10 @@
 """Words, hashes and lookups over many texts at once, on byte arrays.
 
-A word is ``[^\\x20\\x09-\\x0D]+``. Hashes have 64 bits: each byte stands for a fixed random
-number, a word is the sum of these numbers times powers of an odd constant, mixed at the end,
-so the hash of any word costs two lookups in a running sum.
+A word is ``[^\\x20\\x09-\\x0D]+``. Hashes have 64 bits. Up to seven bytes and their number are
+the 64 bits themselves, mixed by a bijection, so two short words never share a hash. Of longer words each
+eight bytes are mixed with a key of their place before they are added up, so no arithmetic of the sum
+makes structured words meet; two of them share a hash with a chance of 2^-64. ``SliceCache`` compares
+the bytes besides, so there a shared hash changes nothing.
 """
 
 from __future__ import annotations
@@ -13,14 +15,12 @@ U = np.uint64
 _RNG = np.random.default_rng(20240611)
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_EXACT = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_FOLDED = _EXACT.copy()
-_FOLDED[ord("A") : ord("Z") + 1] = _EXACT[ord("a") : ord("z") + 1]
-_BASE = int(_RNG.integers(1, 2**61)) * 8 + 5
-_BACK = pow(_BASE, -1, 2**64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _MULTS = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 CHUNK = 1 << 20
-_powers: list[np.ndarray] = []
+#: Of the eight bytes from a slice's place on, those that are the slice's, by their number.
+_OWN = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,18 +32,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, up to n at least."""
-    if not _powers or len(_powers[0]) < n:
-        made = []
-        for base in (_BASE, _BACK):
-            f = np.full(max(n, CHUNK + 1024), base, np.uint64)
-            f[0] = 1
-            made.append(np.multiply.accumulate(f))
-        _powers[:] = made
-    return _powers
-
-
 def words(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and for each text the number of words before it (one entry more than texts)."""
     if not len(buf):
@@ -63,22 +51,66 @@ def words(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, stops, np.searchsorted(starts, ends, "left")
 
 
+def lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    wide = np.zeros(len(buf) + 8, np.uint8)
+    wide[:-8] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", wide, strides=(1,))
+
+
+def _of_long(lane: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of slices of eight bytes or more: their lanes, one slice after the other, each lane's place in its slice, and each slice's first lane."""
+    n = (stops - starts + 7) // 8
+    first = np.cumsum(n) - n
+    nth = np.arange(int(n.sum())) - np.repeat(first, n)
+    x = lane[np.repeat(starts, n) + 8 * nth]
+    last = first + n - 1
+    x[last] &= _OWN[(stops - starts) - 8 * (n - 1)]
+    return x, nth, first
+
+
 def hashes(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray, fold: bool) -> np.ndarray:
     """The hash of each slice; ``fold`` takes A-Z as a-z. Slices ascend."""
-    table = _FOLDED if fold else _EXACT
     out = np.empty(len(starts), np.uint64)
     a = 0
     while a < len(starts):
         b = max(a + 1, int(np.searchsorted(stops, starts[a] + CHUNK, "right")))
         lo, hi = int(starts[a]), int(stops[b - 1])
-        power, back = _power(hi - lo + 1)
-        run = np.empty(hi - lo + 1, np.uint64)
-        run[0] = 0
-        np.cumsum(table[buf[lo:hi]] * power[: hi - lo], out=run[1:])
-        s, e = starts[a:b] - lo, stops[a:b] - lo
-        out[a:b] = (run[e] - run[s]) * back[s] + (e - s).astype(np.uint64)
+        if hi - lo > CHUNK:  # one long slice, a piece of whole lanes at a time
+            pieces = [_sum(buf[x : min(x + CHUNK, hi)], (x - lo) // 8, fold) for x in range(lo, hi, CHUNK)]
+            out[a:b] = _joined(np.array([pieces], np.uint64).sum(1, dtype=np.uint64), np.array([hi - lo], np.uint64))
+            a = b
+            continue
+        lane = lanes(_LOWER[buf[lo:hi]] if fold else buf[lo:hi])
+        s, n = starts[a:b] - lo, stops[a:b] - starts[a:b]
+        own = mix((lane[s] & _OWN[np.minimum(n, 7)]) | (n.astype(np.uint64) << U(56)))
+        long = np.flatnonzero(n > 7)
+        if len(long):
+            x, nth, first = _of_long(lane, s[long], s[long] + n[long])
+            own[long] = _joined(np.add.reduceat(mix(x ^ _place_keys(nth)), first), n[long].astype(np.uint64))
+        out[a:b] = own
         a = b
-    return mix(out)
+    return out
+
+
+_keys = [mix(np.arange(1, 4097, dtype=np.uint64) * U(0x9E3779B97F4A7C15))]
+
+
+def _place_keys(nth: np.ndarray) -> np.ndarray:
+    """A number for each place of a lane in its slice."""
+    if len(nth) and int(nth.max()) >= len(_keys[0]):
+        return mix((nth.astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15))
+    return _keys[0][nth]
+
+
+def _sum(part: np.ndarray, place: int, fold: bool) -> np.uint64:
+    """What a piece of a long slice adds to its sum."""
+    x, nth, _ = _of_long(lanes(_LOWER[part] if fold else part), np.array([0]), np.array([len(part)]))
+    return mix(x ^ _place_keys(nth + place)).sum(dtype=np.uint64)
+
+
+def _joined(total: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return mix(total ^ (n * U(0xA0761D6478BD642F)))
 
 
 def grams(word: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +147,34 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - first, lengths)
 
 
+def classes(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first slice of each class of equal ones, and the class of each slice. Slices of one hash are compared byte by byte."""
+    _, first, back = np.unique(hashes(buf, starts, stops, False), return_index=True, return_inverse=True)
+    n, head = stops - starts, first[back]
+    other = n != n[head]
+    at = np.flatnonzero((n > 7) & (head != np.arange(len(head))) & ~other)  # shorter ones of one hash are equal
+    a, lane = 0, lanes(buf)
+    while a < len(at):
+        b = max(a + 1, a + int(np.searchsorted(np.cumsum(n[at[a : a + CHUNK]]), CHUNK, "right")))
+        some = at[a:b]
+        x, _, cut = _of_long(lane, starts[some], stops[some])
+        y, _, _ = _of_long(lane, starts[head[some]], stops[head[some]])
+        other[some] = np.add.reduceat((x != y).astype(np.int64), cut) > 0
+        a = b
+    wrong = np.flatnonzero(other)
+    if len(wrong):
+        more: dict[bytes, int] = {}
+        heads = [*first.tolist()]
+        for k in wrong.tolist():
+            key = buf[starts[k] : stops[k]].tobytes()
+            if key not in more:
+                more[key] = len(heads)
+                heads.append(k)
+            back[k] = more[key]
+        first = np.array(heads)
+    return first, back
+
+
 class SliceCache:
     """From slices of bytes to ids, each different slice computed once while it is kept.
 
@@ -129,7 +189,7 @@ class SliceCache:
         """All ids in order, and the number of ids of each slice."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        _, first, back = np.unique(hashes(buf, starts, stops, False), return_index=True, return_inverse=True)
+        first, back = classes(buf, starts, stops)
         raw = buf.tobytes()
         keys = [raw[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
         known = self.known

@@ -39,9 +39,16 @@ def sha(data):
     return hashlib.sha256(data).hexdigest()
 
 
+def utf8(data):
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return None
+
+
 def test_empty_tables(spark, empty):
     for name, query in queries.QUERIES.items():
-        if name not in ("op5_role_repair", "op7_decontamination"):
+        if name not in ("op5_role_repair", "op7_decontamination"):  # these read other tables too; test_op5 and test_names have them
             assert query(spark, empty).collect() == [], name
 
 
@@ -56,7 +63,9 @@ def test_op1(spark, folder):
                 gone[k : k + 400] = b"\1" * 400
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
-        want.append((i, len(b), sum(gone), spans, sha(kept)))
+        edges = [k for k in range(len(b) + 1) if (k < len(b) and gone[k]) != (k > 0 and gone[k - 1])]
+        told = ",".join(f"{x}:{y}" for x, y in zip(edges[::2], edges[1::2], strict=True))
+        want.append((i, len(b), sum(gone), spans, sha(kept), told, utf8(kept)))
     assert rows_of(queries.op1_repeat_removal(spark, folder)) == expect(want)
 
 
@@ -345,7 +354,6 @@ def test_op10(spark, folder):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path(token_store.TOKENIZER))
-    tok.encode_special_tokens = True
     want, start = [], 0
     got = sorted(queries.op10_token_output(spark, folder).collect(), key=lambda r: r.start)
     order = sorted(documents(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
