@@ -2,11 +2,12 @@
 
 A string of ``width`` bytes that starts at two places has the same least 64-byte hash, at the same
 distance, in both. So each place belongs to one occurrence of such a least hash, and only places
-of one hash need comparing. Occurrences with equal surroundings are one segment with a count. The
+of one hash need comparing. Occurrences with equal surroundings, by 64 bits of BLAKE2 beside the hash, are
+one segment with a count. The
 segments of a hash, when they differ, are compared by their suffixes: shards of segments get a
-transform each (over symbols that stand for 100 bytes; the four residues of places make the strings),
+transform each (over symbols that stand for 200 bytes; strings with a symbol that occurs once are left out),
 two transforms are merged by interleave refinement, which sorts the merged rows by one more symbol each
-round and marks where common prefixes end, and the intervals that four rounds leave undivided are the
+round and marks where common prefixes end, and the intervals that two rounds leave undivided are the
 strings of 400 bytes that repeat. Equal symbols are confirmed byte by byte; where two different ones
 have one hash, the strings are told apart by SHA-256 instead.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from quizmill.llm import shared, textvec
 
 WIDTH, SEED = 400, 64
-SYMBOL = 100
+SYMBOL = 200
 SLICE = 1 << 20
 #: Different segments of a hash that are compared in one place, and starts in a range beyond that.
 GROUP, RANGE = 2048, 32
@@ -91,7 +92,7 @@ def least_places(h: np.ndarray, window: int) -> np.ndarray:
 
 
 def occurrences(buf: np.ndarray, ends: np.ndarray, width: int = WIDTH, seed: int = SEED):
-    """(text, hash, identity of the segment, first start, number of starts, the hash's place after the first start) of each least hash."""
+    """(text, hash, identity of the segment (BLAKE2 of its bytes), first start, number of starts, the hash's place after the first start) of each least hash."""
     text = np.flatnonzero(np.diff(ends) >= width)
     h = gram_hashes(buf, seed)
     least = np.zeros(len(buf), np.int64)
@@ -106,12 +107,8 @@ def occurrences(buf: np.ndarray, ends: np.ndarray, width: int = WIDTH, seed: int
     first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]))) if len(at) else np.zeros(0, np.int64)
     n = np.diff(np.append(first, len(at)))
     lo = start[first]
-    # identity: the hashes of both overlapping ends of the segment and its length
-    mark = textvec.mix(h[lo] ^ textvec.mix(n.astype(np.uint64)))
-    stop = lo + n - 1 + width
-    for k in range(0, 2 * width, seed):
-        x = np.minimum(lo + k, stop - seed)
-        mark = textvec.mix(mark * U(0x9E3779B97F4A7C15) ^ h[x])
+    raw, stop = buf.tobytes(), lo + n - 1 + width
+    mark = np.frombuffer(b"".join(hashlib.blake2b(raw[x:y], digest_size=8).digest() for x, y in zip(lo.tolist(), stop.tolist(), strict=True)), "<u8")
     return owner[first], h[at[first]], mark, lo - ends[owner[first]], n, at[first] - lo
 
 
@@ -129,15 +126,15 @@ class Transform:
 
 def transform(place: np.ndarray, symbols: np.ndarray, step: int, depth: int) -> Transform:
     """By doubling ranks. symbols: 0 where none begins; place: the suffixes, ends of strings included."""
-    rank = symbols.astype(np.int64)
+    rank, full = symbols[place].astype(np.int64), np.zeros(len(symbols) + step * depth, np.int64)
+    begins = rank > 0
     reach = step
     while reach < step * depth:
-        later = np.zeros_like(rank)
-        later[:-reach] = rank[reach:]
-        later[symbols == 0] = 0
-        rank = np.unique(rank * (int(rank.max()) + 1) + later, return_inverse=True)[1]
+        full[place] = rank
+        later = np.where(begins, full[place + reach], 0)
+        rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + later, return_inverse=True)[1]
         reach *= 2
-    order = place[np.argsort(rank[place], kind="stable")]
+    order = place[np.argsort(rank, kind="stable")]
     return Transform(order, _previous(order, symbols, step))
 
 
@@ -180,24 +177,33 @@ def repeated_starts(buf: np.ndarray, ends: np.ndarray, starts: np.ndarray, width
     place_of = textvec.ragged(at, np.diff(ends))
     wide = np.zeros(int(ends[-1]) + symbol * len(gap) + symbol, np.uint8)
     wide[place_of] = buf
-    have = np.maximum(np.diff(ends) - symbol + 1, 0)
-    begins = textvec.ragged(at, have)
+    start = textvec.ragged(at, starts)
+    begins = np.zeros(len(wide), bool)
+    for k in range(depth):
+        begins[start + k * symbol] = True
+    begins = np.flatnonzero(begins)
+    _, number, times = np.unique(gram_hashes(wide, symbol)[begins], return_inverse=True, return_counts=True)
     symbols = np.zeros(len(wide), np.int32)
-    symbols[begins] = np.unique(gram_hashes(wide, symbol)[begins], return_inverse=True)[1] + 1
-    # suffixes of a segment: all places with a symbol, and the end of each of its strings
+    symbols[begins] = number + 1
+    # a string with a symbol that occurs once occurs once: it needs no sorting
+    maybe = np.ones(len(start), bool)
+    for k in range(depth):
+        maybe &= times[symbols[start + k * symbol] - 1] > 1
+    start = start[maybe]
+    if not len(start):
+        return np.zeros(len(buf), bool)
+    used, inside = np.zeros(len(wide), bool), np.zeros(len(wide), bool)
+    for k in range(depth):
+        used[start + k * symbol] = True
+    symbols[~used] = 0
+    for k in range(depth + 1):  # suffixes: all places with a symbol, and the end of each string
+        inside[start + k * symbol] = True
     cuts = np.searchsorted(ends, np.arange(0, int(ends[-1]) + shard, shard))
     cuts = np.unique(np.clip(cuts, 0, len(ends) - 1))
     parts = []
     for x, y in zip(cuts[:-1], cuts[1:], strict=True):
         lo, hi = int(at[x]), int(at[y - 1] + np.diff(ends)[y - 1] + symbol)
-        own = symbols[lo:hi]
-        inside = np.zeros(hi - lo, bool)
-        inside[own > 0] = True
-        tail = np.flatnonzero(inside) + symbol
-        inside[tail[tail < hi - lo]] = True
-        for k in range(min(symbol, hi - lo)):  # strings start at the first `symbol` places of each segment
-            inside[(at[x:y] - lo + k)[at[x:y] - lo + k < hi - lo]] = True
-        t = transform(np.flatnonzero(inside), own, symbol, depth)
+        t = transform(np.flatnonzero(inside[lo:hi]), symbols[lo:hi], symbol, depth)
         parts.append(Transform(t.place + lo, t.before))
     new = None
     if len(parts) == 1:
@@ -210,7 +216,7 @@ def repeated_starts(buf: np.ndarray, ends: np.ndarray, starts: np.ndarray, width
         parts = joined + parts[2 * len(joined) :]
     order = parts[0].place
     valid = np.zeros(len(wide), bool)
-    valid[textvec.ragged(at, starts)] = True
+    valid[start] = True
     keep = valid[order]
     block = np.cumsum(new)[keep]
     order = order[keep]
