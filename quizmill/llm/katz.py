@@ -14,6 +14,9 @@ history's pairs goes to the tokens that never followed it, in proportion to thei
 A type seen more than five times keeps all but a half. So every seen type gives something up, and
 the probabilities of all tokens after any history sum to one.
 
+Pairs are the highest order. Columns of the input other than doc_id and text are not read but through
+``held_out``, so their names don't matter.
+
 Counts never meet in one place. Tasks count what they read; the counts of a pair go to the part of
 its second word, where that word's own count is, those of frequent second words over all parts by
 history. There the counts are merged and stored, and the texts' tokens are answered as far as this
@@ -97,6 +100,26 @@ def hot_words(rows: DataFrame) -> np.ndarray:
     return np.sort(np.array(hot, np.int64).view(np.uint64))
 
 
+def corpus_facts(rows: DataFrame, hot: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """Bytes of text, texts to learn from, and the training count of each hot word: sums over all rows."""
+
+    def count(batches):
+        size, learned, times = 0, 0, np.zeros(len(hot), np.int64)
+        for batch in batches:
+            buf, ends = shared.rows_of(batch.column(0))
+            free = ~np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
+            size, learned = size + len(buf), learned + int(free.sum())
+            for a, b in shared.slices(ends, BATCH):
+                token, before = tokens_of(buf[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+                own = token[np.repeat(free[a:b], np.diff(before))]
+                times += np.bincount(np.searchsorted(hot, own[is_in(own, hot)]), minlength=len(hot))
+        yield pa.RecordBatch.from_arrays([pa.array([size]), pa.array([learned]), pa.array([times.tolist()], pa.list_(pa.int64()))], names=["size", "learned", "times"])
+
+    total = rows.select("text", "held").mapInArrow(count, "size long, learned long, times array<long>")
+    r = total.agg(F.sum("size"), F.sum("learned"), *(F.sum(F.get("times", F.lit(k))) for k in range(len(hot)))).first()
+    return r[0] or 0, r[1] or 0, np.array([x or 0 for x in r[2:]], np.int64)
+
+
 def is_in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(x), bool)
@@ -127,14 +150,13 @@ def requests(buf, ends, held: np.ndarray, parts: int, hot: np.ndarray):
     w, h = key[first] // len(word), key[first] % len(word)
     at, wide = home(word, parts), is_in(word, hot)
     part = np.where(wide[w], at[h], at[w])
-    spread = np.flatnonzero(wide)
     cuts = np.argsort(part, kind="stable")
     bounds = np.searchsorted(part[cuts], np.arange(parts + 1))
     for p in range(parts):
         own = cuts[bounds[p] : bounds[p + 1]]
-        words = np.union1d(w[own], spread)
-        if not len(words):
+        if not len(own):
             continue
+        words = np.unique(w[own])
         pasts, h_of = np.unique(h[own], return_inverse=True)
         docs = doc[textvec.ragged(first[own], uses[own])]
         yield p, pack(word[words], narrow(single[words]), word[pasts], narrow(np.searchsorted(words, w[own])), narrow(h_of), narrow(count[own]), narrow(uses[own]), narrow(docs))
@@ -154,12 +176,21 @@ def log_count(count: np.ndarray) -> np.ndarray:
     return np.log(np.where(count > TOP, count - 0.5, np.maximum(count, 1)))
 
 
-def answer(p: int, parts: int, blocks: list[tuple[int, bytes]], hot: np.ndarray):
-    """(kind, key, block) rows: the part's counts, its totals, what it knows of texts and of histories, and the open tokens."""
+def of_single(count: np.ndarray) -> np.ndarray:
+    """Totals of single tokens' counts: tokens, types, types of each grade, types seen once more than the discounts reach, the counts beyond."""
+    return np.concatenate([[count.sum(), (count > 0).sum()], np.bincount(grade(count), minlength=TOP + 2)[1:], [(count == TOP + 1).sum(), count[count > TOP].sum()]]).astype(np.int64)
+
+
+def answer(p: int, parts: int, blocks: list[tuple[int, bytes]], hot: np.ndarray, hot_count: np.ndarray):
+    """(kind, key, block) rows: the part's counts, its totals, what it knows of texts and of histories, and the open tokens.
+
+    A block tells the counts of its words in one batch; those of hot words, whose pairs lie in many parts, are known from the start."""
     opened = [unpack(b) for _, b in blocks]
     word, w_of = np.unique(np.concatenate([b[0] for b in opened]), return_inverse=True)
     past, h_of = np.unique(np.concatenate([b[2] for b in opened]), return_inverse=True)
     single = np.bincount(w_of, np.concatenate([b[1] for b in opened]).astype(float), len(word)).astype(np.int64)
+    wide = is_in(word, hot)
+    single[wide] = hot_count[np.searchsorted(hot, word[wide])]
     shift_w = np.cumsum([0, *(len(b[0]) for b in opened)])
     shift_h = np.cumsum([0, *(len(b[2]) for b in opened)])
     key = np.concatenate([w_of[b[3].astype(np.int64) + a] * len(past) + h_of[b[4].astype(np.int64) + c] for b, a, c in zip(opened, shift_w, shift_h, strict=False)])
@@ -168,8 +199,7 @@ def answer(p: int, parts: int, blocks: list[tuple[int, bytes]], hot: np.ndarray)
     w, h = (pair // len(past), pair % len(past)) if len(past) else (pair, pair)
     seen = count > 0
     yield "counts", p, pack(word, narrow(single), past, narrow(w[seen]), narrow(h[seen]), narrow(count[seen]))
-    mine = home(word, parts) == p
-    yield "totals", p, pack(np.concatenate([[single[mine].sum(), (single[mine] > 0).sum()], np.bincount(grade(single[mine]), minlength=TOP + 2)[1:], [(single[mine] == TOP + 1).sum(), single[mine][single[mine] > TOP].sum()], np.bincount(grade(count), minlength=TOP + 2)[1:], [(count == TOP + 1).sum()]]).astype(np.int64))
+    yield "totals", p, pack(np.concatenate([of_single(single[~wide]), np.bincount(grade(count), minlength=TOP + 2)[1:], [(count == TOP + 1).sum()]]).astype(np.int64))
     # of histories: pair types by grade, the counts beyond, successors by grade of their own count, these counts beyond
     g, s = grade(count)[seen], grade(single[w])[seen]
     stats = np.zeros((2 * TOP + 4, len(past)), np.int64)
@@ -182,7 +212,7 @@ def answer(p: int, parts: int, blocks: list[tuple[int, bytes]], hot: np.ndarray)
     to = home(past, parts)
     for q, own in _by(to[known], known):
         yield "histories", q, pack(past[own], *(narrow(x[own]) for x in stats))
-    at = 0
+    at, unseen = 0, []
     for (uid, _), b in zip(blocks, opened, strict=True):
         mine = of[at : at + len(b[3])]
         at += len(b[3])
@@ -200,10 +230,13 @@ def answer(p: int, parts: int, blocks: list[tuple[int, bytes]], hot: np.ndarray)
         sums = [np.bincount(d, fixed(x), n).astype(np.int64) for x in (logs, np.log(u + 1.0))]
         yield "texts", uid, pack(narrow(docs), *map(narrow, tally), *sums)
         if open_.any():
-            ask = h[use[open_]]
-            for q, own in _by(to[ask], np.arange(len(ask))):
-                hs, back = np.unique(past[ask[own]], return_inverse=True)
-                yield "open", q, pack(np.array([uid], np.int64), hs, narrow(back), narrow(doc[open_][own]))
+            unseen.append((np.full(int(open_.sum()), uid), doc[open_], h[use[open_]]))
+    if unseen:
+        uid, doc, ask = (np.concatenate(x) for x in zip(*unseen, strict=True))
+        for q, own in _by(to[ask], np.arange(len(ask))):  # one block for each part, not for each batch
+            hs, back = np.unique(past[ask[own]], return_inverse=True)
+            uids, u = np.unique(uid[own], return_inverse=True)
+            yield "open", q, pack(uids, narrow(u), hs, narrow(back), narrow(doc[own]))
 
 
 def _by(label: np.ndarray, rows: np.ndarray):
@@ -246,7 +279,7 @@ class Totals:
 
 
 def weights(blocks: list[tuple[str, bytes]], totals: Totals):
-    """(uid, block) rows: for documents with open tokens, the sum of log c(h) a(h)."""
+    """(uid, block) rows, one for each batch: for documents with open tokens, the sum of log c(h) a(h)."""
     opened = [unpack(b) for kind, b in blocks if kind == "histories"]
     if not opened:
         return
@@ -254,13 +287,19 @@ def weights(blocks: list[tuple[str, bytes]], totals: Totals):
     stats = np.array([np.bincount(of, np.concatenate([b[1 + k] for b in opened]).astype(float), len(past)) for k in range(2 * TOP + 4)])
     count, a = totals.backoff(stats)
     value = np.log(count) + np.log(a)
+    found = []
     for kind, block in blocks:
         if kind == "open":
-            uid, hs, back, doc = unpack(block)
+            uids, u, hs, back, doc = unpack(block)
             known = is_in(hs, past)
             own = np.where(known, value[np.minimum(np.searchsorted(past, hs), len(past) - 1)], 0)[back]
-            docs, d = np.unique(doc, return_inverse=True)
-            yield int(uid[0]), pack(docs, np.bincount(d, fixed(own), len(docs)).astype(np.int64))
+            found.append((uids[u], doc.astype(np.int64), own))
+    if not found:
+        return
+    uid, doc, own = (np.concatenate(x) for x in zip(*found, strict=True))
+    for key, rows in _by(uid, np.arange(len(uid))):
+        docs, d = np.unique(doc[rows], return_inverse=True)
+        yield key, pack(narrow(docs), np.bincount(d, fixed(own[rows]), len(docs)).astype(np.int64))
 
 
 def finish(uid: int, blocks: list[tuple[str, bytes]], totals: Totals, learned: int) -> pa.RecordBatch:
@@ -315,9 +354,9 @@ def scores(docs: DataFrame, held_out, folder: str | None = None) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     folder = folder or shared.place(spark, "katz")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(4, -(-int(size) // PART))
     hot = hot_words(rows)
+    size, learned, hot_count = corpus_facts(rows, hot)
+    parts = max(4, -(-int(size) // PART))
 
     def ask(batches):
         from pyspark import TaskContext
@@ -341,7 +380,7 @@ def scores(docs: DataFrame, held_out, folder: str | None = None) -> DataFrame:
             blocks = [(uid, x) for uid, x, info in found if not info]
             out = [("info", uid, x) for uid, x, info in found if info]
             if blocks:
-                out.extend(answer(p, parts, blocks, hot))
+                out.extend(answer(p, parts, blocks, hot, hot_count))
             for a in range(0, len(out), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[a : a + 256], strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["kind", "key", "block"])
 
@@ -362,8 +401,8 @@ def scores(docs: DataFrame, held_out, folder: str | None = None) -> DataFrame:
     x = np.zeros(2 * TOP + 7, np.int64)
     for r in summed:
         x[r.pos] = r.n
+    x[: TOP + 5] += of_single(hot_count)
     totals = Totals(x)
-    learned = rows.where(~F.col("held")).count()
 
     def weigh(batches):
         for _, found in grouped(batches, 3):
