@@ -1,20 +1,26 @@
 """Secrets in texts: fixed patterns, and values in credential context that would be hard to guess.
 
 The guess cost of a value is the least sum, over all ways to cut it into segments, of the decimal
-logarithms of the guesses that each segment takes: a common word by its rank, a date by the days of
-a century, a repeat by its unit and count, a walk over neighbouring keys or a run of successive
-characters by its length, anything else by brute force; each further segment costs extra. Brute force
-takes as many guesses a character as the kinds of characters in a value in credential context have signs.
-
-Places count code points, ends are exclusive. A null or empty text has no spans.
+logarithms of the guesses that each segment takes: a word by its rank, a date by the days of
+a century, a repeat by its unit, a walk over neighbouring keys or a run of successive
+characters by its kind, each with a little for every character, anything else by brute force; each further
+segment costs extra. Brute force takes as many guesses a character as the kinds of characters in a value in
+credential context have signs. Words are some common passwords, then the whole words of a public tokenizer's
+vocabulary in its order, some 32,000; every part of a value is looked up.
+
+Places count code points, ends are exclusive. A null or empty text has no spans. The work grows with the
+text's length, however many spans it has.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
+import json
 import math
 import re
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,14 +41,17 @@ HARD = 10.0
 
 # Common password words in order of use: fixed values
 COMMON = "password qwerty admin welcome login letmein monkey dragon master hello freedom whatever trustno princess sunshine shadow football baseball superman batman michael jordan charlie jessica ashley summer winter spring autumn secret default root user test guest changeme example sample token public private access server database system manager office company google apple love money happy world house family computer internet".split()
-RANK = {w: i + 2 for i, w in enumerate(COMMON)}
-LONGEST = max(map(len, COMMON))
+#: A tokenizer's file whose vocabulary ranks words: those of three letters or more that end a word there.
+VOCABULARY, WORD_END = "word_bpe_49k.json", "</w>"
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 NEXT = {a + b for row in ROWS for x in (row, row[::-1]) for a, b in zip(x, x[1:], strict=False)}
 LEET = str.maketrans("@4301$57!", "aaeoisst" + "i")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
 SEGMENT = math.log10(4)
 BRUTE = 1.0
+#: What each character of a walk, run or repeat costs, and the least characters of one.
+STEP, LEAST = 0.02, 3
+WALK, RUN = math.log10(len(NEXT)), 1.0
 ALPHABETS = ((re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[0-9]"), 10), (re.compile("[ -/:-@\\[-`{-~]"), 33), (re.compile(r"[^\x00-\x7F]"), 100))
 #: What may be a plain word of a sentence.
 WORD = re.compile("[A-Za-z]?[a-z]+", re.ASCII)
@@ -53,69 +62,106 @@ def sign_cost(value: str) -> float:
     return max(BRUTE, math.log10(max(1, sum(n for kind, n in ALPHABETS if kind.search(value)))))
 
 
-def segments(value: str, brute: float):
-    """(start, end, cost) of each word, date, repeat, walk and run in the value."""
-    plain = value.lower()
-    leet = plain.translate(LEET)
-    n = len(value)
+@functools.cache
+def ranks(path: str | None = None) -> dict[str, int]:
+    """The number of guesses after which each word comes up."""
+    with open(path or public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    listed = (w.removesuffix(WORD_END) for w in sorted(vocabulary, key=vocabulary.get) if w.endswith(WORD_END))
+    words = dict.fromkeys([*COMMON, *(w for w in listed if len(w) >= LEAST and w.isascii() and w.isalpha())])
+    return {w: k + 2 for k, w in enumerate(words)}
+
+
+@functools.cache
+def longest(path: str | None = None) -> int:
+    return max(map(len, ranks(path)))
+
+
+def fixed_segments(value: str, path: str | None = None):
+    """(start, end, cost) of each word and date in the value, overlapping ones too."""
+    plain, rank, most = value.lower(), ranks(path), longest(path)
+    if len(plain) != len(value):  # a few letters have two signs in lower case
+        plain = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    leet, n = plain.translate(LEET), len(value)
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
-            if (r := RANK.get(plain[i:j])) or (r := 2 * RANK.get(leet[i:j], 0)):
+        for j in range(i + LEAST, min(n, i + most) + 1):
+            r = rank.get(plain[i:j]) or 2 * rank.get(leet[i:j], 0)
+            if r:
                 yield i, j, math.log10(r * (1 if plain[i:j] == value[i:j] else 2))
     for i in range(n):
         if (m := DATE.match(value, i)) and m.end() - i >= 4:
             yield i, m.end(), math.log10(100 if m.end() - i == 4 else 36_500)
-    for i, j in runs(plain, lambda a, b: a + b in NEXT):
-        yield i, j, math.log10(len(NEXT)) + math.log10(j - i)
-    for step in (1, -1):
-        for i, j in runs(plain, lambda a, b, d=step: ord(b) - ord(a) == d):
-            yield i, j, 1 + math.log10(j - i)
-    for width in (1, 2, 3, 4):
-        i = 0
-        while i + 2 * width <= n:
-            j = i + width
-            while value[j : j + width] == value[i : i + width]:
-                j += width
-            if j - i >= max(3, 2 * width):
-                yield i, j, brute * width + math.log10((j - i) // width)
-                i = j - width + 1
-            else:
-                i += 1
-
-
-def runs(value: str, follows):
-    i = 0
-    while i < len(value):
-        j = i + 1
-        while j < len(value) and follows(value[j - 1], value[j]):
-            j += 1
-        if j - i >= 3:
-            yield i, j
-        i = j
+            if m.end() - i > 4 and value[i : i + 2] in ("19", "20") and value[i : i + 4].isdecimal():
+                yield i, i + 4, math.log10(100)
+
+
+def patterns(value: str, brute: float) -> list[tuple[float, int, list[int]]]:
+    """For walks, ascending and descending runs, and repeats of one to four signs: what one costs to begin, its least length, and the length of the longest that ends after each character."""
+    plain, n = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in value], len(value)
+    pairs = [chr(a) + chr(b) in NEXT for a, b in zip(plain, plain[1:], strict=False)]
+    kinds = [(WALK, LEAST, 1, pairs)]
+    kinds += [(RUN, LEAST, 1, [b - a == d for a, b in zip(plain, plain[1:], strict=False)]) for d in (1, -1)]
+    kinds += [(brute * w, max(LEAST, 2 * w), w, [a == b for a, b in zip(value, value[w:], strict=False)]) for w in (1, 2, 3, 4)]
+    out = []
+    for begin, least, width, goes_on in kinds:
+        length = [min(k + 1, width) for k in range(n)]
+        for k in range(width, n):
+            if goes_on[k - width]:
+                length[k] = length[k - 1] + 1
+        out.append((begin, least, length))
+    return out
 
 
 @functools.lru_cache(4096)
-def guess_cost(value: str, sign: float = BRUTE) -> float:
-    """The decimal logarithm of the guesses that the cheapest segmentation takes, ``sign`` for each character by brute force; 0 for an empty value."""
+def guess_cost(value: str, sign: float = BRUTE, path: str | None = None) -> float:
+    """The decimal logarithm of the guesses that the cheapest segmentation takes, ``sign`` for each character by brute force; 0 for an empty value.
+
+    Every part of a walk, run or repeat counts as one too: for each kind the cheapest cost with such
+    a segment up to a character comes from that up to the character before, or from a new shortest one."""
     n = len(value)
     ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in segments(value, sign):
+    for i, j, cost in fixed_segments(value, path):
         ends.setdefault(j, []).append((i, cost))
+    kinds = patterns(value, sign)
+    inside = [math.inf] * len(kinds)
     brute, other = [math.inf] * (n + 1), [math.inf] * (n + 1)  # the last segment is brute force, or another
     other[0] = -SEGMENT
     for j in range(1, n + 1):
         brute[j] = min(brute[j - 1], other[j - 1] + SEGMENT) + sign
         for i, cost in ends.get(j, ()):
             other[j] = min(other[j], min(brute[i], other[i]) + SEGMENT + cost)
+        for k, (begin, least, length) in enumerate(kinds):
+            if length[j - 1] < least:
+                inside[k] = math.inf
+                continue
+            i = j - least
+            inside[k] = min(inside[k] + STEP, min(brute[i], other[i]) + SEGMENT + begin + STEP * least)
+            other[j] = min(other[j], inside[k])
     return max(0.0, min(brute[n], other[n])) if n else 0.0
 
 
-def covered(a: int, b: int, spans: list[tuple[int, int]]) -> bool:
-    """Whether the spans, in order of start, cover all from a up to b."""
-    for x, y in spans:
-        if x <= a < y:
-            a = y
-    return a >= b
+class Cover:
+    """What spans cover together: runs that neither meet nor overlap, in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def whole(self, a: int, b: int) -> bool:
+        """Whether all from a up to b is covered."""
+        k = bisect.bisect_right(self.starts, a) - 1
+        return a >= b or (k >= 0 and b <= self.ends[k])
+
+    def part(self, a: int, b: int) -> bool:
+        """Whether something from a up to b is covered."""
+        k = bisect.bisect_right(self.ends, a)
+        return k < len(self.starts) and self.starts[k] < b
 
 
 def find(text: str) -> list[tuple[str, int, int, float]]:
@@ -126,17 +172,17 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     low = text.lower()
     if any(x in low for x in MARKS):
         out += [("assign", m.start(), m.end(), guess_cost(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-        base = sorted((a, b) for _, a, b, _ in out)
+        base = Cover([(a, b) for _, a, b, _ in out])
         for m in CONTEXT.finditer(text):
             a, b = m.span(3)
-            if covered(a, b, base):
+            if base.whole(a, b):
                 continue
             value = m[3].rstrip(".!?)")
             # after "is", what looks like a word of the sentence is not taken for random letters
             prose = " is " in text[m.start() : a].lower() and WORD.fullmatch(value)
             cost = guess_cost(value, BRUTE if prose else sign_cost(value))
             # a value of which the fixed patterns name a part is a secret to its end
-            if cost >= HARD or (any(x < b and a < y for x, y in base) and not covered(a, a + len(value), base)):
+            if cost >= HARD or (base.part(a, b) and not base.whole(a, a + len(value))):
                 out.append(("guess", a, b, cost))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
