@@ -7,9 +7,10 @@ of each stretch of it, so an item that leaked into a third of the corpus, edited
 seeds. A second pass aligns the item with the words around each seed, and around n-grams of which
 a document has several close to each other, so edited copies score by what they share.
 
-Words are lower-cased (A-Z). A null text counts as empty and matches nothing; items without words
-match nothing; items with fewer words than an n-gram are one shorter n-gram. Repeated documents
-are each reported, repeated items each count.
+Seeds are n-grams of four words in a row, or of two and two with any word between: an edit at every
+fourth or third word leaves some of the latter. Words are lower-cased (A-Z). A null text counts as
+empty and matches nothing; items of fewer than eight words match nothing. Repeated documents
+are each reported, repeated items each count. Texts of any length are taken whole: an alignment holds one row.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from quizmill.llm import shared, textvec
 
 GRAM = 4
 SLICE = 1 << 20
-#: Bytes of item texts in a block; about 16 MB of lookup tables go to each task.
+#: Words of the shortest items that are searched: shorter ones stand in many clean documents by chance.
+LEAST = 8
+#: Bytes of item texts in a block; about 32 MB of lookup tables go to each task.
 BLOCK_BYTES = 4 << 20
 #: A seed occurs in at most so many documents, or in at most so many times those of the lower quartile of the item's n-grams that occur, or is the rarest of a stretch of so many places.
 RARE_DOCS, RARE_TIMES, STRETCH = 40, 4.0, 8
@@ -32,25 +35,29 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.4
 
 
+def patterns(n: int) -> list[tuple[int, ...]]:
+    """The places of words that make a seed: n in a row, and n with a hole in the middle, which an edit at every third or fourth word leaves whole."""
+    return [tuple(range(n)), (*range(n // 2), *range(n // 2 + 1, n + 1))]
+
+
 class Items:
-    """A block of items: their words, and where each n-gram occurs in them."""
+    """A block of items: their words, and where each n-gram occurs in them. Items of less than LEAST words have none."""
 
     def __init__(self, rows: list[tuple[int, str]], n: int):
         rows = [(i, t) for i, t in rows if t]
-        self.ids = [i for i, _ in rows]
+        self.ids, self.patterns = [i for i, _ in rows], patterns(n)
         raw = [t.encode() for _, t in rows]
         ends = np.cumsum([0, *map(len, raw)])
         buf = np.frombuffer(b"".join(raw), np.uint8)
         starts, stops, self.before = textvec.words(buf, ends)
         self.word = textvec.hashes(buf, starts, stops, True)
-        size = np.diff(self.before)
-        found, self.widths = [], sorted({*np.minimum(size[size > 0], n).tolist()})
-        for w in self.widths:
-            h, first = textvec.grams(self.word, self.before, w)
+        size, found = np.diff(self.before), []
+        for taken in self.patterns:
+            h, first = textvec.grams(self.word, self.before, taken[-1] + 1, taken)
             item = np.searchsorted(self.before, first, "right") - 1
-            ok = (size[item] == w) if w < n else np.ones(len(h), bool)
+            ok = size[item] >= LEAST
             found.append((h[ok], item[ok], first[ok] - self.before[item[ok]]))
-        h, item, at = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
+        h, item, at = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(h, kind="stable")
         self.hash, self.item, self.at = h[order], item[order], at[order]
         self.unique, self.first = np.unique(self.hash, return_index=True)
@@ -62,8 +69,8 @@ class Items:
     def lookup(self, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index into ``unique`` and index of the first word of each n-gram of the texts that an item has."""
         which, where = [], []
-        for w in self.widths:
-            h, first = textvec.grams(word, before, w)
+        for taken in self.patterns:
+            h, first = textvec.grams(word, before, taken[-1] + 1, taken)
             # most n-grams are in no item: a table of 2^20 entries turns them away before the search
             if len(self.unique):
                 maybe = np.flatnonzero(self.mask[(h >> textvec.U(44)).astype(np.intp)])
@@ -108,32 +115,40 @@ def rare_seeds(items: Items, docs_with: np.ndarray, threshold: float = THRESHOLD
     return out
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment score, and the words of the passage from which and up to which it reaches."""
-    m = len(passage)
+def _next_row(row: np.ndarray, ramp: np.ndarray, step: np.ndarray, floor: int | None) -> np.ndarray:
+    """The row of an alignment matrix below ``row``; with a floor, scores begin anew there."""
+    now = np.empty_like(row)
+    now[0] = row[0] + GAP if floor is None else floor
+    now[1:] = np.maximum(row[:-1] + step, row[1:] + GAP)
+    if floor is not None:
+        np.maximum(now, floor, out=now)
+    return np.maximum.accumulate(now + ramp) - ramp  # gaps along the passage
+
+
+def align(item: np.ndarray, passage: np.ndarray, least: float = 0.0) -> tuple[int, int, int]:
+    """Best local alignment score, and the words of the passage from which and up to which it reaches (0, 0 below ``least``).
+
+    Only one row of the matrix is held. Where the alignment begins comes from the same pass backwards
+    from its end, over as many words as an alignment of its score can have.
+    """
+    ramp = np.arange(len(passage) + 1) * -GAP
+    row = np.zeros(len(passage) + 1, np.int64)
     best, at = 0, (0, 0)
-    ramp = np.arange(m + 1) * -GAP
-    row = np.zeros(m + 1, np.int64)
-    rows = [row]
-    for w in item:
-        step = np.where(passage == w, MATCH, MISMATCH)
-        now = np.zeros(m + 1, np.int64)
-        now[1:] = np.maximum(np.maximum(row[:-1] + step, row[1:] + GAP), 0)
-        now = np.maximum.accumulate(now + ramp) - ramp  # gaps along the passage
-        rows.append(now)
-        if (top := int(now.max())) > best:
-            best, at = top, (len(rows) - 1, int(now.argmax()))
-        row = now
-    i, j = at
-    stop = j
-    while i and j and rows[i][j] > 0:
-        if rows[i][j] == rows[i - 1][j - 1] + (MATCH if item[i - 1] == passage[j - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-        elif rows[i][j] == rows[i - 1][j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return best, j, stop
+    for i, w in enumerate(item):
+        row = _next_row(row, ramp, np.where(passage == w, MATCH, MISMATCH), 0)
+        if (top := int(row.max())) > best:
+            best, at = top, (i + 1, int(row.argmax()))
+    if not best or best < least:
+        return best, 0, 0
+    i, stop = at
+    back = passage[max(0, stop - i * (1 - MATCH // GAP)) : stop][::-1]
+    ramp = ramp[: len(back) + 1]
+    row = -ramp
+    for w in item[:i][::-1]:
+        row = _next_row(row, ramp, np.where(back == w, MATCH, MISMATCH), None)
+        if (reached := np.flatnonzero(row == best)).size:
+            return best, stop - int(reached[0]), stop
+    raise AssertionError("an alignment that has an end has a start")
 
 
 def passages(where: np.ndarray, at: np.ndarray, size: int, n_words: int) -> list[tuple[int, int]]:
@@ -242,7 +257,7 @@ def _aligner(sent, seeds, threshold, names):
                         here = (at >= lo) & (at < hi)
                         if not seed[own[here]].any() and len(np.unique(at[here])) < 2:
                             continue
-                        score, i, j = align(target, text[lo:hi])
+                        score, i, j = align(target, text[lo:hi], threshold * MATCH * len(target))
                         best = max(best, (score / (MATCH * len(target)), lo + i, lo + j))
                     if best[0] >= threshold:
                         old[a + d] = [*old[a + d], {"item_id": items.ids[k[x]], "score": best[0], "first_word": best[1], "end_word": best[2]}]

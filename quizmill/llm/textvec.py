@@ -113,12 +113,12 @@ def _joined(total: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(total ^ (n * U(0xA0761D6478BD642F)))
 
 
-def grams(word: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each window of n words that lies in one text, and the index of its first word."""
+def grams(word: np.ndarray, before: np.ndarray, n: int, taken: tuple[int, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each window of n words that lies in one text, and the index of its first word. ``taken``: the places that count, all if not given."""
     if len(word) < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     total = np.zeros(len(word) - n + 1, np.uint64)
-    for k in range(n):
+    for k in range(n) if taken is None else taken:
         total += word[k : len(word) - n + 1 + k] * _MULTS[k]
     ok = np.ones(len(total), bool)
     cuts = before[1:-1]

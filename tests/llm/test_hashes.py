@@ -78,7 +78,7 @@ def test_op2(spark, folder):
 
 def test_op7(spark):
     rows = [(k, f"{prose(50 + k, 20)} {t} {prose(60 + k, 20)}") for k, t in enumerate(twins(10))]
-    items = [(7, " ".join([twins(10)[0]] * 6))]
+    items = [(7, " ".join([twins(10)[0]] * 12))]
     rows.append((2, f"{prose(70, 20)} {items[0][1]}"))
     found = decontaminate.matched(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {r.doc_id: len(r.benchmark_hits) for r in found.collect()} == {0: 0, 1: 0, 2: 1}
