@@ -10,7 +10,8 @@ that spans many partitions is solved from one matrix for each, and no task holds
 
 Turns are ordered by turn, then text; null turns come first. Null conv_ids are one conversation.
 Unknown and null roles fit no state, so they are merged or relabelled. A null text is empty. A
-conversation of no turns has no rows. Among cheapest choices the first in the order above wins.
+conversation of no turns has no rows, an empty table an empty result. Columns other than conv_id, turn,
+role and text are left out, whatever their names; turns of any length are taken whole. Among cheapest choices the first in the order above wins.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from quizmill.llm import shared
 
 ROLES = ("system", "user", "assistant")
+#: Bytes of turns for each part.
+PART = 64 << 20
 NOTHING, SYSTEM, USER, ASSISTANT = range(4)
 KEEP, MERGE, RELABEL, INSERT = "keep", "merge", "relabel", "insert"
 COST = {KEEP: 0.0, MERGE: 1.0, RELABEL: 2.0, INSERT: 3.0}
@@ -99,9 +102,9 @@ def repaired(turns: DataFrame) -> DataFrame:
     new_role, actions, cost, and ``piece``; the pieces of a conversation in order of position are its rendering."""
     spark = turns.sparkSession
     shared.shared_dir(spark)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "text", "role")]
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    parts = shared.parts_for(spark, shared.bytes_of(rows), PART)
     dealt = shared.stored(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "turns")
 
     def in_order(columns):

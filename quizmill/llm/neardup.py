@@ -34,6 +34,8 @@ REST = 57
 SLICE = 1 << 20
 #: Pairs of a bucket from which on its full sets are sent to one place, and bytes of them in one block.
 HEAVY, BLOCK_BYTES = 2000, 16 << 20
+#: Pairs, and members of buckets with many pairs, that one task compares; the most tasks that such work is dealt to.
+PAIRS, MEMBERS, MOST_PARTS = 4000, 1000, 20_000
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 6.0
 U = np.uint64
@@ -149,10 +151,16 @@ def _pairs_possible(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v", "n_u", "r_u", "n_v", "r_v").mapInArrow(run, "u binary, v binary")
 
 
+def _parts(rows: int, each: int) -> int:
+    """Parts for so many rows of comparing work, so that no task's share grows with their number; MOST_PARTS at most."""
+    return max(8, min(MOST_PARTS, -(-rows // each)))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the threshold."""
-    left = pairs.join(sets.select(F.col("c").alias("v"), F.col("s").alias("s_v")), "v")
-    both = left.join(sets.select(F.col("c").alias("u"), F.col("s").alias("s_u")), "u").select("u", "v", "s_u", "s_v")
+    """The pairs (u, v) whose full sets reach the threshold. pairs: a stored table, in which one u may be in many rows."""
+    n = _parts(pairs.count(), PAIRS)
+    left = pairs.join(sets.select(F.col("c").alias("u"), F.col("s").alias("s_u")), "u").repartition(n, "v")
+    both = left.join(sets.select(F.col("c").alias("v"), F.col("s").alias("s_v")).repartition(n, "v"), "v").select("u", "v", "s_u", "s_v")
 
     def run(batches):
         for batch in batches:
@@ -243,7 +251,7 @@ def _compare(group, percent: int, full: bool):
             yield tuple(sorted((group[q][2], group[k][2])))
 
 
-def _meet(rows: DataFrame, percent: int, full: bool) -> DataFrame:
+def _meet(rows: DataFrame, percent: int, full: bool, parts: int) -> DataFrame:
     """_compare for each (key, i, j). rows: key, i, j, block, minor, c, label, n_shingles, registers, band, s."""
 
     def run(batches):
@@ -258,7 +266,7 @@ def _meet(rows: DataFrame, percent: int, full: bool) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["u", "v"])
 
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.select("key", "i", "j", "block", "minor", "c", "label", "n_shingles", "registers", "band", "s").mapInArrow(run, "u binary, v binary")
 
 
@@ -276,15 +284,16 @@ def _mixed(bands: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame
 def _across(mixed: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(possible pairs of light buckets, linked pairs of heavy ones), all between components."""
     zero = F.lit(0)
+    size = mixed.agg(F.count_if(~F.col("heavy")).alias("light"), F.sum(F.when(F.col("heavy"), F.col("blocks"))).alias("heavy")).first()
     light = mixed.where("not heavy").select("*", zero.alias("i"), zero.alias("j"), zero.alias("block"), F.lit(None).cast("binary").alias("s"))
-    possible = shared.stored(_meet(light, percent, False).distinct(), "across")
+    possible = shared.stored(_meet(light, percent, False, _parts(size.light, PAIRS)).distinct(), "across")
     heavy = mixed.where("heavy")
     wanted = heavy.groupBy("c").agg(F.first("one").alias("one")).select("c", "one.doc_id", "one.text_key")
     more = shared.stored(full_sets(docs, wanted.join(sets.select("c"), "c", "left_anti")), "sets")
     heavy = heavy.join(sets.unionAll(more), "c").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     # each pair of blocks is a group; a bucket of one block is sent once
     met = heavy.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return possible, shared.stored(_meet(met, percent, True).distinct(), "links")
+    return possible, shared.stored(_meet(met, percent, True, _parts(size.heavy or 0, MEMBERS)).distinct(), "links")
 
 
 def clustered(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

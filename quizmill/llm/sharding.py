@@ -22,6 +22,8 @@ SHARDS = 24
 #: Cells of a group for each shard.
 FINE = 8
 ROUNDS = 6
+#: Rows for each part when slots are numbered.
+PART = 1_000_000
 
 
 def _chance(*cols) -> Column:
@@ -74,7 +76,7 @@ def balanced(placed: DataFrame, quotas: list[int]) -> DataFrame:
     """Slots within shards, rows beyond the quota moved to where rows are missing."""
     spark, shards = placed.sparkSession, len(quotas)
     order = ["shard", "alone", "g", "doc_id"]
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = shared.parts_for(spark, sum(quotas), PART)
     dealt = shared.stored(placed.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "shard-order")
     number = F.row_number().over(Window.partitionBy("part", "shard").orderBy("alone", "g", "doc_id"))
     tally = dealt.groupBy("part", "shard").agg(F.count("*").alias("n"))

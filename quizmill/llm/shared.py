@@ -77,6 +77,16 @@ def texts_of(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*(F.col(n).cast("long") if n == "doc_id" else F.col(n) for n in names), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def parts_for(spark: SparkSession, amount: int, each: int) -> int:
+    """How many parts to deal an amount to: those of the session's shuffles, more when parts of ``each`` are more."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(amount) // each))
+
+
+def bytes_of(rows: DataFrame) -> int:
+    """UTF-8 bytes of all texts, and 8 for each row."""
+    return rows.agg(F.sum(F.octet_length("text").cast("long") + 8)).first()[0] or 0
+
+
 def rows_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary Arrow array and the offset of each row, without a copy of the bytes."""
     if isinstance(array, pa.ChunkedArray):

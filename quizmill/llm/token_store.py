@@ -8,7 +8,8 @@ lies beside the files. To read one document takes the last 16 bytes, the index a
 
 Documents lie in ascending doc_id order over the files in the order of their names. A null
 doc_id is written as the smallest 64-bit integer and read as null. A null text counts as empty,
-so its document has the end id only. Repeated rows are each written.
+so its document has the end id only. Repeated rows are each written. Columns other than doc_id and text
+are left out, whatever their names; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø
 BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))}
 #: The dictionary is trained on so many documents at most, the ones whose hashes are lowest, and so many bytes of each, from a place that a hash of its ids names.
 TRAIN_DOCS, TRAIN_BYTES, DICT_BYTES = 1000, 4096, 64 << 10
+#: Bytes of text for each file.
+PART = 256 << 20
 _ENTRY = np.dtype([("doc_id", "<i8"), ("at", "<i8"), ("length", "<i8"), ("ids", "<i8")])
 
 
@@ -220,7 +223,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         where.move(temporary, f"{path}/{name}")
         yield pa.RecordBatch.from_pydict({"file": [name], "first_id": pa.array([int(index["doc_id"][0])], pa.int64()), "last_id": pa.array([int(index["doc_id"][-1])], pa.int64()), "docs": pa.array([len(index)], pa.int64()), "ids": pa.array([int(index["ids"].sum())], pa.int64())})
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = shared.parts_for(spark, shared.bytes_of(rows), PART)
     ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(save, "file string, first_id long, last_id long, docs long, ids long").write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
