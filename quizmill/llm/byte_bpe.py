@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -180,7 +181,7 @@ class Codec:
         import tiktoken
 
         core = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.rank, special_tokens={})._core_bpe
-        self.cache = SliceCache(lambda new: list(map(core.encode_single_piece, new)))
+        self.cache = SliceCache(lambda new: [array("I", ids).tobytes() for ids in map(core.encode_single_piece, new)])
 
     def encode(self, buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and the number of ids before each text (one entry more than texts)."""

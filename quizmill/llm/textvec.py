@@ -178,7 +178,7 @@ def classes(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.
 class SliceCache:
     """From slices of bytes to ids, each different slice computed once while it is kept.
 
-    ``compute`` takes a list of bytes objects and returns a list of id sequences. The cache holds
+    ``compute`` takes a list of bytes objects and returns the ids of each as the bytes of 32-bit integers. The cache holds
     at most ``most`` slices; beyond that it starts anew, which costs time and never changes ids.
     """
 
@@ -199,7 +199,7 @@ class SliceCache:
                 known.clear()
                 new = keys
             for k, v in zip(new, self.compute(new), strict=True):
-                known[k] = np.asarray(v, np.uint32).tobytes()
+                known[k] = v
         got = [known[k] for k in keys]
         sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
         flat = np.frombuffer(b"".join(got), np.uint32)

@@ -20,6 +20,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,18 @@ from quizmill.llm.textvec import SliceCache, words
 TOKENIZER = "word_bpe_49k.json"
 MAGIC = b"QMTOKEN1"
 NO_ID = -(2**63)
-SLICE = 1 << 20
+SLICE = 2 << 20
 #: Words on which the tokenizer's normal form is plain lower case, what its pattern cuts them into, and its sign for each byte that has none.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))}
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+|\n")
+BYTE_SIGNS = np.arange(256, dtype="<u2")
+_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+BYTE_SIGNS[_HIDDEN] = np.arange(256, 256 + len(_HIDDEN))
+BYTE_SIGNS[0x0A] = 0x0A  # stands between words here
+#: Stands after each word's ids while words are cut together; no id below 2^24 has four such bytes, nor do two neighbours.
+END_OF_WORD = b"\xff" * 4
+#: Pieces of words whose ids are kept at once.
+MOST_PIECES = 400_000
 #: The dictionary is trained on so many documents at most, the ones whose hashes are lowest, and so many bytes of each, from a place that a hash of its ids names.
 TRAIN_DOCS, TRAIN_BYTES, DICT_BYTES = 1000, 4096, 64 << 10
 #: Bytes of text for each file.
@@ -46,6 +54,11 @@ PART = 256 << 20
 _ENTRY = np.dtype([("doc_id", "<i8"), ("at", "<i8"), ("length", "<i8"), ("ids", "<i8")])
 
 
+def byte_signs(text: str) -> str:
+    """The sign of each byte of the text's UTF-8 form."""
+    return BYTE_SIGNS[np.frombuffer(text.encode("utf-8"), np.uint8)].tobytes().decode("utf-16-le")
+
+
 class WordCodec:
     """Ids of whole texts by a tokenizer that drops white space: each different word is encoded once while cached.
 
@@ -60,25 +73,30 @@ class WordCodec:
         self.tokenizer, self.added = tokenizer, [t.content.encode() for t in added]
         self.all_whole = any(t.normalized for t in added)  # such tokens are found in a normal form, not in the text
         model = tokenizer.model
-
-        @functools.lru_cache(100_000)
-        def piece(text: str) -> list[int]:
-            return [t.id for t in model.tokenize(text if text.isascii() else text.encode("utf-8").decode("latin-1").translate(BYTE_SIGNS))]
-
-        def compute(new: list[bytes]) -> list[list[int]]:
-            """Words of plain Latin letters and ASCII signs go straight to the library's merges; others go all its way."""
-            out: list[list[int]] = []
-            for w in new:
-                text = w.decode("utf-8")
-                if not PLAIN.fullmatch(text):
-                    out.append(tokenizer.encode(text, add_special_tokens=False).ids)
-                    continue
-                text = text.lower()
-                if text.isalpha():
-                    out.append(piece(text))
-                else:
-                    out.append([i for part in PIECES.findall(text) for i in piece(part)])
-            return out
+        pieces: dict[str, bytes] = {}
+
+        def of_plain(words_: list[str]) -> list[bytes]:
+            """Words of plain Latin letters and ASCII signs, cut by one pass over all of them; each different piece goes straight to the library's merges."""
+            cut = PIECES.findall("\n".join(words_).lower())
+            new = [x for x in dict.fromkeys(cut) if x not in pieces and x != "\n"]
+            if len(pieces) + len(new) > MOST_PIECES:
+                pieces.clear()
+                new = [x for x in dict.fromkeys(cut) if x != "\n"]
+            other = [x for x in new if not x.isascii()]
+            signs = dict(zip(other, byte_signs("\n".join(other)).split("\n"), strict=True)) if other else {}
+            for x in new:
+                pieces[x] = array("I", [t.id for t in model.tokenize(signs.get(x, x))]).tobytes()
+            pieces["\n"] = END_OF_WORD
+            return b"".join(map(pieces.__getitem__, cut)).split(END_OF_WORD)
+
+        def compute(new: list[bytes]) -> list[bytes]:
+            """The ids of each word. Words with other signs than plain ones go all the library's way."""
+            text = b"\n".join(new).decode("utf-8").split("\n")
+            plain = [w for w in text if PLAIN.fullmatch(w)]
+            if len(plain) == len(text):
+                return of_plain(plain)
+            known = dict(zip(plain, of_plain(plain), strict=True)) if plain else {}
+            return [known[w] if w in known else array("I", tokenizer.encode(w, add_special_tokens=False).ids).tobytes() for w in text]
 
         self.cache = SliceCache(compute)
 

@@ -56,7 +56,7 @@ def test_slices_of_one_hash_are_told_apart(monkeypatch, bits):
     buf = np.frombuffer(raw, np.uint8)
     starts, stops, _ = textvec.words(buf, np.array([0, len(buf)]))
     monkeypatch.setattr(textvec, "hashes", lambda *a: real(*a) >> np.uint64(64 - bits))
-    cache = textvec.SliceCache(lambda new: [list(x) for x in new])
+    cache = textvec.SliceCache(lambda new: [np.array(list(x), np.uint32).tobytes() for x in new])
     ids, each = cache.ids(buf, starts, stops)
     assert bytes(ids.astype(np.uint8)) == raw.replace(b" ", b"") and (each == stops - starts).all()
 
