@@ -16,6 +16,7 @@ CHECK_STOP = (
     "the a an and or of to in for with on at by is are be that this it as from not all any first should patient nurse then when which "
     "what who most more than use used using after before only would will its their"
 ).split()
+# Grammars of slugs and price keys, and what counts as a word of a check: fixed values
 SLUG = r"^[a-z0-9][a-z0-9-]{0,63}$"
 PRICE_KEY = r"^(pro_[a-z0-9_]{1,40}|all_access|ebook_[a-z0-9_]{1,40})$"
 CHECK_WORD = r"([a-z0-9][a-z0-9+'.-]{2,})"
@@ -28,14 +29,17 @@ def norm(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """The words of the normal form that a search counts."""
-    stop = F.array(*map(F.lit, SEARCH_STOP))
-    return F.filter(F.split(norm(text), " "), lambda w: (w != "") & ~F.array_contains(stop, w))
+    return tokens_of(norm(text))
+
+
+def tokens_of(normal: Column) -> Column:
+    """``tokens`` of what is in its normal form."""
+    return F.filter(F.split(normal, " "), lambda w: ~w.isin("", *SEARCH_STOP))
 
 
 def check_words(text: Column) -> Column:
     """Distinct words of three signs or more that carry meaning in a choice or rationale."""
-    stop = F.array(*map(F.lit, CHECK_STOP))
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(CHECK_WORD), 1), lambda w: ~F.array_contains(stop, w)))
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(CHECK_WORD), 1), lambda w: ~w.isin(*CHECK_STOP)))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -49,7 +53,7 @@ def lead_clause(rationale: Column) -> Column:
 
 
 def negated(choice: Column) -> Column:
-    """Whether a choice opens with a negation."""
+    """Whether a choice opens with a negation; the words are fixed values."""
     return F.trim(choice).rlike(r"(?i)^(no|none|not|never)\b")
 
 

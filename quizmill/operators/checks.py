@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quizmill.functions import text
 
+# A choice named with its letter, and what may stand before the name: fixed values
+ARTICLE = r"(?i)^(and|or|but|the|a|an|is|not)\s+"
 NAMED = r"([A-Za-z][A-Za-z'’\- ]{3,44}?)\s*\(([A-D])\)"
 
 
@@ -36,7 +38,7 @@ def stale_letters(bank: DataFrame) -> DataFrame:
     """Places where a rationale names a choice with another choice's letter."""
     names = F.arrays_zip(F.regexp_extract_all("why", F.lit(NAMED), 1).alias("name"), F.regexp_extract_all("why", F.lit(NAMED), 2).alias("sign"))
     rows = bank.where(F.col("choices").isNotNull() & F.col("answer").isNotNull() & (F.coalesce("why", F.lit("")) != "")).select("slug", "id", "choices", F.posexplode(names).alias("at", "m"))
-    rows = rows.select("slug", "id", "choices", "at", F.trim(F.regexp_replace("m.name", r"(?i)^(and|or|but|the|a|an|is|not)\s+", "")).alias("name"), (F.ascii("m.sign") - 65).alias("idx"))
+    rows = rows.select("slug", "id", "choices", "at", F.trim(F.regexp_replace("m.name", ARTICLE, "")).alias("name"), (F.ascii("m.sign") - 65).alias("idx"))
     rows = rows.where((F.col("idx") < F.size("choices")) & (F.size(F.split("name", r"\s+")) <= 6)).withColumn("_nw", text.check_words(F.col("name")))
     # the share of the name's words that each choice has
     scores = F.transform("choices", lambda c, i: F.when(i == F.col("idx"), F.lit(-1.0)).otherwise(text.overlap(F.col("_nw"), text.check_words(c))))

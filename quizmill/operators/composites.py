@@ -6,34 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quizmill.operators import access, learner, planner, recommend
+from quizmill.operators import learner, planner, recommend
 
 
 def recommended(items: DataFrame, responses: DataFrame, n: int, seed: int = 0, jitter: float = 0.0) -> DataFrame:
     """What each user should study next: the capped and padded best; a user without answers gets n items in shuffled order.
 
     items: user_id, item_id, cat for every user and item on offer."""
-    noise = None if not jitter else F.pmod(F.xxhash64("user_id", "item_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20) * jitter
+    noise = None if not jitter else F.conv(F.substring(recommend.shuffle_key(seed, "user_id", "item_id"), 1, 5), 16, 10).cast("double") / float(1 << 20) * jitter
     known = items.join(responses.select("user_id").distinct(), "user_id", "left_semi")
     warm = recommend.padded(recommend.scored(known, learner.category_stats(responses), learner.weakest_items(responses, 60), learner.item_difficulty(responses), noise), n, seed)
     cold = items.join(responses.select("user_id").distinct(), "user_id", "left_anti")
-    order = Window.partitionBy("user_id").orderBy(F.xxhash64("item_id", F.lit(seed)), "item_id")
+    order = Window.partitionBy("user_id").orderBy(recommend.shuffle_key(seed, "item_id"), "item_id")
     cold = cold.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
     return warm.unionByName(cold.select("user_id", "item_id", "cat", F.lit(None).cast("double").alias("score"), "rank"))
 
 
 def summary(blocks: DataFrame, terms: int, questions: int, days_left: int | None, limit: int = 3) -> DataFrame:
     """One record per user: estimate, progress, next block and tips. blocks: user_id, id, ts, activity, minutes, focus, distractions."""
-    spark = blocks.sparkSession
-    size = planner.estimated(spark.createDataFrame([(terms, questions)], "terms long, questions long"))
-    e = size.first()  # one row
-    moved = planner.progress(blocks, e.hours, e.blocks, days_left)
-    each = blocks.where("minutes > 0").groupBy("user_id").agg(*(F.sum(F.when(F.col("activity") == a, F.col("minutes"))).alias(a) for a in planner.ACTIVITIES))
-    targets = {a: e[f"{a}_hours"] * 60 for a in planner.ACTIVITIES}
+    hours, total, parts = planner.hours_of(terms, questions)
+    moved = planner.progress(blocks, hours, total, days_left)
+    each = blocks.where("minutes > 0").groupBy("user_id").agg(*(F.round(F.sum(F.when(F.col("activity") == a, F.col("minutes"))), 6).alias(a) for a in planner.ACTIVITIES))
+    targets = {a: parts[a] * 60 for a in planner.ACTIVITIES}
     next_ = planner.next_block(each.join(moved.select("user_id", "percent"), "user_id"), targets).select("user_id", F.col("activity").alias("next_activity"), "minutes_left")
     done = blocks.groupBy("user_id").agg(F.count_if(F.col("minutes") > 0).alias("done"))
     tips = planner.tips(planner.focus(blocks).join(done, "user_id"), planner.distractions(blocks), limit)
-    return moved.join(next_, "user_id").join(tips, "user_id").withColumn("hours", F.lit(e.hours)).withColumn("blocks", F.lit(e.blocks))
+    return moved.join(next_, "user_id").join(tips, "user_id").withColumn("hours", F.lit(hours)).withColumn("blocks", F.lit(total).cast("long"))
 
 
 def advice(rows: DataFrame) -> DataFrame:
@@ -99,8 +97,3 @@ def uncached(imports: DataFrame, shell: DataFrame) -> DataFrame:
     """Imported files that a shell's list lacks. imports, shell: app, file."""
     return imports.distinct().join(shell.distinct(), ["app", "file"], "left_anti")
 
-
-def tier_gate(rows: DataFrame, features: list[str]) -> DataFrame:
-    """Every feature's state for each row. rows: tier, tier_app, is_active, slug, signed_in."""
-    pro = access.is_pro(F.col("tier"), F.col("tier_app"), F.col("is_active"), F.col("slug"))
-    return rows.select("*", *(access.can(F.lit(f), pro, F.col("signed_in")).alias(f) for f in features))

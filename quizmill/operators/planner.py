@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +25,15 @@ FOCUS_TIP, FOCUS_BELOW = 12, 2.6
 GENERAL = [k for k in range(1, 31) if k not in (*TIP_OF.values(), FOCUS_TIP)]
 
 
+def hours_of(terms: int, questions: int) -> tuple[float, int, dict[str, float]]:
+    """The same for one app: hours in all, one-hour blocks, hours of each activity."""
+    t, q = max(0, terms), max(0, questions)
+    seconds = {"glossary": t * FIRST_READ, "drills": t * REPETITION * REPETITIONS, "practice": q * QUESTION + q * REDO_SHARE * REDO, "exams": SIMS * min(SIM_ITEMS, q) * SIM_PACE}
+    half = lambda x: math.floor(x / 1800 + 0.5) / 2
+    total = sum(seconds.values())
+    return half(total), max(1, math.ceil(total / 3600)), {k: half(x) for k, x in seconds.items()}
+
+
 def estimated(rows: DataFrame, terms: str = "terms", questions: str = "questions") -> DataFrame:
     """Hours of each activity and in all, and one-hour blocks."""
     t, q = (F.greatest(F.lit(0), F.col(c)).cast("double") for c in (terms, questions))

@@ -32,7 +32,7 @@ def padded(rows: DataFrame, n: int, seed: int = 0, share: float = 0.4) -> DataFr
     """``capped``, filled up to n with other items of the user in an order that the seed fixes."""
     best = capped(rows, n, share)
     rest = rows.join(best.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    order = Window.partitionBy("user_id").orderBy(F.xxhash64("item_id", F.lit(seed)), "item_id")
+    order = Window.partitionBy("user_id").orderBy(shuffle_key(seed, "item_id"), "item_id")
     fill = rest.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
     have = best.groupBy("user_id").agg(F.count("*").alias("_have"))
     fill = fill.join(have, "user_id", "left").where(F.col("rank") + F.coalesce("_have", F.lit(0)) <= n)
@@ -49,7 +49,12 @@ def round_robin(rows: DataFrame, n: int, group: str, order: str) -> DataFrame:
 
 def shuffled(rows: DataFrame, seed: int, *keys: str) -> DataFrame:
     """``shuffle_key``: sorting by it is a permutation that the seed fixes."""
-    return rows.withColumn("shuffle_key", F.xxhash64(*keys, F.lit(seed)))
+    return rows.withColumn("shuffle_key", shuffle_key(seed, *keys))
+
+
+def shuffle_key(seed: int, *keys: str) -> Column:
+    """The MD5 of the keys and the seed as text: any engine can repeat the order."""
+    return F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in keys), F.lit(str(seed))))
 
 
 def reasons(stats: DataFrame, below: float = 0.7, most: int = 2) -> DataFrame:

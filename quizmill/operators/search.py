@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quizmill.functions import text
 
+# Points of each kind of match, the least score and the share of the leader's: fixed values
 COVERS, PHRASE, WORD, STEM, HAY = 60, 30, 18, 9, 6
 LEAST, SHARE = 12, 0.6
 

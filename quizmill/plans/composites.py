@@ -5,32 +5,56 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quizmill.operators import composites
+from quizmill.operators.planner import ACTIVITIES
 from quizmill.plans import learner, planner
 from quizmill.plans.registry import query
 from quizmill.sources import tables
 
 
-@query("SELECT user_id, least(10, count(DISTINCT item_id)) AS n FROM responses GROUP BY 1", "responses")
-def recommended_sizes(spark, d):
+WARM = learner.PADDED.replace("WITH s AS", "WITH everything AS ({all}), responses AS (SELECT * FROM everything WHERE user_id%5<>0), s AS").replace("{all}", tables.SQL["responses"])
+COLD = "SELECT user_id, item_id, cat, row_number() OVER (PARTITION BY user_id ORDER BY md5(item_id||':0'), item_id) AS rank FROM (SELECT user_id, item_id, min(category) AS cat FROM everything WHERE user_id%5=0 GROUP BY 1,2) QUALIFY rank<=10"
+
+
+@query(f"{WARM} UNION ALL {COLD}")
+def recommended(spark, d):
     """A fifth of the users have no answers on record and start cold."""
     r = tables.responses(spark, d)
     offer = r.groupBy("user_id", "item_id").agg(F.min("category").alias("cat"))
-    return composites.recommended(offer, r.where("user_id % 5 <> 0"), 10).groupBy("user_id").agg(F.count("*").alias("n"))
+    return composites.recommended(offer, r.where("user_id % 5 <> 0"), 10).select("user_id", "item_id", "cat", "rank")
 
 
-@query()
-def planner_summary(spark, d):
-    from quizmill.operators.planner import ACTIVITIES
+SIZE = planner.ESTIMATE.replace(planner.REGISTRY, "SELECT 0 AS id, 120 AS terms, 100 AS questions")
+DONE = "SELECT user_id, sum(minutes) AS m, count(*) FILTER (WHERE minutes>=40) AS blocks_done, " + ", ".join(f"coalesce(round(sum(minutes) FILTER (WHERE {planner.AS_ACT}='{a}'),6),0) AS {a}" for a in ACTIVITIES) + " FROM plan_events WHERE minutes>0 GROUP BY 1"
+MOVED = f"SELECT d.*, e.hours, e.blocks, round(m,6) AS minutes, CAST(floor(m/6+0.5) AS BIGINT) AS tenths_of_hours, CAST(least(100, floor(m/(e.hours*60)*100+0.5)) AS BIGINT) AS percent, CAST(ceil(greatest(0,e.blocks-blocks_done)/(21/7.0::DOUBLE)) AS BIGINT) AS blocks_per_week, [" + ", ".join(f"{{'a':'{a}','t':e.{a}_hours*60,'d':d.{a},'k':{k}}}" for k, a in enumerate(ACTIVITIES)) + f"] AS options FROM ({DONE}) d CROSS JOIN ({SIZE}) e"
+NEXT = f"SELECT user_id, o.a AS next_activity, greatest(0.0::DOUBLE, o.t-o.d) AS minutes_left FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (o.t-o.d)/o.t DESC, o.k) AS r FROM (SELECT user_id, percent, unnest(options) AS o FROM ({MOVED})) WHERE o.a<>'exams' OR percent>=55) WHERE r=1"
 
+
+@query(f"SELECT m.user_id, m.minutes, m.tenths_of_hours, m.blocks_done, m.percent, m.blocks_per_week, n.next_activity, n.minutes_left, t.tips, m.hours, m.blocks FROM ({MOVED}) m JOIN ({NEXT}) n USING (user_id) JOIN ({planner.TIPS_SHOWN}) t USING (user_id)", "plan_events")
+def planner_summary(spark, d):
     act = F.get(F.array(*map(F.lit, ACTIVITIES)), (F.col("id") % 4).cast("int"))
-    return composites.summary(planner._blocks(spark, d).withColumn("activity", act), 120, 100, 21)
+    return composites.summary(planner._blocks(spark, d).withColumn("activity", act), 120, 100, 21).withColumn("tips", F.array_join("tips", ","))
 
 
-@query(f"SELECT id, CASE WHEN id%7=0 THEN 'unknown' ELSE NULL END AS known, hours FROM ({planner.ESTIMATE}) WHERE id%7=0")
-def advice_without_date(spark, d):
+@query(f"WITH t AS (SELECT id, hours, CASE WHEN id%7<>0 THEN id%60 END AS days, id%4 AS exams, id%2=0 AS together FROM ({planner.ESTIMATE})), a AS (SELECT *, floor(days/7.0::DOUBLE*5.0::DOUBLE*10+0.5)/10 AS av FROM t) SELECT id, hours, CASE WHEN days IS NULL THEN 'unknown' WHEN days=0 THEN 'past' WHEN hours<=0 OR av/hours>=1.25 THEN 'comfortable' WHEN av/hours>=1 THEN 'workable' WHEN av/hours>=0.7 THEN 'tight' ELSE 'short' END AS verdict, av AS available, CASE WHEN days IS NOT NULL THEN greatest(0.0::DOUBLE, floor((hours-av)*10+0.5)/10) END AS shortfall, CASE WHEN exams<=1 THEN 'pro' WHEN together THEN 'all_access' ELSE 'pro' END AS pick, CASE WHEN exams>1 AND NOT together THEN 'all_access' END AS alternative, exams*799-1499 AS saved_cents, true AS has_book, greatest(0.0::DOUBLE, hours-3.0::DOUBLE) AS hours_beyond_book FROM a")
+def advice(spark, d):
+    """Timeline, plan and book against app, for apps with all kinds of days left."""
     k = F.col("id")
     rows = composites.sized(planner.registry(spark, d)).select("id", "hours", F.when(k % 7 != 0, k % 60).alias("days"), F.lit(5.0).alias("hours_per_week"), (k % 4).alias("exams"), (k % 2 == 0).alias("simultaneous"), F.lit(3.0).alias("book_hours"))
-    return composites.advice(rows).where("verdict = 'unknown'").select("id", F.col("verdict").alias("known"), "hours")
+    return composites.advice(rows).select("id", "hours", "verdict", "available", "shortfall", "pick", "alternative", "saved_cents", "has_book", "hours_beyond_book")
+
+
+@query("SELECT id, user_id, user_id=7 AS writable FROM responses", "responses")
+def writable_answers(spark, d):
+    """What one user may write, and what not."""
+    own, other = composites.writable(tables.responses(spark, d).select("id", "user_id"), F.lit(7))
+    return own.withColumn("writable", F.lit(True)).unionByName(other.withColumn("writable", F.lit(False)))
+
+
+@query("SELECT name FROM (SELECT r_name AS name, 0 AS part, r_regionkey AS place FROM region UNION ALL SELECT n_name, 1, n_nationkey FROM nation) ORDER BY part, place LIMIT 12")
+def names_in_order(spark, d):
+    first = tables.table(spark, d, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("place"))
+    second = tables.table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("place"))
+    return composites.in_order(first, second, 12).select("name")
 
 
 @query("SELECT id, CASE WHEN id%3=0 THEN '{}' ELSE '{\"timed\":true}' END AS config FROM study_sessions", "study_sessions")

@@ -137,9 +137,12 @@ def recommend_capped(spark, d):
     return recommend.capped(_scores(spark, d), 10)
 
 
-@query(f"SELECT s.user_id, least(10, count(*)) AS n FROM ({SCORES}) s GROUP BY 1", "responses")
-def recommend_padded_sizes(spark, d):
-    return recommend.padded(_scores(spark, d), 10).groupBy("user_id").agg(F.count("*").alias("n"))
+PADDED = f"WITH s AS ({SCORES}), best AS ({CAPPED}), fill AS (SELECT user_id, item_id, cat, score, row_number() OVER (PARTITION BY user_id ORDER BY md5(item_id||':0'), item_id) AS rank FROM s ANTI JOIN best USING (user_id, item_id)), have AS (SELECT user_id, count(*) AS n FROM best GROUP BY 1) SELECT user_id, item_id, cat, rank FROM best UNION ALL SELECT fill.user_id, item_id, cat, rank+coalesce(n,0) FROM fill LEFT JOIN have ON fill.user_id=have.user_id WHERE rank+coalesce(n,0)<=10"
+
+
+@query(PADDED, "responses")
+def recommend_padded(spark, d):
+    return recommend.padded(_scores(spark, d), 10).select("user_id", "item_id", "cat", "rank")
 
 
 @query(f"SELECT user_id, category, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY accuracy, category) AS rank FROM ({STATS}) WHERE accuracy<0.7) WHERE rank<=2", "responses")
@@ -157,6 +160,11 @@ def free_sample_by_sub(spark, d):
     return recommend.round_robin(tables.bank(spark, d), 10, "sub", "id").select("id", "cat", "sub", "place")
 
 
-@query()
+@query("SELECT *, md5(id||':1') AS shuffle_key FROM bank ORDER BY shuffle_key", "bank")
 def shuffled_bank(spark, d):
-    return recommend.shuffled(tables.bank(spark, d), 1, "id")
+    return recommend.shuffled(tables.bank(spark, d), 1, "id").orderBy("shuffle_key")
+
+
+@query("SELECT * FROM responses WHERE id=7", "responses")
+def one_answer(spark, d):
+    return tables.lookup(tables.responses(spark, d), "id", 7)

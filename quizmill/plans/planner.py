@@ -27,12 +27,9 @@ def estimate_hours(spark, d):
     return planner.estimated(registry(spark, d))
 
 
-@query(f"SELECT id, terms, questions, hours, row_number() OVER (ORDER BY hours DESC, id) AS place FROM ({ESTIMATE}) QUALIFY place<=100")
+@query(f"SELECT id, terms, questions, hours FROM ({ESTIMATE}) ORDER BY hours DESC, id")
 def catalogue_report(spark, d):
-    from pyspark.sql.window import Window
-
-    top = planner.estimated(registry(spark, d)).orderBy(F.desc("hours"), "id").limit(100)
-    return top.select("id", "terms", "questions", "hours", F.row_number().over(Window.orderBy(F.desc("hours"), "id")).cast("long").alias("place"))
+    return planner.estimated(registry(spark, d)).select("id", "terms", "questions", "hours").orderBy(F.desc("hours"), "id")
 
 
 @query(f"SELECT sum(hours) AS hours, count(*) AS apps, greatest(20, 2500-count(*)) AS soon FROM ({ESTIMATE})")
@@ -83,7 +80,10 @@ TIPS = "CASE distraction WHEN 'tv' THEN 1 WHEN 'phone' THEN 2 WHEN 'people' THEN
 GEN = "[" + ",".join(map(str, planner.GENERAL)) + "]"
 
 
-@query(f"WITH last6 AS ({LAST}), u AS (SELECT user_id, avg(CAST(focus AS DOUBLE)) AS f, count(*) AS recent FROM last6 GROUP BY 1), c AS (SELECT user_id, distraction, count(*) AS n FROM (SELECT user_id, unnest([{PICK}[id%6+1], {PICK}[id%4+1]]) AS distraction FROM last6) GROUP BY 1,2), t AS (SELECT user_id, list({TIPS}) AS called FROM c JOIN u USING (user_id) WHERE n >= CASE WHEN recent>=4 THEN 2 ELSE 1 END GROUP BY 1), dn AS (SELECT user_id, count(*) FILTER (WHERE minutes>0) AS done FROM plan_events GROUP BY 1) SELECT user_id, array_to_string(list_slice(list_concat(list_concat(list_sort(list_concat(coalesce(called,[]), CASE WHEN f>0 AND f<2.6 THEN [12] ELSE [] END)), list_slice({GEN}, done*2%{len(planner.GENERAL)}+1, {len(planner.GENERAL)})), list_slice({GEN}, 1, done*2%{len(planner.GENERAL)})), 1, 3), ',') AS tips FROM u LEFT JOIN t USING (user_id) JOIN dn USING (user_id)", "plan_events")
+TIPS_SHOWN = f"WITH last6 AS ({LAST}), u AS (SELECT user_id, avg(CAST(focus AS DOUBLE)) AS f, count(*) AS recent FROM last6 GROUP BY 1), c AS (SELECT user_id, distraction, count(*) AS n FROM (SELECT user_id, unnest([{PICK}[id%6+1], {PICK}[id%4+1]]) AS distraction FROM last6) GROUP BY 1,2), t AS (SELECT user_id, list({TIPS}) AS called FROM c JOIN u USING (user_id) WHERE n >= CASE WHEN recent>=4 THEN 2 ELSE 1 END GROUP BY 1), dn AS (SELECT user_id, count(*) FILTER (WHERE minutes>0) AS done FROM plan_events GROUP BY 1) SELECT user_id, array_to_string(list_slice(list_concat(list_concat(list_sort(list_concat(coalesce(called,[]), CASE WHEN f>0 AND f<2.6 THEN [12] ELSE [] END)), list_slice({GEN}, done*2%{len(planner.GENERAL)}+1, {len(planner.GENERAL)})), list_slice({GEN}, 1, done*2%{len(planner.GENERAL)})), 1, 3), ',') AS tips FROM u LEFT JOIN t USING (user_id) JOIN dn USING (user_id)"
+
+
+@query(TIPS_SHOWN, "plan_events")
 def tips_to_show(spark, d):
     blocks = _blocks(spark, d)
     done = blocks.groupBy("user_id").agg(F.count_if(F.col("minutes") > 0).alias("done"))

@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizmill.plans.registry import query
 from quizmill.sources import tables
+from quizmill.sources.places import folder
 from quizmill.streaming import events
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quizmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _read(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
@@ -30,7 +20,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
 def _run(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Run with availableNow; in update mode the last row of each key stays."""
     spark = stream.sparkSession
-    out, marks = _folder(spark, name), _folder(spark, f"{name}-marks")
+    out, marks = folder(spark, name), folder(spark, f"{name}-marks")
     schema = stream.schema
 
     def write(rows: DataFrame, batch: int) -> None:
@@ -61,11 +51,15 @@ def stream_counters(spark, d):
 
 @query("SELECT user_id AS customer, arg_max(event_type,(ts,event_id)) AS tier FROM events GROUP BY 1")
 def stream_tiers(spark, d):
-    events.use_rocks(spark)
     e = _read(spark, d).select(F.col("user_id").alias("customer"), F.col("event_type").alias("tier"), F.col("ts").cast("timestamp").cast("double").alias("ts"), F.col("event_id").alias("id"))
     return _run(events.tiers(e), "tiers", "update", ["customer"])
 
 
+@query("SELECT user_id, item_id, arg_max(CASE WHEN score>0 THEN 'known' ELSE 'again' END, (ts,id)) AS mark FROM plan_events GROUP BY 1,2", "plan_events")
+def stream_marks(spark, d):
+    return _run(events.marks(_drill(_read(spark, d))), "marks", "update", ["user_id", "item_id"])
+
+
 @query("SELECT event_id, event_type FROM events")
 def stream_once(spark, d):
     """The stream and a replay of it: each event once."""
@@ -118,10 +112,24 @@ def planner_blocks(spark, d):
     return events.blocks_batch(_planner(tables.table(spark, d, "events")))
 
 
-@query()
+@query("SELECT event_id, user_id, ts FROM events")
 def stream_outbox(spark, d):
-    """Answers through the outbox sink: appended by batch, each once."""
-    out, marks = _folder(spark, "outbox"), _folder(spark, "outbox-marks")
-    e = _read(spark, d).select("event_id", "user_id", "ts")
-    e.writeStream.option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(events.append_to(out, ["event_id"])).start().awaitTermination()
+    """Answers through the outbox sink, then the whole queue again as after a lost confirmation: each is stored once."""
+    out = folder(spark, "outbox")
+    for attempt in ("first", "again"):
+        e = _read(spark, d).select("event_id", "user_id", "ts")
+        e.writeStream.option("checkpointLocation", folder(spark, "outbox-marks")).trigger(availableNow=True).foreachBatch(events.append_to(out, ["event_id"], attempt)).start().awaitTermination()
     return spark.read.parquet(out).select("event_id", "user_id", "ts")
+
+
+@query("SELECT CASE WHEN event_id%2=0 THEN 'New account: u'||user_id ELSE 'UPDATE on profiles' END AS text, CASE WHEN event_id%2=0 THEN 'signup' ELSE 'change' END AS kind FROM events")
+def stream_notices(spark, d):
+    """Both outputs of the notice sink, put side by side again: lines for people and the kind from the JSON for the agent."""
+    texts, payloads = folder(spark, "notices"), folder(spark, "payloads")
+    k = F.col("event_id")
+    body = F.to_json(F.struct(F.when(k % 2 == 0, "INSERT").otherwise("UPDATE").alias("type"), F.lit("profiles").alias("table"), F.struct(F.concat(F.lit("u"), "user_id").alias("id")).alias("record")))
+    rows = events.changes(_read(spark, d).select(body.alias("body"))).select(F.concat_ws("\t", "text", "kind").alias("text"), "kind", F.col("text").alias("line"))
+    rows.writeStream.option("checkpointLocation", folder(spark, "notice-marks")).trigger(availableNow=True).foreachBatch(events.notices_to(texts, payloads)).start().awaitTermination()
+    sent = spark.read.text(f"{payloads}/batch=*").select(F.get_json_object("value", "$.line").alias("text"), F.get_json_object("value", "$.kind").alias("kind"))
+    lines = spark.read.text(f"{texts}/batch=*").select(F.split("value", "\t")[0].alias("text"), F.split("value", "\t")[1].alias("kind"))
+    return lines.intersectAll(sent)

@@ -29,11 +29,25 @@ def bundle(spark: SparkSession, path: str) -> DataFrame:
 
 
 def banks(spark: SparkSession, path: str) -> DataFrame:
-    """Bank documents; unreadable ones drop out. Cache the result where it is read often."""
-    rows = spark.read.schema(BANK).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    """Bank documents, in all folders below the path; unreadable ones drop out. A DataFrame sees the files that were there when it was made."""
+    rows = spark.read.schema(BANK).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", True).json(path)
     return rows.where("_corrupt_record is null and slug is not null").drop("_corrupt_record")
 
 
+class BankCache:
+    """Bank documents kept for a while: read anew once they are older than ``seconds``, by the time that the caller tells."""
+
+    def __init__(self, spark: SparkSession, path: str, seconds: float = 300):
+        self.spark, self.path, self.seconds, self.rows, self.read_at = spark, path, seconds, None, 0.0
+
+    def get(self, now: float) -> DataFrame:
+        if self.rows is None or now - self.read_at >= self.seconds:
+            if self.rows is not None:
+                self.rows.unpersist()
+            self.rows, self.read_at = banks(self.spark, self.path).cache(), now
+        return self.rows
+
+
 def bank_or_sample(apps: DataFrame, banks_: DataFrame, samples: DataFrame) -> DataFrame:
     """The bank's questions of each app, the bundle's where the bank is absent or empty. samples: slug, questions."""
     b = banks_.select("slug", F.col("questions").alias("_bank"))
@@ -110,17 +124,19 @@ def trading(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     term = r"^\d+\. \*\*(.+?)\*\*\s*—\s*(.+)$"
     terms = lines.where(F.col("line").rlike(term)).select("file", "at", "section", "section_name", F.regexp_extract("line", term, 1).alias("term"), F.trim(F.regexp_extract("line", term, 2)).alias("def"))
     start = F.regexp_extract("line", r"^\*\*([A-Z]\d+)\.\*\*", 1)
-    block = lines.withColumn("key", F.last(F.when(start != "", start), True).over(own)).where("key is not null").groupBy("file", "key").agg(F.min("at").alias("at"), F.min_by("section", "at").alias("section"), F.min_by("section_name", "at").alias("section_name"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    # a block reaches to the next one, or to a heading
+    block = lines.withColumn("key", F.last(F.when(head != "", "").when(start != "", start), True).over(own)).where("key <> ''").groupBy("file", "key").agg(F.min("at").alias("at"), F.min_by("section", "at").alias("section"), F.min_by("section_name", "at").alias("section_name"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("body"))
     option = lambda a, b: F.trim(F.regexp_extract("body", rf"(?s)\b{a}[.)]\s*(.*?)\s*(?={b})", 1))
     answer = r"(?s)\*\*Answer: ([A-D])\.?\*\*\s*(.*)$"
-    scenarios = block.select("file", "at", "key", "section", "section_name", F.trim(text.fold_lines(F.regexp_extract("body", r"(?s)^\*\*[A-Z]\d+\.\*\*\s*(.*?)\s*(?=\bA[.)]\s)", 1))).alias("stem"), F.array(option("A", r"\bB[.)]\s"), option("B", r"\bC[.)]\s"), option("C", r"\bD[.)]\s"), option("D", r"\*\*Answer")).alias("options"), (F.ascii(F.regexp_extract("body", answer, 1)) - 65).alias("answer"), F.trim(text.fold_lines(F.regexp_extract("body", answer, 2))).alias("rationale"))
+    scenarios = block.select("file", "at", "key", "section", "section_name", F.trim(text.fold_lines(F.regexp_extract("body", r"(?s)^\*\*[A-Z]\d+\.\*\*\s*(.*?)\s*(?=\bA[.)]\s)", 1))).alias("stem"), F.array(option("A", r"\bB[.)]\s"), option("B", r"\bC[.)]\s"), option("C", r"\bD[.)]\s"), option("D", r"\*\*Answer")).alias("options"), (F.ascii(F.regexp_extract("body", answer, 1)) - 65).alias("answer"), F.trim(text.fold_lines(F.get(F.split(F.regexp_extract("body", answer, 2), r"\n(?:---|\s*\n)"), F.lit(0)))).alias("rationale"))
     return terms, scenarios.where("answer between 0 and 3")
 
 
 def write_banks(questions: DataFrame, path: str) -> None:
-    """One JSON document for each slug. questions: slug and a question's columns."""
+    """One JSON document for each slug, in a folder of its own. questions: slug and a question's columns."""
     columns = [c for c in questions.columns if c != "slug"]
-    questions.groupBy("slug").agg(F.count("*").alias("total"), F.array_sort(F.collect_list(F.struct(*columns))).alias("questions")).write.mode("overwrite").json(path)
+    whole = questions.groupBy("slug").agg(F.count("*").alias("total"), F.array_sort(F.collect_list(F.struct(*columns))).alias("questions"))
+    whole.withColumn("file", F.col("slug")).write.mode("overwrite").partitionBy("file").json(path)
 
 
 def write_bundle(cards: DataFrame, questions: DataFrame, path: str) -> None:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -76,28 +79,15 @@ def boxes(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "item_id").transformWithStateInPandas(Boxes(), "user_id long, item_id string, box int", "Update", "None")
 
 
-class Tiers(StatefulProcessor):
-    """The tier of each customer: the latest event wins, older ones change nothing."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tier", "tier string, ts double, id long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tier, ts, last = self.state.get() if self.state.exists() else (None, -1.0, -1)
-        for part in rows:
-            for t, at, i in zip(part["tier"], part["ts"], part["id"], strict=True):
-                if (at, i) > (ts, last):
-                    tier, ts, last = t, float(at), int(i)
-        self.state.update((tier, float(ts), int(last)))
-        yield pd.DataFrame({"customer": [key[0]], "tier": [tier]})
-
-    def close(self) -> None:
-        pass
+def tiers(events: DataFrame) -> DataFrame:
+    """The tier of each customer, for update mode: the latest event wins, older ones change nothing. events: customer, tier, ts (seconds), id."""
+    return events.groupBy("customer").agg(F.max_by("tier", F.struct("ts", "id")).alias("tier"))
 
 
-def tiers(events: DataFrame) -> DataFrame:
-    """events: customer, tier, ts (seconds), id."""
-    return events.groupBy("customer").transformWithStateInPandas(Tiers(), "customer long, tier string", "Update", "None")
+def marks(events: DataFrame) -> DataFrame:
+    """The mark of each (user, item), for update mode: the latest score's. events: user_id, item_id, score, ts (seconds), id."""
+    mark = F.when(F.col("score") > 0, "known").otherwise("again")
+    return events.groupBy("user_id", "item_id").agg(F.max_by(mark, F.struct("ts", "id")).alias("mark"))
 
 
 class Blocks(StatefulProcessor):
@@ -143,11 +133,22 @@ def blocks_batch(events: DataFrame) -> DataFrame:
     return out.where("what = 'end' and _what = 'start'").select("user_id", F.col("_activity").alias("activity"), F.col("_ts").alias("started"), ((F.col("ts") - F.col("_ts")) / 60).alias("minutes"))
 
 
-def append_to(path: str, keys: list[str]):
-    """A foreachBatch sink that appends a batch's rows, each key once in it. Replays of a batch replace it."""
+def append_to(path: str, keys: list[str], sender: str = "outbox"):
+    """A foreachBatch sink that appends a batch's rows whose keys are in no other batch, each key once. Replays of a batch replace it.
+
+    Keys are looked up in all that the folder holds, so bound the folder by time where it grows without end."""
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        spark, own = rows.sparkSession, f"sender={sender}/batch={batch}"
+        new = rows.dropDuplicates(keys)
+        try:
+            stored = spark.read.parquet(path)
+        except AnalysisException:  # nothing is stored yet
+            stored = None
+        if stored is not None:
+            others = stored.where(~((F.col("sender") == sender) & (F.col("batch") == batch)))
+            new = new.join(others.select(*(F.col(k).alias(f"_{k}") for k in keys)), reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)), "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/{own}")
 
     return write
 

@@ -223,6 +223,8 @@ def test_markdown(spark, tmp_path):
     terms, scenarios = documents.trading(documents.markdown(spark, str(tmp_path / "trade.md")))
     assert [(r.section, r.section_name, r.term) for r in terms.orderBy("at").collect()] == [("A", "Orders", "Limit"), ("A", "Orders", "Market")]
     s = scenarios.collect()
+    (tmp_path / "more.md").write_text(TRADING.replace("what is there.\n", "what is there.\n\nA note.\n---\n\n## B. Risk (0)\nMore.\n"))
+    assert documents.trading(documents.markdown(spark, str(tmp_path / "more.md")))[1].collect() == s
     assert [(r.key, r.stem, r.options, r.answer, r.rationale) for r in s] == [("A1", "What fills first?", ["Limit", "Market", "Stop", "None"], 1, "It takes what is there.")]
 
 
@@ -247,3 +249,33 @@ def test_bank_edges(spark):
 def test_events_edges(spark):
     body = spark.createDataFrame([('{"event":"signup","email":"a"}',), ('{"event":"signup"}',), ("x" * 70_000,), ("nonsense",)], "body string")
     assert [tuple(r) for r in events.mails(body).collect()] == [("a", "signup", "Welcome")]
+
+
+def test_bank_cache(spark, tmp_path):
+    write = lambda slug: documents.write_banks(spark.createDataFrame([(slug, "q001", 1)], "slug string, id string, answer int"), str(tmp_path / "banks"))
+    write("a")
+    cache = documents.BankCache(spark, str(tmp_path / "banks"), 300)
+    slugs = lambda now: sorted(r.slug for r in cache.get(now).collect())
+    assert slugs(0) == ["a"]
+    write("b")
+    assert slugs(299) == ["a"]
+    assert slugs(300) == ["b"]
+
+
+def test_outbox_stores_each_key_once(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = lambda *ids: spark.createDataFrame([(i, "x") for i in ids], "id long, v string")
+    write = events.append_to(out, ["id"])
+    write(rows(1, 2, 2), 0)
+    write(rows(2, 3), 1)
+    write(rows(2, 3), 1)  # the batch again after a failure
+    events.append_to(out, ["id"], "other device")(rows(1, 4), 0)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4]
+
+
+def test_summary_model(spark):
+    from quizmill.operators import planner
+
+    for terms, questions in ((120, 100), (0, 0), (207, 217), (-1, 3)):
+        e = planner.estimated(spark.createDataFrame([(terms, questions)], "terms long, questions long")).first()
+        assert planner.hours_of(terms, questions) == (e.hours, e.blocks, {a: e[f"{a}_hours"] for a in planner.ACTIVITIES})
