@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quizmill.functions import text
+from quizmill.sources.places import folder
 
 QUESTION = "id string, n int, cat string, stem string, choices array<string>, answer int, label string, why string, sub string"
 CARD = "id string, term string, def string, cat string, sub string"
@@ -35,16 +36,18 @@ def banks(spark: SparkSession, path: str) -> DataFrame:
 
 
 class BankCache:
-    """Bank documents kept for a while: read anew once they are older than ``seconds``, by the time that the caller tells."""
+    """Bank documents kept for a while: read anew once they are older than ``seconds``, by the time that the caller tells.
+
+    The copy lies in the shared folder, so that neither changed files nor lost executors take it away."""
 
     def __init__(self, spark: SparkSession, path: str, seconds: float = 300):
         self.spark, self.path, self.seconds, self.rows, self.read_at = spark, path, seconds, None, 0.0
 
     def get(self, now: float) -> DataFrame:
         if self.rows is None or now - self.read_at >= self.seconds:
-            if self.rows is not None:
-                self.rows.unpersist()
-            self.rows, self.read_at = banks(self.spark, self.path).cache(), now
+            copy = folder(self.spark, "banks-read")
+            banks(self.spark, self.path).write.parquet(copy)
+            self.rows, self.read_at = self.spark.read.parquet(copy), now
         return self.rows
 
 
