@@ -133,3 +133,13 @@ def stream_notices(spark, d):
     sent = spark.read.text(f"{payloads}/batch=*").select(F.get_json_object("value", "$.line").alias("text"), F.get_json_object("value", "$.kind").alias("kind"))
     lines = spark.read.text(f"{texts}/batch=*").select(F.split("value", "\t")[0].alias("text"), F.split("value", "\t")[1].alias("kind"))
     return lines.intersectAll(sent)
+
+
+@query("SELECT event_id FROM events WHERE event_id%3<>0 AND event_id%5<>0 AND event_id%7<>0")
+def stream_verified(spark, d):
+    """Events with a signature each: some are signed with another key, some for another body, some long ago."""
+    k, received = F.col("event_id"), F.lit(1_700_000_000)
+    at = F.when(k % 7 == 0, received - 301).otherwise(received - k % 300)
+    sign = F.when(k % 3 == 0, events.signed(F.col("props"), at, "another key")).when(k % 5 == 0, events.signed(F.concat("props", F.lit(" ")), at, "whsec_mill")).otherwise(events.signed(F.col("props"), at, "whsec_mill"))
+    rows = _read(spark, d).select("event_id", F.col("props").alias("body"), F.concat(F.lit("t="), at, F.lit(",v1="), F.repeat(F.lit("0"), F.lit(64)), F.lit(",v1="), sign).alias("signature"), received.alias("received"))
+    return _run(events.verified(rows, "whsec_mill"), "verified", "append").select("event_id")

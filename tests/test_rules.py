@@ -279,3 +279,32 @@ def test_summary_model(spark):
     for terms, questions in ((120, 100), (0, 0), (207, 217), (-1, 3)):
         e = planner.estimated(spark.createDataFrame([(terms, questions)], "terms long, questions long")).first()
         assert planner.hours_of(terms, questions) == (e.hours, e.blocks, {a: e[f"{a}_hours"] for a in planner.ACTIVITIES})
+
+
+@pytest.mark.parametrize("secret", ["whsec_x", "k" * 64, "long" * 30, "schlüssel"])
+def test_signatures(spark, secret):
+    import hashlib
+    import hmac
+
+    body, at = '{"type": "x", "é": 1}', 1_700_000_000
+    sign = hmac.new(secret.encode(), f"{at}.{body}".encode(), hashlib.sha256).hexdigest()
+    assert one(spark, events.signed(F.lit(body), F.lit(at), secret)) == sign
+    rows = [(body, f"t={at},v1={sign}", at + 300), (body, f"t={at},v1={sign}", at + 301), (body + " ", f"t={at},v1={sign}", at), (body, f"t={at},v0={sign}", at), (body, f"v1={sign}", at), (body, f"t={at},v1=00,v1={sign}", at), (body, None, at), (None, f"t={at},v1={sign}", at)]
+    good = events.verified(spark.createDataFrame(rows, "body string, signature string, received long"), secret)
+    assert sorted((r.signature, r.received) for r in good.collect()) == sorted([(rows[0][1], at + 300), (rows[5][1], at)])
+
+
+def test_streams_over_two_batches(spark, tmp_path):
+    """Events of one user in two files, one a batch: what is open in the first is closed in the second; a late one counts when it comes."""
+    schema = "user_id long, what string, activity string, ts double, id long"
+    parts = [[(1, "start", "a", 100.0, 1), (2, "start", "b", 500.0, 2)], [(1, "end", "a", 700.0, 3), (2, "start", "c", 400.0, 4), (2, "end", "c", 800.0, 5)]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"k={k}"))
+    events.use_rocks(spark)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    found = []
+    keep = lambda rows, batch: found.extend((batch, *r) for r in rows.collect())
+    events.blocks(stream).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    assert sorted(r[1:] for r in found) == [(1, "a", 100.0, 10.0), (2, "c", 400.0, 400 / 60)]
+    twin = events.blocks_batch(spark.createDataFrame(sum(parts, []), schema))
+    assert sorted(map(tuple, twin.collect())) == [(1, "a", 100.0, 10.0), (2, "b", 500.0, 5.0)]
