@@ -3,8 +3,8 @@
 A string of ``width`` bytes that starts at two places has the same least 64-byte hash, at the same
 distance, in both. So each place belongs to one occurrence of such a least hash, and only places
 of one hash need comparing. Occurrences with equal surroundings, by 64 bits of BLAKE2 beside the hash, are
-one segment with a count. The
-segments of a hash, when they differ, are compared by their suffixes: shards of segments get a
+one class; its first and its last occurrence stand for it, with the bytes of their own documents. The
+segments of a hash are compared by their suffixes: shards of segments get a
 transform each (over symbols that stand for 200 bytes; strings with a symbol that occurs once are left out),
 two transforms are merged by interleave refinement, which sorts the merged rows by one more symbol each
 round and marks where common prefixes end, and the intervals that two rounds leave undivided are the
@@ -264,12 +264,15 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
+RUNS = "h long, sh long, a long, b long"
 SEGMENT = "key long, h long, sh long, off long, p long, n long, body binary"
 
 
 def _cut(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Segments with their bytes, read from the document that stands for each class."""
-    wanted = classes.groupBy("one.doc_id", "one.text_key").agg(F.collect_list(F.struct("h", "sh", F.col("one.lo").alias("lo"), F.col("one.n").alias("n"), F.col("one.p").alias("p"))).alias("cuts"))
+    """Segments with their bytes: of a class of several occurrences the first and the last, of another its only one."""
+    ends = F.when(F.col("m") > 1, F.array("one", "two")).otherwise(F.array("one"))
+    each = classes.select("h", "sh", F.posexplode(ends).alias("t", "at"))
+    wanted = each.groupBy("at.doc_id", "at.text_key").agg(F.collect_list(F.struct("h", "sh", "t", F.col("at.lo").alias("lo"), F.col("at.n").alias("n"), F.col("at.p").alias("p"))).alias("cuts"))
     wanted = wanted.withColumnsRenamed({"doc_id": "w_id", "text_key": "w_key"})
     found = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.w_id) & (docs.text_key == wanted.w_key)).select("text", "cuts")
 
@@ -277,9 +280,10 @@ def _cut(classes: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text, cuts in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes()
-                yield _segments([(c["h"], c["h"], c["sh"], 0, c["p"], c["n"], raw[c["lo"] : c["lo"] + c["n"] - 1 + WIDTH]) for c in cuts])
+                part = _segments([(c["h"], c["h"], c["sh"], 0, c["p"], c["n"], raw[c["lo"] : c["lo"] + c["n"] - 1 + WIDTH]) for c in cuts])
+                yield part.append_column("t", pa.array([c["t"] for c in cuts], pa.int32()))
 
-    return found.mapInArrow(run, SEGMENT).dropDuplicates(["h", "sh"])  # repeated rows give the same segments
+    return found.mapInArrow(run, f"{SEGMENT}, t int").dropDuplicates(["h", "sh", "t"]).drop("t")  # repeated rows give the same segments
 
 
 def _segments(rows) -> pa.RecordBatch:
@@ -333,7 +337,7 @@ def _compare(segments: DataFrame) -> DataFrame:
         if pending:
             yield _runs(engine(pending))
 
-    return segments.repartition("key").sortWithinPartitions("key").mapInArrow(run, "h long, sh long, a long, b long")
+    return segments.repartition("key").sortWithinPartitions("key").mapInArrow(run, RUNS)
 
 
 def _runs(rows) -> pa.RecordBatch:
@@ -352,15 +356,14 @@ def covered(docs: DataFrame, group: int = GROUP) -> DataFrame:
                 of = pa.array(owner + a)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sh.view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(lo), pa.array(n), pa.array(p)], names=["h", "sh", "doc_id", "text_key", "lo", "n", "p"])
 
+    spark = docs.sparkSession
     found = shared.stored(docs.mapInArrow(find, "h long, sh long, doc_id long, text_key long, lo long, n long, p long"), "occurrences")
-    classes = found.groupBy("h", "sh").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "text_key", "lo", "n", "p")).alias("one"))
-    by_hash = found.groupBy("h").agg(F.count("*").alias("all"), F.approx_count_distinct("sh", 0.1).alias("wide"), F.min("sh").alias("x"), F.max("sh").alias("y")).where("all > 1")
+    classes = found.groupBy("h", "sh").agg(F.count("*").alias("m"), *(f(F.struct("doc_id", "text_key", "lo", "n", "p")).alias(a) for f, a in ((F.min, "one"), (F.max, "two"))))
+    by_hash = found.groupBy("h").agg(F.count("*").alias("all")).where("all > 1")
     classes = shared.stored(classes.join(by_hash, "h"), "segments")
-    full = classes.where("m > 1").select("h", "sh", F.lit(0).cast("long").alias("a"), (F.col("one.n") - 1).alias("b"))
-    segments = shared.stored(_cut(classes.where("x <> y"), docs), "segments")
-    runs = full
+    segments = shared.stored(_cut(classes, docs), "segments")
+    runs = spark.createDataFrame([], RUNS)
     for size in (RANGE, 1, None):
-        # approximate counts only choose between two exact ways
         tally = segments.groupBy("key").agg(F.count("*").alias("rows"))
         large = tally.where(F.col("rows") > group)
         if size is None or large.isEmpty():
@@ -371,7 +374,7 @@ def covered(docs: DataFrame, group: int = GROUP) -> DataFrame:
             large = F.broadcast(large)
         runs = runs.unionByName(_compare(segments.join(large, "key", "left_anti")))
         segments = shared.stored(_split(segments.join(large, "key", "left_semi"), size), "segments")
-    runs = shared.stored(runs, "runs")
+    runs = shared.stored(runs.distinct(), "runs")
     return found.join(runs, ["h", "sh"]).select("doc_id", "text_key", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
 
 
