@@ -124,6 +124,24 @@ class Transform:
         self.place, self.before = place, before
 
 
+def stable_order(x: np.ndarray) -> np.ndarray:
+    """The stable order of numbers from 0 on: value and index are sorted as one number where 63 bits hold both."""
+    bits = max(1, len(x) - 1).bit_length()
+    if int(x.max(initial=0)).bit_length() + bits > 63:
+        return np.argsort(x, kind="stable")
+    return np.sort(x.astype(np.int64) << bits | np.arange(len(x))) & ((1 << bits) - 1)
+
+
+def ranked(x: np.ndarray) -> np.ndarray:
+    """The place of each number among the different ones."""
+    order = stable_order(x)
+    new = np.zeros(len(x), bool)
+    new[1:] = x[order[1:]] != x[order[:-1]]
+    rank = np.empty(len(x), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
+
+
 def transform(place: np.ndarray, symbols: np.ndarray, step: int, depth: int) -> Transform:
     """By doubling ranks. symbols: 0 where none begins; place: the suffixes, ends of strings included."""
     rank, full = symbols[place].astype(np.int64), np.zeros(len(symbols) + step * depth, np.int64)
@@ -132,9 +150,9 @@ def transform(place: np.ndarray, symbols: np.ndarray, step: int, depth: int) ->
     while reach < step * depth:
         full[place] = rank
         later = np.where(begins, full[place + reach], 0)
-        rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + later, return_inverse=True)[1]
+        rank = ranked(rank * (int(rank.max(initial=0)) + 1) + later)
         reach *= 2
-    order = place[np.argsort(rank, kind="stable")]
+    order = place[stable_order(rank)]
     return Transform(order, _previous(order, symbols, step))
 
 
@@ -156,7 +174,7 @@ def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray
     for _ in range(depth):
         before = np.empty(len(z), a.before.dtype)
         before[~z], before[z] = a.before, b.before
-        order = np.argsort(before, kind="stable")
+        order = stable_order(before)
         sorted_, was = before[order], block[order]
         z = z[order]
         new = np.ones(len(z), bool)
