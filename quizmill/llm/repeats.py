@@ -39,7 +39,7 @@ GROUP, RANGE = 2048, 32
 #: Keys of large groups, 8 bytes each, that are sent to every task.
 SENT = 100_000
 #: Bytes of segments that one engine run takes (whole groups), and of one shard in it.
-RUN, SHARD = 4 << 20, 2 << 20
+RUN, SHARD = 1 << 20, 1 << 19
 U = np.uint64
 LOW = (1 << 24) - 1
 
