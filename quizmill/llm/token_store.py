@@ -35,7 +35,7 @@ from quizmill.llm.textvec import SliceCache, words
 TOKENIZER = "word_bpe_49k.json"
 MAGIC = b"QMTOKEN1"
 NO_ID = -(2**63)
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Words on which the tokenizer's normal form is plain lower case, what its pattern cuts them into, and its sign for each byte that has none.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+|\n")
@@ -46,7 +46,7 @@ BYTE_SIGNS[0x0A] = 0x0A  # stands between words here
 #: Stands after each word's ids while words are cut together; no id below 2^24 has four such bytes, nor do two neighbours.
 END_OF_WORD = b"\xff" * 4
 #: Pieces of words whose ids are kept at once.
-MOST_PIECES = 400_000
+MOST_PIECES = 200_000
 #: The dictionary is trained on so many documents at most, the ones whose hashes are lowest, and so many bytes of each, from a place that a hash of its ids names.
 TRAIN_DOCS, TRAIN_BYTES, DICT_BYTES = 1000, 4096, 64 << 10
 #: Bytes of text for each file.
