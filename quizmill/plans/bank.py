@@ -67,6 +67,7 @@ def numbered_questions(spark, d):
 
 @query("SELECT c_custkey AS k, c_nationkey AS term, CASE WHEN c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey<=5) THEN 'exists' ELSE 'repeated' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS nth FROM customer) WHERE nth>1 OR c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey<=5)")
 def duplicate_terms(spark, d):
+    """All customers' nations against terms in use: those of five suppliers, so that some are in use and some are not."""
     new = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("term"))
     return bank.duplicates(new, tables.table(spark, d, "supplier").where("s_suppkey <= 5").select(F.col("s_nationkey").alias("term")), "term", "k")
 
@@ -79,6 +80,7 @@ def unanswered_scenarios(spark, d):
 
 @query("SELECT id, id IN (SELECT l_partkey FROM lineitem WHERE l_orderkey<50) AS free FROM bank", "bank")
 def free_questions(spark, d):
+    """All questions; the free ones are the parts of some first orders, so that both kinds occur."""
     free = tables.table(spark, d, "lineitem").where("l_orderkey < 50").select(F.col("l_partkey").alias("id"))
     return bank.free_flags(tables.bank(spark, d), free).select("id", "free")
 
@@ -90,6 +92,7 @@ def bank_sections(spark, d):
 
 @query("SELECT 'demo' AS slug, count(*) AS total, count(*) FILTER (WHERE id<=10) AS free FROM bank", "bank")
 def split_bank(spark, d):
+    """The whole bank as a document, in which ten questions are free."""
     b = tables.bank(spark, d)
     return bank.split_bank(b, b.where("id <= 10"), "demo").select("slug", "total", F.size(F.from_json("freeIds", "array<long>")).cast("long").alias("free"))
 
