@@ -35,14 +35,15 @@ def scored(queries: DataFrame, apps: DataFrame) -> DataFrame:
         )
     )
     hay = total(F.transform("words", lambda w: F.when((F.length(w) >= 4) & F.col("hay").contains(w), long_(HAY)).otherwise(long_(0))))
+    a = a.repartition(apps.sparkSession.sparkContext.defaultParallelism, "slug")  # a catalogue is one file, which one task would score alone
     return q.join(a).select("query_id", "slug", (covers + keywords + hay).alias("score"))  # every query meets every app: the score is the search
 
 
 def search(queries: DataFrame, apps: DataFrame) -> DataFrame:
     """Candidates of each query, best first: those not far below the leader."""
     own = Window.partitionBy("query_id")
-    found = scored(queries, apps).where("score > 0").withColumn("_top", F.max("score").over(own))
-    found = found.where(F.col("score") >= F.greatest(F.lit(float(LEAST)), F.col("_top") * SHARE)).drop("_top")
+    found = scored(queries, apps).where(F.col("score") >= LEAST).withColumn("_top", F.max("score").over(own))  # the least score goes into the join, so few pairs are dealt
+    found = found.where(F.col("score") >= F.col("_top") * SHARE).drop("_top")
     return found.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "slug")).cast("long"))
 
 
