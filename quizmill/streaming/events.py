@@ -7,9 +7,8 @@ from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -79,23 +78,24 @@ class Boxes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("box", "box int, ts double, id long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        box, ts, last = self.state.get() if self.state.exists() else (0, -1.0, -1)
-        new = pd.concat(list(rows)).sort_values(["ts", "id"])
-        for score, at, i in zip(new["score"], new["ts"], new["id"], strict=True):
-            if (at, i) > (ts, last):
-                box = min(box + 1, 3) if score == 2 else box if score == 1 else 0
-                ts, last = float(at), int(i)
-        self.state.update((int(box), float(ts), int(last)))
-        yield pd.DataFrame({"user_id": [key[0]], "item_id": [key[1]], "box": [box]})
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        old = self.state.get()
+        box, ts, last = old if old is not None else (0, -1.0, -1)
+        new = [r for r in rows if r.ts is not None and r.id is not None]
+        for r in sorted(new, key=lambda r: (r.ts, r.id)):
+            if (r.ts, r.id) > (ts, last):
+                box = min(box + 1, 3) if r.score == 2 else box if r.score == 1 else 0
+                ts, last = r.ts, r.id
+        self.state.update((box, ts, last))
+        yield Row(user_id=key[0], item_id=key[1], box=box)
 
     def close(self) -> None:
         pass
 
 
 def boxes(events: DataFrame) -> DataFrame:
-    """events: user_id, item_id, score, ts (seconds), id."""
-    return events.groupBy("user_id", "item_id").transformWithStateInPandas(Boxes(), "user_id long, item_id string, box int", "Update", "None")
+    """events: user_id, item_id, score, ts (seconds), id. Events without time or id are ignored."""
+    return events.groupBy("user_id", "item_id").transformWithState(Boxes(), "user_id long, item_id string, box int", "Update", "None")
 
 
 def tiers(events: DataFrame) -> DataFrame:
@@ -117,31 +117,29 @@ class Blocks(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("open", "activity string, ts double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        open_ = self.state.get() if self.state.exists() else None
-        out = []
-        new = pd.concat(list(rows)).sort_values(["ts", "id"])
-        for what, activity, at in zip(new["what"], new["activity"], new["ts"], strict=True):
-            if what == "start":
-                open_ = (activity, float(at))
-            elif what == "cancel":
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        open_ = self.state.get()
+        new = [r for r in rows if r.ts is not None and r.id is not None]
+        for r in sorted(new, key=lambda r: (r.ts, r.id)):
+            if r.what == "start":
+                open_ = (r.activity, r.ts)
+            elif r.what == "cancel":
                 open_ = None
             elif open_ is not None:
-                out.append((key[0], open_[0], open_[1], (at - open_[1]) / 60))
+                yield Row(user_id=key[0], activity=open_[0], started=open_[1], minutes=(r.ts - open_[1]) / 60)
                 open_ = None
         if open_ is None:
             self.state.clear()
         else:
-            self.state.update(open_)
-        yield pd.DataFrame(out, columns=["user_id", "activity", "started", "minutes"])
+            self.state.update(tuple(open_))
 
     def close(self) -> None:
         pass
 
 
 def blocks(events: DataFrame) -> DataFrame:
-    """events: user_id, what (start, end, cancel), activity, ts (seconds), id."""
-    return events.groupBy("user_id").transformWithStateInPandas(Blocks(), "user_id long, activity string, started double, minutes double", "Append", "None")
+    """events: user_id, what (start, end, cancel), activity, ts (seconds), id. Events without time or id are ignored."""
+    return events.groupBy("user_id").transformWithState(Blocks(), "user_id long, activity string, started double, minutes double", "Append", "None")
 
 
 def blocks_batch(events: DataFrame) -> DataFrame:

@@ -308,3 +308,17 @@ def test_streams_over_two_batches(spark, tmp_path):
     assert sorted(r[1:] for r in found) == [(1, "a", 100.0, 10.0), (2, "c", 400.0, 400 / 60)]
     twin = events.blocks_batch(spark.createDataFrame(sum(parts, []), schema))
     assert sorted(map(tuple, twin.collect())) == [(1, "a", 100.0, 10.0), (2, "b", 500.0, 5.0)]
+
+
+def test_boxes_over_two_batches(spark, tmp_path):
+    """A box goes on from the first batch; a score older than the state, or without a time, changes nothing."""
+    schema = "user_id long, item_id string, score int, ts double, id long"
+    parts = [[(1, "i", 2, 100.0, 1), (1, "i", 2, 100.0, 2), (2, "i", 2, 500.0, 3), (3, "i", 2, None, 4), (4, "i", None, 1.0, 8)], [(1, "i", 2, 200.0, 5), (1, "i", 1, 300.0, 6), (2, "i", 0, 400.0, 7), (4, "i", 2, 2.0, 9)]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"k={k}"))
+    events.use_rocks(spark)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    found = {}
+    keep = lambda rows, batch: found.update(((batch, r.user_id), r.box) for r in rows.collect())
+    events.boxes(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    assert found == {(0, 1): 2, (0, 2): 1, (0, 3): 0, (0, 4): 0, (1, 1): 3, (1, 2): 1, (1, 4): 1}
