@@ -1,4 +1,4 @@
-"""What DuckDB's SQL can ask of the operators: repeats by all 400-byte strings, near-dedup by all shared shingles."""
+"""What DuckDB's SQL can ask of the operators: repeats by all 400-byte strings, near-dedup by all shared shingles, ranked search by all terms."""
 
 _LOWER = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
 
@@ -29,4 +29,20 @@ sha256(kept) AS kept_sha256, coalesce(spans,'') AS spans, TRY(decode(kept)) AS k
 FROM (SELECT h.doc_id, h.x, k.n_removed, k.n_spans, k.spans, unhex(CASE WHEN k.doc_id IS NULL THEN h.x ELSE k.x||substr(h.x, CAST(2*k.tail+1 AS BIGINT)) END) AS kept FROM h LEFT JOIN k ON k.doc_id=h.doc_id)
 """
 
-ORACLE_SQL = {"op1_repeat_removal": REPEATS, "op2_near_dedup": NEAR_DEDUP}
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ws FROM documents),
+d AS (SELECT r, doc_id, len(ws) AS n FROM t WHERE len(ws)>0),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+i AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS ws FROM benchmark),
+q AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, unnest(ws) AS term FROM i) GROUP BY ALL),
+f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000*ln((2*any_value(g.docs)+2)/(2*count(*)+1))) AS BIGINT) AS w FROM f, g GROUP BY 1),
+p AS (SELECT f.r, f.term, w.w*((1000000000*tf)//(1000*tf+12*(100-25+((25*d.n*g.docs)//g.terms)))) AS adds FROM f JOIN w ON w.term=f.term JOIN d ON d.r=f.r, g),
+s AS (SELECT q.i, q.item_id, p.r, CAST(sum(q.times*p.adds) AS BIGINT) AS score FROM q JOIN p ON p.term=q.term GROUP BY ALL),
+o AS (SELECT s.item_id, row_number() OVER (PARTITION BY s.i ORDER BY s.score DESC, d.doc_id) AS k, d.doc_id, s.score FROM s JOIN d ON d.r=s.r WHERE s.score>0)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM o WHERE k<=20
+"""
+
+ORACLE_SQL = {"op13_ranked_search": RANKED, "op1_repeat_removal": REPEATS, "op2_near_dedup": NEAR_DEDUP}

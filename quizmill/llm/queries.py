@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm import byte_bpe, chat, decontaminate, katz, neardup, quality, repeats, secrets, sharding, shared, token_store
+from quizmill.llm import byte_bpe, chat, decontaminate, katz, langid, neardup, quality, ranked_search, repeats, secrets, sharding, shared, token_store, whitening
 from quizmill.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
@@ -70,5 +70,24 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_repeat_removal, op2_near_dedup, op3_secret_scan, op4_quality_rules, op5_role_repair, op6_sharding, op7_decontamination, op8_katz_backoff, op9_byte_bpe, op10_token_output)}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document without an id teaches nothing and is not held out."""
+    docs = documents(spark, sf_dir)
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = langid.learn(docs.where(part != 2))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that is no long is null; the operator itself gives decimals."""
+    rows = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.index(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_repeat_removal, op2_near_dedup, op3_secret_scan, op4_quality_rules, op5_role_repair, op6_sharding, op7_decontamination, op8_katz_backoff, op9_byte_bpe, op10_token_output, op11_language_id, op12_embedding_whitening, op13_ranked_search)}
 
