@@ -17,6 +17,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{path}*")  # a file or a folder of files
 
 
+def _closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, and one that has nothing but a time a day after the last: it moves the watermark beyond all others."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    last, path = folder(spark, "closing"), [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name != "ts"]
+    rows.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts")).select("ts", *path).write.parquet(last)
+    closing = spark.readStream.schema(rows.schema).parquet(last)
+    return _read(spark, sf_dir).unionByName(closing)
+
+
 def _run(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Run with availableNow; in update mode the last row of each key stays."""
     spark = stream.sparkSession
@@ -41,7 +50,7 @@ def _drill(stream: DataFrame) -> DataFrame:
 @query("SELECT user_id, item_id, CAST(list_reduce(list_prepend(0, list(score ORDER BY ts, id)), lambda b, s: CASE s WHEN 2 THEN least(b+1,3) WHEN 1 THEN b ELSE 0 END) AS INTEGER) AS box FROM plan_events GROUP BY 1,2", "plan_events")
 def stream_boxes(spark, d):
     events.use_rocks(spark)
-    return _run(events.boxes(_drill(_read(spark, d))), "boxes", "update", ["user_id", "item_id"])
+    return _run(events.boxes(_drill(_closed(spark, d))), "boxes", "update", ["user_id", "item_id"])
 
 
 @query('SELECT user_id, item_id, count(*) AS seen, count(*) FILTER (WHERE score=2) AS "right" FROM plan_events GROUP BY 1,2', "plan_events")
@@ -104,7 +113,7 @@ BLOCKS = "SELECT user_id, pa AS activity, CAST(epoch(pt) AS DOUBLE) AS started,
 @query(BLOCKS)
 def stream_blocks(spark, d):
     events.use_rocks(spark)
-    return _run(events.blocks(_planner(_read(spark, d))), "blocks", "append")
+    return _run(events.blocks(_planner(_closed(spark, d))), "blocks", "append")
 
 
 @query(BLOCKS)
@@ -114,27 +123,56 @@ def planner_blocks(spark, d):
 
 @query("SELECT event_id, user_id, ts FROM events")
 def stream_outbox(spark, d):
-    """Answers through the outbox sink, then the whole queue again as after a lost confirmation: each is stored once."""
+    """Answers through the outbox sink, then the whole queue again as after a lost confirmation: each is stored once, and only the days of a batch are looked up."""
     out = folder(spark, "outbox")
     for attempt in ("first", "again"):
         e = _read(spark, d).select("event_id", "user_id", "ts")
-        e.writeStream.option("checkpointLocation", folder(spark, "outbox-marks")).trigger(availableNow=True).foreachBatch(events.append_to(out, ["event_id"], attempt)).start().awaitTermination()
+        e.writeStream.option("checkpointLocation", folder(spark, "outbox-marks")).trigger(availableNow=True).foreachBatch(events.append_to(out, ["event_id"], "ts", attempt)).start().awaitTermination()
     return spark.read.parquet(out).select("event_id", "user_id", "ts")
 
 
-@query("SELECT CASE WHEN event_id%2=0 THEN 'New account: u'||user_id ELSE 'UPDATE on profiles' END AS text, CASE WHEN event_id%2=0 THEN 'signup' ELSE 'change' END AS kind FROM events")
-def stream_notices(spark, d):
-    """Both outputs of the notice sink, put side by side again: lines for people and the kind from the JSON for the agent."""
-    texts, payloads = folder(spark, "notices"), folder(spark, "payloads")
+NOTICES = "SELECT CASE WHEN event_id%2=0 THEN 'New account: u'||user_id ELSE 'UPDATE on profiles' END AS text, CASE WHEN event_id%2=0 THEN 'signup' ELSE 'change' END AS kind FROM events"
+
+
+def _notices(spark, d):
     k = F.col("event_id")
     body = F.to_json(F.struct(F.when(k % 2 == 0, "INSERT").otherwise("UPDATE").alias("type"), F.lit("profiles").alias("table"), F.struct(F.concat(F.lit("u"), "user_id").alias("id")).alias("record")))
-    rows = events.changes(_read(spark, d).select(body.alias("body"))).select(F.concat_ws("\t", "text", "kind").alias("text"), "kind", F.col("text").alias("line"))
-    rows.writeStream.option("checkpointLocation", folder(spark, "notice-marks")).trigger(availableNow=True).foreachBatch(events.notices_to(texts, payloads)).start().awaitTermination()
+    return events.changes(_read(spark, d).select(body.alias("body"))).select(F.concat_ws("\t", "text", "kind").alias("text"), "kind", F.col("text").alias("line"))
+
+
+def _sent(spark, texts, payloads):
+    """Both outputs put side by side again: lines for people and the kind from the JSON for the agent."""
     sent = spark.read.text(f"{payloads}/batch=*").select(F.get_json_object("value", "$.line").alias("text"), F.get_json_object("value", "$.kind").alias("kind"))
     lines = spark.read.text(f"{texts}/batch=*").select(F.split("value", "\t")[0].alias("text"), F.split("value", "\t")[1].alias("kind"))
     return lines.intersectAll(sent)
 
 
+def _send(spark, d, outputs, dead):
+    _notices(spark, d).writeStream.option("checkpointLocation", folder(spark, "notice-marks")).trigger(availableNow=True).foreachBatch(events.notices_to(outputs, dead, lambda: 0)).start().awaitTermination()
+
+
+@query(NOTICES)
+def stream_notices(spark, d):
+    """Both outputs of the notice sink."""
+    texts, payloads = folder(spark, "notices"), folder(spark, "payloads")
+    _send(spark, d, {"people": events.lines_to(texts), "agent": events.payloads_to(payloads)}, folder(spark, "dead"))
+    return _sent(spark, texts, payloads)
+
+
+@query(NOTICES)
+def stream_dead_letters(spark, d):
+    """The agent's inbox is down: people get their lines and the stream goes on. Once the inbox is up, a later batch of the letters completes it."""
+    texts, payloads, dead = folder(spark, "notices"), folder(spark, "payloads"), folder(spark, "dead")
+
+    def down(rows, batch):
+        raise OSError("no inbox")
+
+    _send(spark, d, {"people": events.lines_to(texts), "agent": down}, dead)
+    events.drain(spark, {"agent": down}, dead, events.BACK_OFF)  # still down
+    events.drain(spark, {"agent": events.payloads_to(payloads)}, dead, events.BACK_OFF * 4)
+    return _sent(spark, texts, payloads)
+
+
 @query("SELECT event_id FROM events WHERE event_id%3<>0 AND event_id%5<>0 AND event_id%7<>0")
 def stream_verified(spark, d):
     """Events with a signature each: some are signed with another key, some for another body, some long ago."""

@@ -1,11 +1,12 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and single files in it."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -17,3 +18,60 @@ def folder(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="quizmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Write the rows to the shared folder and read them back: their lineage ends there."""
+    path = folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _at(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop knows them, so that any store that Spark reads will do."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _at(spark, path)
+    return files.exists(where)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, in order; none where there is no folder."""
+    files, where = _at(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(where)) if files.exists(where) else []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    files, where = _at(spark, path)
+    files.delete(where, True)
+
+
+def text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    files, where = _at(spark, path)
+    stream = files.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def put_once(spark: SparkSession, path: str, value: str) -> bool:
+    """Write a small file under a name that nothing has, whole or not at all; False where the name is taken."""
+    files, where = _at(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = files.create(where, False)
+    stream.write(bytearray(value.encode()))
+    stream.close()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(where, target, gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as e:
+        files.delete(where, False)
+        if "FileAlreadyExistsException" in str(e.java_exception.getClass().getName()):
+            return False
+        raise
+    return True

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import math
+import time
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quizmill.sources import places
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HANDLED = ("checkout.session.completed", "customer.subscription.updated", "customer.subscription.deleted", "invoice.payment_failed")
 BODY_CAP = 65_536
@@ -72,30 +77,74 @@ def counters(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "item_id").agg(F.count("*").alias("seen"), F.count_if(F.col("score") == 2).alias("right"))
 
 
-class Boxes(StatefulProcessor):
-    """The box of each (user, item); within a batch scores go by time, and scores older than the state are ignored: its batch twin sorts them in instead."""
+class InOrder(StatefulProcessor):
+    """Holds each key's events until the watermark has passed them, and takes them in order of time and id.
+
+    An event-time timer stands at the earliest event that waits. No event from before the watermark can come any more, so what is
+    taken is complete: batches may bring events in any order, and the result is that of the batch twin. ``EVENT``: the fields that wait,
+    ts (seconds) and id first. ``taken(key, events)`` yields the result rows of some events in order."""
+
+    EVENT = "ts double, id long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("box", "box int, ts double, id long")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.EVENT)
+        self.fields = [f.split()[0] for f in self.EVENT.split(", ")]
+
+    def _wake(self, events: list[tuple]) -> None:
+        self.handle.registerTimer(math.ceil(min(events)[0] * 1000))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        old = self.state.get()
-        box, ts, last = old if old is not None else (0, -1.0, -1)
-        new = [r for r in rows if r.ts is not None and r.id is not None]
-        for r in sorted(new, key=lambda r: (r.ts, r.id)):
-            if (r.ts, r.id) > (ts, last):
-                box = min(box + 1, 3) if r.score == 2 else box if r.score == 1 else 0
-                ts, last = r.ts, r.id
-        self.state.update((box, ts, last))
-        yield Row(user_id=key[0], item_id=key[1], box=box)
+        new = [tuple(r[c] for c in self.fields) for r in rows if r.id is not None]
+        if new:
+            self.waiting.appendList(new)
+            self._wake([e[:2] for e in new])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
+        events = [tuple(e) for e in self.waiting.get()]
+        rest = [e for e in events if e[0] > passed]
+        if len(rest) == len(events):
+            return
+        if rest:
+            self.waiting.put(rest)
+            self._wake([e[:2] for e in rest])
+        else:
+            self.waiting.clear()
+        yield from self.taken(key, sorted((e for e in events if e[0] <= passed), key=lambda e: e[:2]))
 
     def close(self) -> None:
         pass
 
 
-def boxes(events: DataFrame) -> DataFrame:
-    """events: user_id, item_id, score, ts (seconds), id. Events without time or id are ignored."""
-    return events.groupBy("user_id", "item_id").transformWithState(Boxes(), "user_id long, item_id string, box int", "Update", "None")
+def in_order(events: DataFrame, keys: list[str], late: str, processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
+    """``processor`` over the events of each key. Events without time or id are ignored, but a time without an id still moves the watermark on."""
+    timed = events.where("ts is not null").withColumn("_at", F.timestamp_seconds("ts")).withWatermark("_at", late)  # a filter by id would go below the watermark
+    return timed.groupBy(*keys).transformWithState(processor, schema, mode, "EventTime")
+
+
+class Boxes(InOrder):
+    """The box of each (user, item): 2 moves up to three at most, 1 stays, anything else falls to 0."""
+
+    EVENT = "ts double, id long, score int"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.box = handle.getValueState("box", "box int")
+
+    def taken(self, key, events: list[tuple]) -> Iterator[Row]:
+        old = self.box.get()
+        box = old[0] if old is not None else 0
+        for _, _, score in events:
+            box = min(box + 1, 3) if score == 2 else box if score == 1 else 0
+        self.box.update((box,))
+        yield Row(user_id=key[0], item_id=key[1], box=box)
+
+
+def boxes(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The box of each key as of the watermark, for update mode. events: user_id, item_id, score, ts (seconds), id; those that come later than ``late`` are dropped."""
+    return in_order(events, ["user_id", "item_id"], late, Boxes(), "user_id long, item_id string, box int", "Update")
 
 
 def tiers(events: DataFrame) -> DataFrame:
@@ -109,37 +158,35 @@ def marks(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "item_id").agg(F.max_by(mark, F.struct("ts", "id")).alias("mark"))
 
 
-class Blocks(StatefulProcessor):
-    """Study blocks from start and end events: a second start replaces the first, an end without a start is ignored.
+class Blocks(InOrder):
+    """Study blocks from start and end events: a second start replaces the first, an end without a start is ignored."""
 
-    Events go by time within a batch. One that arrives in a later batch than its successors counts when it arrives: its batch twin sorts it in instead."""
+    EVENT = "ts double, id long, what string, activity string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("open", "activity string, ts double")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        open_ = self.state.get()
-        new = [r for r in rows if r.ts is not None and r.id is not None]
-        for r in sorted(new, key=lambda r: (r.ts, r.id)):
-            if r.what == "start":
-                open_ = (r.activity, r.ts)
-            elif r.what == "cancel":
+        super().init(handle)
+        self.open = handle.getValueState("open", "activity string, ts double")
+
+    def taken(self, key, events: list[tuple]) -> Iterator[Row]:
+        before = self.open.get()
+        open_ = before
+        for ts, _, what, activity in events:
+            if what == "start":
+                open_ = (activity, ts)
+            elif what == "end" and open_ is not None:
+                yield Row(user_id=key[0], activity=open_[0], started=open_[1], minutes=(ts - open_[1]) / 60)
                 open_ = None
-            elif open_ is not None:
-                yield Row(user_id=key[0], activity=open_[0], started=open_[1], minutes=(r.ts - open_[1]) / 60)
+            else:
                 open_ = None
-        if open_ is None:
-            self.state.clear()
-        else:
-            self.state.update(tuple(open_))
-
-    def close(self) -> None:
-        pass
+        if open_ is not None:
+            self.open.update(tuple(open_))
+        elif before is not None:
+            self.open.clear()
 
 
-def blocks(events: DataFrame) -> DataFrame:
-    """events: user_id, what (start, end, cancel), activity, ts (seconds), id. Events without time or id are ignored."""
-    return events.groupBy("user_id").transformWithState(Blocks(), "user_id long, activity string, started double, minutes double", "Append", "None")
+def blocks(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Blocks that ended before the watermark. events: user_id, what (start, end, cancel), activity, ts (seconds), id; those that come later than ``late`` are dropped."""
+    return in_order(events, ["user_id"], late, Blocks(), "user_id long, activity string, started double, minutes double", "Append")
 
 
 def blocks_batch(events: DataFrame) -> DataFrame:
@@ -152,31 +199,99 @@ def blocks_batch(events: DataFrame) -> DataFrame:
     return out.where("what = 'end' and _what = 'start'").select("user_id", F.col("_activity").alias("activity"), F.col("_ts").alias("started"), ((F.col("ts") - F.col("_ts")) / 60).alias("minutes"))
 
 
-def append_to(path: str, keys: list[str], sender: str = "outbox"):
-    """A foreachBatch sink that appends a batch's rows whose keys are in no other batch, each key once. Replays of a batch replace it.
+def append_to(path: str, keys: list[str], time: str, sender: str = "outbox", bucket: str = "yyyy-MM-dd"):
+    """A foreachBatch sink that appends a batch's rows whose keys no other batch has stored, each key once. Replays of a batch replace it.
 
-    Keys are looked up in all that the folder holds, so bound the folder by time where it grows without end."""
+    Rows lie in buckets of their time, and a key's time is part of the event, so a row sent again falls into the bucket of the first: only the buckets
+    of the batch's own rows are looked up, however much the sink holds. Rows without a time have a bucket of their own."""
 
     def write(rows: DataFrame, batch: int) -> None:
-        spark, own = rows.sparkSession, f"sender={sender}/batch={batch}"
-        new = rows.dropDuplicates(keys)
+        spark = rows.sparkSession
+        new = rows.withColumn("bucket", F.coalesce(F.date_format(time, bucket), F.lit("none"))).dropDuplicates(keys)
+        new = new.persist()  # read for its buckets and again for its rows; a lost executor's part is read from the source again
         try:
-            stored = spark.read.parquet(path)
-        except AnalysisException:  # nothing is stored yet
-            stored = None
-        if stored is not None:
-            others = stored.where(~((F.col("sender") == sender) & (F.col("batch") == batch)))
-            new = new.join(others.select(*(F.col(k).alias(f"_{k}") for k in keys)), reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)), "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/{own}")
+            touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # buckets of one batch
+            there = [f"{path}/bucket={b}" for b in touched if places.exists(spark, f"{path}/bucket={b}")]
+            if there:
+                others = spark.read.option("basePath", path).schema(stored_schema(new.schema)).parquet(*there).where(~((F.col("sender") == sender) & (F.col("batch") == batch)))
+                new = new.join(others.select(*(F.col(k).alias(f"_{k}") for k in keys)), reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)), "left_anti")
+            for b in touched:  # a replay may store less than the attempt before it
+                places.removed(spark, f"{path}/bucket={b}/sender={sender}/batch={batch}")
+            new.withColumns({"sender": F.lit(sender), "batch": F.lit(batch).cast("long")}).write.mode("append").partitionBy("bucket", "sender", "batch").parquet(path)
+        finally:
+            new.unpersist()
 
     return write
 
 
-def notices_to(texts: str, payloads: str):
-    """A foreachBatch sink with two outputs: lines for people, JSON for the agent. rows: text, payload columns."""
+def stored_schema(schema: T.StructType) -> T.StructType:
+    """The columns of a sink's rows with those of its folders."""
+    return T.StructType([*(f for f in schema.fields if f.name != "bucket"), T.StructField("bucket", T.StringType()), T.StructField("sender", T.StringType()), T.StructField("batch", T.LongType())])
+
+
+def lines_to(path: str):
+    """An output of notices: a line of text for people."""
+    return lambda rows, name: rows.select("text").write.mode("overwrite").text(f"{path}/batch={name}")
+
+
+def payloads_to(path: str):
+    """An output of notices: JSON for the agent, without the text."""
+    return lambda rows, name: rows.select(F.to_json(F.struct(*[c for c in rows.columns if c != "text"]))).write.mode("overwrite").text(f"{path}/batch={name}")
+
+
+def notices_to(outputs: dict, dead: str, now=time.time):
+    """A foreachBatch sink that gives each batch to every output. An output that fails never fails the batch: its rows become a dead letter.
+
+    outputs: name to a function of (rows, batch) that writes them, over what an earlier attempt left. A dead letter is a folder for an output and
+    batch with the rows and one file for each attempt, which says when the next is due."""
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.select("text").write.mode("overwrite").text(f"{texts}/batch={batch}")
-        rows.select(F.to_json(F.struct(*[c for c in rows.columns if c != "text"]))).write.mode("overwrite").text(f"{payloads}/batch={batch}")
+        rows = rows.persist()
+        try:
+            for name, output in outputs.items():
+                try:
+                    output(rows, batch)
+                except Exception as e:  # whatever an output does, the event stands
+                    at = f"{dead}/{name}/{batch}"
+                    rows.write.mode("overwrite").parquet(f"{at}/rows")
+                    _attempted(rows.sparkSession, at, 1, now(), e)
+        finally:
+            rows.unpersist()
 
     return write
+
+
+#: Seconds until the second attempt; each further one waits twice as long.
+BACK_OFF = 60
+
+
+def _attempted(spark, at: str, number: int, now: float, error: Exception) -> None:
+    places.put_once(spark, f"{at}/attempt-{number:04d}.json", json.dumps({"attempts": number, "next": now + BACK_OFF * 2 ** (number - 1), "error": str(error)[:500]}))
+
+
+def dead_letters(spark, dead: str) -> list[dict]:
+    """What waits: output, batch, attempts, when the next is due, the last error. One entry for each output and batch that failed."""
+    out = []
+    for name in places.names(spark, dead):
+        for batch in places.names(spark, f"{dead}/{name}"):
+            found = [n for n in places.names(spark, f"{dead}/{name}/{batch}") if n.startswith("attempt-") and n.endswith(".json")]
+            if found:  # none while the rows are being written
+                out.append({"output": name, "batch": int(batch), **json.loads(places.text(spark, f"{dead}/{name}/{batch}/{found[-1]}"))})
+    return out
+
+
+def drain(spark, outputs: dict, dead: str, now: float) -> int:
+    """Give the dead letters that are due to their outputs again; those that succeed go. The number that did."""
+    done = 0
+    for letter in dead_letters(spark, dead):
+        if letter["next"] > now or letter["output"] not in outputs:
+            continue
+        at = f"{dead}/{letter['output']}/{letter['batch']}"
+        try:
+            outputs[letter["output"]](spark.read.parquet(f"{at}/rows"), letter["batch"])
+        except Exception as e:
+            _attempted(spark, at, letter["attempts"] + 1, now, e)
+        else:
+            places.removed(spark, at)
+            done += 1
+    return done

@@ -262,17 +262,6 @@ def test_bank_cache(spark, tmp_path):
     assert slugs(300) == ["b"]
 
 
-def test_outbox_stores_each_key_once(spark, tmp_path):
-    out = str(tmp_path / "out")
-    rows = lambda *ids: spark.createDataFrame([(i, "x") for i in ids], "id long, v string")
-    write = events.append_to(out, ["id"])
-    write(rows(1, 2, 2), 0)
-    write(rows(2, 3), 1)
-    write(rows(2, 3), 1)  # the batch again after a failure
-    events.append_to(out, ["id"], "other device")(rows(1, 4), 0)
-    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4]
-
-
 def test_summary_model(spark):
     from quizmill.operators import planner
 
@@ -292,33 +281,3 @@ def test_signatures(spark, secret):
     rows = [(body, f"t={at},v1={sign}", at + 300), (body, f"t={at},v1={sign}", at + 301), (body + " ", f"t={at},v1={sign}", at), (body, f"t={at},v0={sign}", at), (body, f"v1={sign}", at), (body, f"t={at},v1=00,v1={sign}", at), (body, None, at), (None, f"t={at},v1={sign}", at)]
     good = events.verified(spark.createDataFrame(rows, "body string, signature string, received long"), secret)
     assert sorted((r.signature, r.received) for r in good.collect()) == sorted([(rows[0][1], at + 300), (rows[5][1], at)])
-
-
-def test_streams_over_two_batches(spark, tmp_path):
-    """Events of one user in two files, one a batch: what is open in the first is closed in the second; a late one counts when it comes."""
-    schema = "user_id long, what string, activity string, ts double, id long"
-    parts = [[(1, "start", "a", 100.0, 1), (2, "start", "b", 500.0, 2)], [(1, "end", "a", 700.0, 3), (2, "start", "c", 400.0, 4), (2, "end", "c", 800.0, 5)]]
-    for k, rows in enumerate(parts):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"k={k}"))
-    events.use_rocks(spark)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    found = []
-    keep = lambda rows, batch: found.extend((batch, *r) for r in rows.collect())
-    events.blocks(stream).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    assert sorted(r[1:] for r in found) == [(1, "a", 100.0, 10.0), (2, "c", 400.0, 400 / 60)]
-    twin = events.blocks_batch(spark.createDataFrame(sum(parts, []), schema))
-    assert sorted(map(tuple, twin.collect())) == [(1, "a", 100.0, 10.0), (2, "b", 500.0, 5.0)]
-
-
-def test_boxes_over_two_batches(spark, tmp_path):
-    """A box goes on from the first batch; a score older than the state, or without a time, changes nothing."""
-    schema = "user_id long, item_id string, score int, ts double, id long"
-    parts = [[(1, "i", 2, 100.0, 1), (1, "i", 2, 100.0, 2), (2, "i", 2, 500.0, 3), (3, "i", 2, None, 4), (4, "i", None, 1.0, 8)], [(1, "i", 2, 200.0, 5), (1, "i", 1, 300.0, 6), (2, "i", 0, 400.0, 7), (4, "i", 2, 2.0, 9)]]
-    for k, rows in enumerate(parts):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"k={k}"))
-    events.use_rocks(spark)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    found = {}
-    keep = lambda rows, batch: found.update(((batch, r.user_id), r.box) for r in rows.collect())
-    events.boxes(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    assert found == {(0, 1): 2, (0, 2): 1, (0, 3): 0, (0, 4): 0, (1, 1): 3, (1, 2): 1, (1, 4): 1}
