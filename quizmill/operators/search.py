@@ -1,48 +1,123 @@
-"""Search of the catalogue by free text, and the question that tells near candidates apart."""
+"""Search of the catalogue by free text, and the question that tells near candidates apart.
+
+Queries and apps meet over postings of a stored index, never all with all. What must contain a text as a part of it is looked up by that text's
+rarest run of GRAM signs (all of it if shorter): the patterns' runs are counted among the runs of the texts, a pattern with a run that no text has
+meets nothing, and every meeting is verified by the whole pattern. Words and stems meet by their first PREFIX signs.
+
+Covers and keywords give most points, so they come first. An app that only has words of a query in its name, exam or audience gets few for each, and is
+looked for only where these can reach the least score and the share of the best that covers and keywords have given: then
+it must have one of the words that remain when the shortest are left out whose points together stay below that bound.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quizmill.functions import text
+from quizmill.sources import places
 
-# Points of each kind of match, the least score and the share of the leader's: fixed values
+# Points of each kind of match, the least score, the share of the leader's, and how many reasons are told: fixed values
 COVERS, PHRASE, WORD, STEM, HAY = 60, 30, 18, 9, 6
-LEAST, SHARE = 12, 0.6
+LEAST, SHARE, REASONS = 12, 0.6, 4
+#: Signs of a run by which texts are looked up, of a word in the hay, and of a stem.
+GRAM, IN_HAY, PREFIX = 3, 4, 5
 
 
-def scored(queries: DataFrame, apps: DataFrame) -> DataFrame:
-    """(query_id, slug, score) of every query against every live app. queries: query_id, query; apps: slug, name, exam, audience, status, covers, keywords.
-
-    The catalogue is a page of apps, sent to every task when it is within Spark's broadcast bound.
-    """
-    q = queries.select("query_id", text.norm(F.col("query")).alias("q"), text.tokens(F.col("query")).alias("words")).where("q <> '' and size(words) > 0")
-    normal = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), text.norm), lambda x: x != "")
-    a = apps.where("status = 'live'").select("slug", normal(F.col("covers")).alias("covers"), normal(F.col("keywords")).alias("keywords"), text.norm(F.concat_ws(" ", "name", "exam", "audience")).alias("hay"))
-    total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda t, x: t + x)
-    long_ = lambda x: F.lit(x).cast("long")
-    q_ = F.col("q")
-    covers = total(F.transform("covers", lambda n: F.when(q_.contains(n) | n.contains(q_), long_(COVERS)).otherwise(long_(0))))
-    keywords = total(
-        F.transform(
-            "keywords",
-            lambda k: F.when(k.contains(" "), F.when(q_.contains(k), long_(PHRASE)).otherwise(long_(0)))
-            .when(F.array_contains("words", k), long_(WORD))
-            .when(F.exists("words", lambda w: text.stem_match(w, k)), long_(STEM))
-            .otherwise(long_(0)),
-        )
+def grams(value: Column, sizes: Column) -> Column:
+    """The distinct runs of signs of the given lengths (an array) that a text has."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(value) - n + 1, F.lit(1))), lambda k: F.substring(value, k, n))
+    return F.array_distinct(F.flatten(F.transform(sizes, of)))
+
+
+#: How a query and a cover or phrase meet: the query has the text in it, or the text has the query in it.
+IN_QUERY, IN_COVER = 0, 1
+
+
+def indexed(apps: DataFrame) -> DataFrame:
+    """The index of the live apps, as a table in the shared folder: kind (0 covers, 1 keywords, 2 all of name, exam and audience), place, what it says, its normal form, its beginning, and its runs of signs."""
+    listed = lambda kind, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, k: F.struct(F.lit(kind).alias("kind"), k.alias("at"), x.alias("raw")))
+    whole = F.array(F.struct(F.lit(2).alias("kind"), F.lit(0).alias("at"), F.concat_ws(" ", "name", "exam", "audience").alias("raw")))
+    rows = apps.where("status = 'live'").repartition(apps.sparkSession.sparkContext.defaultParallelism, "slug").select("slug", F.explode(F.concat(listed(0, F.col("covers")), listed(1, F.col("keywords")), whole)).alias("e"))  # a catalogue may be one file
+    rows = rows.select("slug", "e.*").withColumn("norm", text.norm(F.col("raw"))).where("norm <> ''")
+    sizes = F.when(F.col("kind") == 2, F.array(F.lit(GRAM))).when(F.col("kind") == 0, F.array(*map(F.lit, range(1, GRAM + 1)))).otherwise(F.array().cast("array<int>"))
+    return places.stored(rows.withColumns({"start": F.substring("norm", 1, PREFIX), "runs": grams(F.col("norm"), sizes)}), "catalogue-index")
+
+
+def meetings(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(way, text, pattern), each once, of the texts that contain a pattern of their way. texts: way, text, runs; patterns: way, pattern."""
+    size = F.least(F.length("pattern"), F.lit(GRAM))
+    runs = patterns.distinct().select("way", "pattern", F.explode(grams(F.col("pattern"), F.array(size))).alias("gram"))
+    some = texts.dropDuplicates(["way", "text"]).select("way", "text", F.explode("runs").alias("gram"))
+    counted = some.join(runs.select("way", "gram").distinct(), ["way", "gram"], "left_semi").groupBy("way", "gram").agg(F.count("*").alias("n"))
+    rated = runs.join(counted, ["way", "gram"], "left").groupBy("way", "pattern").agg(F.min(F.struct("n", "gram")).alias("rare"), F.count_if(F.col("n").isNull()).alias("absent"))
+    key = rated.where("absent = 0").select("way", "pattern", F.col("rare.gram").alias("gram"))
+    return some.join(key, ["way", "gram"]).where(F.contains("text", "pattern")).select("way", "text", "pattern")
+
+
+def _normal(queries: DataFrame) -> DataFrame:
+    """(query_id, q, words) of the queries that have words."""
+    normal = queries.select("query_id", text.norm(F.col("query")).alias("q")).select("query_id", "q", text.tokens_of(F.col("q")).alias("words"))
+    return normal.where("q <> '' and size(words) > 0")
+
+
+def matches(q: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, slug, kind, at, raw, points): each cover and keyword by which a query meets an app. q: query_id, q, words; index: as ``indexed`` makes it."""
+    asked = q.select("query_id", F.col("q").alias("asked"))
+    lengths = F.array(*map(F.lit, range(1, GRAM + 1)))
+    phrase = (F.col("kind") == 1) & F.contains("norm", F.lit(" "))
+    told = index.where((F.col("kind") == 0) | phrase)
+    way = lambda k: F.lit(k).alias("way")
+    covers = told.where("kind = 0")
+    pairs = meetings(
+        asked.select(way(IN_QUERY), F.col("asked").alias("text"), grams(F.col("asked"), lengths).alias("runs")).unionByName(covers.select(way(IN_COVER), F.col("norm").alias("text"), "runs")),
+        told.select(way(IN_QUERY), F.col("norm").alias("pattern")).unionByName(asked.select(way(IN_COVER), F.col("asked").alias("pattern"))),
     )
-    hay = total(F.transform("words", lambda w: F.when((F.length(w) >= 4) & F.col("hay").contains(w), long_(HAY)).otherwise(long_(0))))
-    a = a.repartition(apps.sparkSession.sparkContext.defaultParallelism, "slug")  # a catalogue is one file, which one task would score alone
-    return q.join(a).select("query_id", "slug", (covers + keywords + hay).alias("score"))  # every query meets every app: the score is the search
+    turned = F.col("way") == IN_QUERY
+    pairs = pairs.select("way", F.when(turned, F.col("pattern")).otherwise(F.col("text")).alias("norm"), F.when(turned, F.col("text")).otherwise(F.col("pattern")).alias("asked"))
+    names = ("query_id", "slug", "kind", "at", "raw")
+    met = pairs.join(told.select("slug", "kind", "at", "raw", "norm"), "norm").where((F.col("way") == IN_QUERY) | (F.col("kind") == 0)).join(asked, "asked")
+    once = met.select(*names).distinct()  # a cover that has the query in it may be all of it
+    points = F.when(F.col("kind") == 0, COVERS).otherwise(PHRASE).cast("long").alias("points")
+    words = q.select("query_id", F.explode(F.array_distinct("words")).alias("word")).withColumn("start", F.substring("word", 1, PREFIX))
+    single = index.where((F.col("kind") == 1) & ~F.contains("norm", F.lit(" "))).select("slug", "kind", "at", "raw", "norm", "start")
+    by_word = F.when(F.col("word") == F.col("norm"), WORD).when(text.stem_match(F.col("word"), F.col("norm")), STEM).cast("long")
+    near = single.join(words, "start").withColumn("points", by_word).where("points is not null").groupBy(*names).agg(F.max("points").alias("points"))
+    return once.select(*names, points).unionByName(near)
+
+
+def by_words_alone(q: DataFrame, index: DataFrame, least: DataFrame) -> DataFrame:
+    """(query_id, slug) of the apps whose name, exam and audience may reach a query's least score alone. least: query_id, least."""
+    words = q.select("query_id", F.explode("words").alias("pattern")).where(F.length("pattern") >= IN_HAY).groupBy("query_id", "pattern").agg((F.count("*") * HAY).alias("most"))
+    up_to = F.sum("most").over(Window.partitionBy("query_id").orderBy(F.length("pattern"), "pattern"))
+    needed = words.withColumn("sum", up_to).join(least, "query_id", "left").where(F.col("sum") >= F.greatest(F.lit(LEAST), F.coalesce("least", F.lit(0)))).select("query_id", "pattern")
+    hay = index.where("kind = 2").select(F.lit(0).alias("way"), "slug", F.col("norm").alias("text"), "runs")
+    pairs = meetings(hay.drop("slug"), needed.select(F.lit(0).alias("way"), "pattern"))
+    return pairs.join(needed, "pattern").join(hay.select("slug", "text"), "text").select("query_id", "slug").distinct()
+
+
+def scored(queries: DataFrame, apps: DataFrame) -> DataFrame:
+    """(query_id, slug, score, why) of every pair that a cover or keyword joins, and of those that words alone may bring up to the candidates.
+    why: up to four covers and keywords, in the app's order.
+
+    queries: query_id (distinct), query; apps: slug (distinct), name, exam, audience, status, covers, keywords."""
+    q, index = _normal(queries), indexed(apps)
+    told = F.transform(F.array_sort(F.collect_list(F.struct("kind", "at", "raw"))), lambda x: x["raw"])
+    strong = places.stored(matches(q, index).groupBy("query_id", "slug").agg(F.sum("points").alias("points"), F.slice(F.array_distinct(told), 1, REASONS).alias("why")), "catalogue-matches")
+    least = strong.groupBy("query_id").agg((F.max("points") * SHARE).alias("least"))
+    rest = by_words_alone(q, index, least).join(strong.select("query_id", "slug"), ["query_id", "slug"], "left_anti")
+    pairs = strong.unionByName(rest.select("query_id", "slug", F.lit(0).cast("long").alias("points"), F.array().cast("array<string>").alias("why")))
+    hay = index.where("kind = 2").select("slug", F.col("norm").alias("hay"))
+    found = pairs.join(hay, "slug", "left").join(q.select("query_id", "words"), "query_id")
+    in_hay = F.size(F.filter("words", lambda w: (F.length(w) >= IN_HAY) & F.contains(F.coalesce("hay", F.lit("")), w)))
+    return found.select("query_id", "slug", (F.col("points") + in_hay * HAY).alias("score"), "why")
 
 
 def search(queries: DataFrame, apps: DataFrame) -> DataFrame:
-    """Candidates of each query, best first: those not far below the leader."""
+    """Candidates of each query, best first, with their reasons: those not far below the leader."""
     own = Window.partitionBy("query_id")
-    found = scored(queries, apps).where(F.col("score") >= LEAST).withColumn("_top", F.max("score").over(own))  # the least score goes into the join, so few pairs are dealt
+    found = scored(queries, apps).where(F.col("score") >= LEAST).withColumn("_top", F.max("score").over(own))
     found = found.where(F.col("score") >= F.col("_top") * SHARE).drop("_top")
     return found.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "slug")).cast("long"))
 
