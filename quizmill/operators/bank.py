@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quizmill.functions import text
+from quizmill.sources import places
+
 PUBLIC = ("id", "n", "cat", "stem", "choices")
 
 
@@ -60,11 +65,24 @@ def refreshed(sample: DataFrame, bank: DataFrame) -> DataFrame:
     return out.select("place", "id", "state", *(F.when(F.col("_id").isNull(), F.col(c)).otherwise(F.col(f"_new.{c}")).alias(c) for c in columns))
 
 
-def numbered(new: DataFrame, existing: DataFrame, prefix: str, order: str) -> DataFrame:
-    """Ids for new rows, from the largest number in use on. A batch of new rows is small."""
-    top = existing.agg(F.coalesce(F.max(F.regexp_replace(F.col("id").cast("string"), r"\D", "").cast("long")), F.lit(0)).alias("_top"))
-    placed = new.withColumn("_k", F.row_number().over(Window.orderBy(order)))
-    return placed.crossJoin(F.broadcast(top)).withColumn("new_id", F.format_string(f"{prefix}%03d", F.col("_top") + F.col("_k"))).drop("_k", "_top")  # top is one row
+def placed(rows: DataFrame, column: str, *order: str) -> DataFrame:
+    """``column``: each row's place from 1 in the order of columns that have no ties together, by a scan over range partitions.
+
+    The sorted rows are stored with their partition and their place in it; the sizes of the partitions, one row each, give every partition
+    what comes before it. So no task holds more than its range, and a repeated task finds the same places."""
+    mask = F.lit((1 << 33) - 1)
+    here = rows.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), (F.monotonically_increasing_id().bitwiseAND(mask) + 1).alias("_k"))
+    here = places.stored(here, "placed")
+    sizes = sorted((r._part, r.n) for r in here.groupBy("_part").agg(F.max("_k").alias("n")).collect())  # a row for each partition
+    before = dict(zip((p for p, _ in sizes), accumulate((n for _, n in sizes), initial=0), strict=False))
+    start = F.element_at(F.create_map(*(F.lit(x) for entry in before.items() for x in entry)), F.col("_part")) if before else F.lit(0)
+    return here.withColumn(column, (F.col("_k") + start).cast("long")).drop("_part", "_k")
+
+
+def numbered(new: DataFrame, existing: DataFrame, prefix: str, *order: str) -> DataFrame:
+    """Ids for new rows, from the largest number in use on, in the order of columns without ties."""
+    top = existing.agg(F.coalesce(F.max(F.regexp_replace(F.col("id").cast("string"), r"\D", "").cast("long")), F.lit(0))).first()[0]
+    return placed(new, "_n", *order).withColumn("new_id", text.numbered(prefix, F.col("_n") + top)).drop("_n")
 
 
 def duplicates(new: DataFrame, existing: DataFrame, key: str, order: str) -> DataFrame:

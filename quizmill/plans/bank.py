@@ -65,6 +65,13 @@ def numbered_questions(spark, d):
     return bank.numbered(tables.table(spark, d, "nation").select(F.col("n_nationkey").alias("k")), tables.bank(spark, d), "q", "k")
 
 
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS place FROM lineitem")
+def placed_lines(spark, d):
+    """The place of every line in the order of all, without a task that holds them all."""
+    lines = tables.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    return bank.placed(lines, "place", "l_orderkey", "l_linenumber")
+
+
 @query("SELECT c_custkey AS k, c_nationkey AS term, CASE WHEN c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey<=5) THEN 'exists' ELSE 'repeated' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS nth FROM customer) WHERE nth>1 OR c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey<=5)")
 def duplicate_terms(spark, d):
     """All customers' nations against terms in use: those of five suppliers, so that some are in use and some are not."""

@@ -130,6 +130,7 @@ def library_shelf(spark, d):
     return commerce.shelf(tables.purchases(spark, d).select("customer", "slug"), books)
 
 
-@query("SELECT user_id, id FROM responses WHERE user_id NOT IN (SELECT user_id FROM study_sessions WHERE id%2=0)", "responses study_sessions")
+@query("SELECT user_id, id FROM responses WHERE user_id NOT IN (SELECT user_id FROM study_sessions WHERE user_id%3<>0)", "responses study_sessions")
 def backfilled_history(spark, d):
-    return commerce.backfilled(tables.responses(spark, d).select("user_id", "id"), tables.study_sessions(spark, d).where("id % 2 = 0"))
+    """The server has sessions of two users in three, so the local answers of the third are sent."""
+    return commerce.backfilled(tables.responses(spark, d).select("user_id", "id"), tables.study_sessions(spark, d).where("user_id % 3 <> 0"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quizmill.operators import bank
 from quizmill.plans.registry import query
 from quizmill.sources import documents, tables
 from quizmill.sources.places import folder
@@ -99,6 +100,13 @@ def additions_terms(spark, d):
     return _additions(spark, d, True)[0].select("sub", "term", "def", F.col("at").cast("long").alias("at"))
 
 
+@query("SELECT 'c'||CAST(n AS VARCHAR) AS id, term FROM (SELECT 'Term '||c_custkey AS term, 1000+row_number() OVER (ORDER BY 'Nation '||c_nationkey, c_custkey) AS n FROM customer)")
+def numbered_cards(spark, d):
+    """New terms of all files get ids after those in use, in the order of sections and of places in them."""
+    terms = _additions(spark, d, True)[0].select("sub", "at", "term")
+    return bank.numbered(terms, spark.range(1).select(F.lit("c1000").alias("id")), "c", "sub", "at").select(F.col("new_id").alias("id"), "term")
+
+
 NUMBER = "'q'||lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(3, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0')"
 
 
@@ -127,7 +135,7 @@ def _trading(spark, d):
     own = rows.groupBy("file", "sign").agg(F.count("*").alias("n"), _joined(F.col("p_partkey").alias("at"), F.col("term").alias("line")).alias("terms"), _joined(F.col("p_partkey").alias("at"), F.col("ask").alias("line")).alias("asks"))
     part = own.select("file", "sign", F.concat(F.lit("### "), "sign", F.lit(". Part "), "sign", F.lit(" ("), "n", F.lit(")\n"), "terms", F.lit("\n## "), "sign", F.lit(". Part "), "sign", F.lit("\n\n"), "asks").alias("line"))
     whole = part.groupBy("file").agg(F.concat(F.lit("# Bank\n\n"), _joined(F.col("sign").alias("at"), F.col("line"))).alias("value"))
-    return documents.trading(documents.markdown(spark, _written(whole, "trading") + "/file=*"))
+    return documents.trading(spark, _written(whole, "trading") + "/file=*")
 
 
 SIGN = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(p_size%26+1 AS INTEGER), 1)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quizmill.functions import text
+from quizmill.sources import places
 from quizmill.sources.places import folder
 
 QUESTION = "id string, n int, cat string, stem string, choices array<string>, answer int, label string, why string, sub string"
@@ -117,21 +118,41 @@ def merged_additions(existing: DataFrame, scenarios: DataFrame, answers: DataFra
     return good.select(text.numbered("q", F.col("n")).alias("id"), "n", "sub", "stem", "choices", "answer", "label", "why"), problems
 
 
-def trading(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(terms, scenarios) of Markdown in which section headings hold for the lines that follow."""
-    lines = files.select("file", F.posexplode(F.split("body", "\n")).alias("at", "line"))
-    own = Window.partitionBy("file").orderBy("at")
-    head = F.regexp_extract("line", r"^#{2,3} ([A-Z])\. (.+?)(?: \(\d+\))?\s*$", 1)
-    name = F.regexp_extract("line", r"^#{2,3} ([A-Z])\. (.+?)(?: \(\d+\))?\s*$", 2)
-    lines = lines.withColumn("section", F.last(F.when(head != "", head), True).over(own)).withColumn("section_name", F.last(F.when(name != "", name), True).over(own))
-    term = r"^\d+\. \*\*(.+?)\*\*\s*—\s*(.+)$"
-    terms = lines.where(F.col("line").rlike(term)).select("file", "at", "section", "section_name", F.regexp_extract("line", term, 1).alias("term"), F.trim(F.regexp_extract("line", term, 2)).alias("def"))
-    start = F.regexp_extract("line", r"^\*\*([A-Z]\d+)\.\*\*", 1)
-    # a block reaches to the next one, or to a heading
-    block = lines.withColumn("key", F.last(F.when(head != "", "").when(start != "", start), True).over(own)).where("key <> ''").groupBy("file", "key").agg(F.min("at").alias("at"), F.min_by("section", "at").alias("section"), F.min_by("section_name", "at").alias("section_name"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("body"))
+# A section's heading, a term's line, the first line of a scenario, and its answer: fixed values
+HEADING, TERM = r"^#{2,3} ([A-Z])\. (.+?)(?: \(\d+\))?\s*$", r"^\d+\. \*\*(.+?)\*\*\s*—\s*(.+)$"
+SCENARIO, ANSWER = r"^\*\*([A-Z]\d+)\.\*\*", r"(?s)\*\*Answer: ([A-D])\.?\*\*\s*(.*)$"
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of text files, with its file, the split of the file that it is read in, and its place there. A large file is many splits, a task each."""
+    rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    return places.stored(rows, "lines")  # so that a line keeps its place when a task is repeated
+
+
+def carried(rows: DataFrame, **values: Column) -> DataFrame:
+    """For each name the last value that isn't null up to each line of a file, by a segmented scan: the last of every split is passed on to
+    the later splits of its file, which are few rows, and each split is scanned on its own. rows: file, split, at and the lines' columns."""
+    marked = rows.withColumns({f"_{n}": v for n, v in values.items()})
+    order = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    ends = marked.groupBy("file", "split").agg(*(F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.col("at"))).alias(f"_{n}") for n in values))
+    carry = ends.select("file", "split", *(F.last(f"_{n}", True).over(order).alias(f"_carried_{n}") for n in values))
+    own = Window.partitionBy("file", "split").orderBy("at")
+    out = marked.join(carry, ["file", "split"])
+    return out.select(*rows.columns, *(F.coalesce(F.last(f"_{n}", True).over(own), F.col(f"_carried_{n}")).alias(n) for n in values))
+
+
+def trading(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(terms, scenarios) of Markdown files in which section headings hold for the lines that follow, wherever a file is split."""
+    heading = lambda k: F.nullif(F.regexp_extract("line", HEADING, k), F.lit(""))
+    start = F.nullif(F.regexp_extract("line", SCENARIO, 1), F.lit(""))
+    # a block reaches to the next one, or to a heading; equal keys in one section are blocks of their own by where they begin
+    begins = F.when(heading(1).isNotNull(), F.struct(F.lit(None).cast("string").alias("key"), "split", "at")).when(start.isNotNull(), F.struct(start.alias("key"), "split", "at"))
+    found = carried(lines(spark, path), section=heading(1), section_name=heading(2), block=begins)
+    terms = found.where(F.col("line").rlike(TERM)).select("file", "split", "at", "section", "section_name", F.regexp_extract("line", TERM, 1).alias("term"), F.trim(F.regexp_extract("line", TERM, 2)).alias("def"))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "at", "line"))), lambda x: x["line"]), "\n")
+    block = found.where("block.key is not null").groupBy("file", "block").agg(F.first("section").alias("section"), F.first("section_name").alias("section_name"), told.alias("body"))
     option = lambda a, b: F.trim(F.regexp_extract("body", rf"(?s)\b{a}[.)]\s*(.*?)\s*(?={b})", 1))
-    answer = r"(?s)\*\*Answer: ([A-D])\.?\*\*\s*(.*)$"
-    scenarios = block.select("file", "at", "key", "section", "section_name", F.trim(text.fold_lines(F.regexp_extract("body", r"(?s)^\*\*[A-Z]\d+\.\*\*\s*(.*?)\s*(?=\bA[.)]\s)", 1))).alias("stem"), F.array(option("A", r"\bB[.)]\s"), option("B", r"\bC[.)]\s"), option("C", r"\bD[.)]\s"), option("D", r"\*\*Answer")).alias("options"), (F.ascii(F.regexp_extract("body", answer, 1)) - 65).alias("answer"), F.trim(text.fold_lines(F.get(F.split(F.regexp_extract("body", answer, 2), r"\n(?:---|\s*\n)"), F.lit(0)))).alias("rationale"))
+    scenarios = block.select("file", F.col("block.split").alias("split"), F.col("block.at").alias("at"), F.col("block.key").alias("key"), "section", "section_name", F.trim(text.fold_lines(F.regexp_extract("body", r"(?s)^\*\*[A-Z]\d+\.\*\*\s*(.*?)\s*(?=\bA[.)]\s)", 1))).alias("stem"), F.array(option("A", r"\bB[.)]\s"), option("B", r"\bC[.)]\s"), option("C", r"\bD[.)]\s"), option("D", r"\*\*Answer")).alias("options"), (F.ascii(F.regexp_extract("body", ANSWER, 1)) - 65).alias("answer"), F.trim(text.fold_lines(F.get(F.split(F.regexp_extract("body", ANSWER, 2), r"\n(?:---|\s*\n)"), F.lit(0)))).alias("rationale"))
     return terms, scenarios.where("answer between 0 and 3")
 
 

@@ -220,11 +220,11 @@ def test_markdown(spark, tmp_path):
     good, problems = documents.merged_additions(spark.createDataFrame([("q002", 2)], "id string, n int"), scenarios, answers)
     assert good.count() == 0 and [r.problem for r in problems.collect()] == ["number in use"]
     (tmp_path / "trade.md").write_text(TRADING)
-    terms, scenarios = documents.trading(documents.markdown(spark, str(tmp_path / "trade.md")))
+    terms, scenarios = documents.trading(spark, str(tmp_path / "trade.md"))
     assert [(r.section, r.section_name, r.term) for r in terms.orderBy("at").collect()] == [("A", "Orders", "Limit"), ("A", "Orders", "Market")]
     s = scenarios.collect()
     (tmp_path / "more.md").write_text(TRADING.replace("what is there.\n", "what is there.\n\nA note.\n---\n\n## B. Risk (0)\nMore.\n"))
-    assert documents.trading(documents.markdown(spark, str(tmp_path / "more.md")))[1].drop("file").collect() == scenarios.drop("file").collect()
+    assert documents.trading(spark, str(tmp_path / "more.md"))[1].drop("file").collect() == scenarios.drop("file").collect()
     assert [(r.key, r.stem, r.options, r.answer, r.rationale) for r in s] == [("A1", "What fills first?", ["Limit", "Market", "Stop", "None"], 1, "It takes what is there.")]
 
 
