@@ -22,6 +22,34 @@ def recommended(items: DataFrame, responses: DataFrame, n: int, seed: int = 0, j
     return warm.unionByName(cold.select("user_id", "item_id", "cat", F.lit(None).cast("double").alias("score"), "rank"))
 
 
+def recommended_by_source(items: DataFrame, server: DataFrame, local: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """What each user should study next, from the server's figures, else from the device's, else in shuffled order; ``source`` and ``reason`` say why.
+
+    The answers of both are summed up once by user, item and category, and all figures come from these sums. Devices know neither rounded
+    shares nor how hard an item is to others. items: user_id, item_id, cat for every user and item on offer."""
+    sums = learner.tagged(server, local).groupBy("user_id", "from", "item_id", "category").agg(F.count("*").alias("attempts"), F.count_if("correct").alias("correct"), F.min("id").alias("first_id"))
+    stats = learner.chosen(sums.groupBy("user_id", "from", "category").agg(F.sum("attempts").alias("total"), F.sum("correct").alias("right")))
+    stats = stats.withColumn("accuracy", learner.accuracy_from(F.col("right"), F.col("total")))
+    misses = F.col("attempts") - F.col("correct")
+    rate = F.round(misses / F.col("attempts").cast("double"), 3)
+    order = Window.partitionBy("user_id").orderBy(F.desc("miss_rate"), F.desc("misses"), "item_id", "category")
+    weak = sums.where((F.col("from") == learner.SERVER) & (misses > 0)).withColumns({"miss_rate": rate, "misses": misses}).withColumn("rank", F.row_number().over(order)).where("rank <= 60").select("user_id", "item_id", "miss_rate", "rank")
+    own = sums.where(F.col("from") == learner.LOCAL).groupBy("user_id", "item_id").agg(F.sum("attempts").alias("attempts"), F.sum("correct").alias("correct")).where(misses > 0)
+    own = own.select("user_id", "item_id", (misses / F.col("attempts").cast("double")).alias("miss_rate"), F.lit(1).alias("rank"))
+    hard = sums.where(F.col("from") == learner.SERVER).groupBy("item_id").agg(F.sum("attempts").alias("attempts"), F.sum("correct").alias("correct")).where("attempts >= 3")
+    hard = hard.select("item_id", F.round(1 - F.col("correct") / F.col("attempts").cast("double"), 3).alias("difficulty"))
+    who = stats.groupBy("user_id").agg(F.max("from").alias("from"))
+    known = items.join(who, "user_id", "left")
+    warm = lambda of, weak_, hard_: recommend.scored(known.where(F.col("from") == of).drop("from"), stats.where(F.col("from") == of), weak_, hard_)
+    best = recommend.padded(warm(learner.SERVER, weak, hard).unionByName(warm(learner.LOCAL, own, hard.where(F.lit(False)))), n, seed)
+    shuffled = Window.partitionBy("user_id").orderBy(recommend.shuffle_key(seed, "item_id"), "item_id")
+    cold = known.where(F.col("from").isNull()).withColumn("rank", F.row_number().over(shuffled).cast("long")).where(F.col("rank") <= n)
+    told = recommend.reasons(stats).groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "category"))), lambda x: x["category"]), ", ").alias("weakest"))
+    reason = F.when(F.col("weakest").isNotNull(), F.concat(F.lit("weak: "), "weakest")).otherwise("all good")
+    best = best.join(who, "user_id").join(told, "user_id", "left").select("user_id", "item_id", "cat", "rank", learner.source_name().alias("source"), reason.alias("reason"))
+    return best.unionByName(cold.select("user_id", "item_id", "cat", "rank", F.lit("none").alias("source"), F.lit("no answers yet").alias("reason")))
+
+
 def summary(blocks: DataFrame, terms: int, questions: int, days_left: int | None, limit: int = 3) -> DataFrame:
     """One record per user: estimate, progress, next block and tips. blocks: user_id, id, ts, activity, minutes, focus, distractions."""
     hours, total, parts = planner.hours_of(terms, questions)

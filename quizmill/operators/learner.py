@@ -105,11 +105,67 @@ def session_scores(sessions: DataFrame) -> DataFrame:
     return sessions.select("id", "user_id", score_percent(F.col("correct"), F.col("total")).alias("percent"))
 
 
+SERVER, LOCAL = 1, 0
+
+
+def tagged(server: DataFrame, local: DataFrame) -> DataFrame:
+    """Answers that the server has and answers that devices keep, told apart by ``from``. Both: user_id, item_id, category, correct, created_at, id."""
+    columns = ("user_id", "item_id", "category", "correct", "created_at", "id")
+    return server.select(*columns, F.lit(SERVER).alias("from")).unionByName(local.select(*columns, F.lit(LOCAL).alias("from")))
+
+
+def chosen(rows: DataFrame) -> DataFrame:
+    """Of each user what the server has, and what devices keep only where it has nothing. rows: summed up already, user_id and ``from``."""
+    best = F.max("from").over(Window.partitionBy("user_id"))
+    return rows.withColumn("_best", best).where(F.col("from") == F.col("_best")).drop("_best")
+
+
+def accuracy_from(correct: Column, total: Column) -> Column:
+    """The server rounds its shares, devices do not."""
+    return F.when(F.col("from") == SERVER, ratio(correct, total)).otherwise(correct / total.cast("double"))
+
+
+def source_name() -> Column:
+    return F.when(F.col("from") == SERVER, "server").otherwise("local")
+
+
+def shares(rows: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """By user and ``from``: total, correct, percent, streak, trend_days and to_work_on, in one pass over the answers, which are summed up
+    by category and by day at once. A user's days are as many as the calendar has."""
+    recent_ = F.col("created_at") > _moment(as_of) - F.expr(f"INTERVAL {days} DAYS")
+    each = rows.select("user_id", "from", "category", F.to_date("created_at").alias("day"), "correct", recent_.alias("recent"))
+    by = each.groupingSets([["user_id", "from", "category"], ["user_id", "from", "day"]], "user_id", "from", "category", "day").agg(
+        F.grouping("day").alias("of_category"), F.count("*").alias("total"), F.count_if("correct").alias("correct"), F.count_if("recent").alias("recent")
+    )
+    category = F.col("of_category") == 1
+    weak = category & (accuracy_from(F.col("correct"), F.col("total")) < 0.7)
+    out = by.groupBy("user_id", "from").agg(
+        F.sum(F.when(category, F.col("total"))).alias("total"),
+        F.sum(F.when(category, F.col("correct"))).alias("correct"),
+        F.count_if(~category & (F.col("recent") > 0)).alias("trend_days"),
+        F.count_if(weak).alias("to_work_on"),
+        F.array_sort(F.collect_list(F.when(~category, F.col("day")))).alias("days"),
+    )
+    island = F.transform("days", lambda d, k: F.date_sub(d, k))
+    last = F.element_at(F.when(F.size("days") > 0, F.col("days")), -1)
+    run = F.size(F.filter(island, lambda x: x == F.date_sub(last, F.size("days") - 1))).cast("long")
+    alive = F.when(last >= F.date_sub(F.to_date(F.lit(as_of)), 1), run).otherwise(F.lit(0).cast("long"))
+    return out.select("user_id", "from", "total", "correct", percent(F.col("correct"), F.col("total")).alias("percent"), alive.alias("streak"), "trend_days", "to_work_on")
+
+
+def _shown(sessions: DataFrame, most: int = 10) -> DataFrame:
+    return sessions.groupBy("user_id").agg(F.least(F.count("*"), F.lit(most).cast("long")).alias("sessions_shown"))
+
+
 def dashboard(rows: DataFrame, sessions: DataFrame, as_of: str) -> DataFrame:
     """One row per user: headline, streak, days on the trend, sessions shown and categories to work on."""
-    head = headline(rows)
-    days = daily_trend(rows, as_of).groupBy("user_id").agg(F.count("*").alias("trend_days"))
-    shown = recent(sessions, 10, "finished_at").groupBy("user_id").agg(F.count("*").alias("sessions_shown"))
-    plan = study_plan(category_stats(rows)).groupBy("user_id").agg(F.count_if(F.col("priority") >= 2).alias("to_work_on"))
-    out = head.join(streak(rows, as_of), "user_id").join(days, "user_id", "left").join(shown, "user_id", "left").join(plan, "user_id", "left")
-    return out.fillna(0, ["trend_days", "sessions_shown", "to_work_on"])
+    out = shares(rows.withColumn("from", F.lit(SERVER)), as_of).join(_shown(sessions), "user_id", "left")
+    return out.select("user_id", "total", "correct", "percent", "streak", "trend_days", F.coalesce("sessions_shown", F.lit(0)).alias("sessions_shown"), "to_work_on")
+
+
+def dashboard_by_source(server: DataFrame, local: DataFrame, sessions: DataFrame, as_of: str) -> DataFrame:
+    """The dashboard of every user that either has: from the server's answers, else from the device's, which know no trend, sessions or streak; ``source`` says which."""
+    own = F.col("from") == SERVER
+    zero = F.lit(0).cast("long")
+    out = chosen(shares(tagged(server, local), as_of)).join(_shown(sessions), "user_id", "left")
+    return out.select("user_id", source_name().alias("source"), "total", "correct", "percent", F.when(own, F.col("streak")).otherwise(zero).alias("streak"), F.when(own, F.col("trend_days")).otherwise(zero).alias("trend_days"), F.when(own, F.coalesce("sessions_shown", zero)).otherwise(zero).alias("sessions_shown"), "to_work_on")

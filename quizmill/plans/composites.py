@@ -23,6 +23,18 @@ def recommended(spark, d):
     return composites.recommended(offer, r.where("user_id % 5 <> 0"), 10).select("user_id", "item_id", "cat", "rank")
 
 
+MIXED = f"SELECT i.user_id, i.item_id, i.cat, CASE WHEN s.accuracy IS NOT NULL THEN (1-s.accuracy)*10 ELSE 5.0 END + coalesce(w.miss_rate*6,0.0) + CASE WHEN i.user_id IN (SELECT user_id FROM srv) THEN coalesce(f.difficulty*3,0.0) ELSE 0.0 END AS score FROM (SELECT user_id, item_id, min(category) AS cat FROM responses WHERE user_id IN (SELECT user_id FROM srv UNION SELECT user_id FROM loc) GROUP BY 1,2) i LEFT JOIN st s ON i.user_id=s.user_id AND i.cat=s.category LEFT JOIN (SELECT user_id, item_id, arg_min(miss_rate,rank) AS miss_rate FROM ({learner.WEAK.replace('responses', 'srv')}) WHERE rank<=60 GROUP BY 1,2 UNION ALL SELECT user_id, item_id, count(*) FILTER (WHERE NOT correct)/CAST(count(*) AS DOUBLE) AS miss_rate FROM loc GROUP BY 1,2 HAVING count(*) FILTER (WHERE NOT correct)>0) w ON i.user_id=w.user_id AND i.item_id=w.item_id LEFT JOIN ({learner.DIFFICULTY.replace('responses', 'srv')}) f ON i.item_id=f.item_id"
+WARMED = learner.PADDED.removeprefix("WITH ").replace(learner.SCORES, "SELECT * FROM mixed")
+PICKED, FILLED = WARMED.split(" SELECT user_id, item_id, cat, rank FROM best UNION ALL ")
+
+
+@query(f"WITH {learner.SRV}, {learner.LOC}, st AS (SELECT user_id, category, accuracy FROM ({learner.SRV_STATS}) UNION ALL SELECT user_id, category, accuracy FROM ({learner.LOC_STATS})), mixed AS ({MIXED}), why AS (SELECT user_id, string_agg(category, ', ' ORDER BY r) AS weakest FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY accuracy, category) AS r FROM st WHERE accuracy<0.7) WHERE r<=2 GROUP BY 1), {PICKED}, told AS (SELECT user_id, item_id, cat, rank FROM best UNION ALL {FILLED}), cold AS (SELECT user_id, item_id, cat, row_number() OVER (PARTITION BY user_id ORDER BY md5(item_id||':0'), item_id) AS rank FROM (SELECT user_id, item_id, min(category) AS cat FROM responses WHERE user_id NOT IN (SELECT user_id FROM st) GROUP BY 1,2) QUALIFY rank<=10) SELECT told.user_id, item_id, cat, rank, CASE WHEN told.user_id%3<>0 THEN 'server' ELSE 'local' END AS source, coalesce('weak: '||weakest, 'all good') AS reason FROM told LEFT JOIN why ON why.user_id=told.user_id UNION ALL SELECT user_id, item_id, cat, rank, 'none', 'no answers yet' FROM cold", "responses")
+def recommended_by_source(spark, d):
+    """Users that the server knows, users that only their device knows, and users that nobody knows, in one query."""
+    offer = tables.responses(spark, d).groupBy("user_id", "item_id").agg(F.min("category").alias("cat"))
+    return composites.recommended_by_source(offer, *learner._server_and_local(spark, d), 10)
+
+
 SIZE = planner.ESTIMATE.replace(planner.REGISTRY, "SELECT 0 AS id, 120 AS terms, 100 AS questions")
 DONE = "SELECT user_id, sum(minutes) AS m, count(*) FILTER (WHERE minutes>=40) AS blocks_done, " + ", ".join(f"coalesce(round(sum(minutes) FILTER (WHERE {planner.AS_ACT}='{a}'),6),0) AS {a}" for a in ACTIVITIES) + " FROM plan_events WHERE minutes>0 GROUP BY 1"
 MOVED = f"SELECT d.*, e.hours, e.blocks, round(m,6) AS minutes, CAST(floor(m/6+0.5) AS BIGINT) AS tenths_of_hours, CAST(least(100, floor(m/(e.hours*60)*100+0.5)) AS BIGINT) AS percent, CAST(ceil(greatest(0,e.blocks-blocks_done)/(21/7.0::DOUBLE)) AS BIGINT) AS blocks_per_week, [" + ", ".join(f"{{'a':'{a}','t':e.{a}_hours*60,'d':d.{a},'k':{k}}}" for k, a in enumerate(ACTIVITIES)) + f"] AS options FROM ({DONE}) d CROSS JOIN ({SIZE}) e"

@@ -113,6 +113,23 @@ def dashboard(spark, d):
     return learner.dashboard(tables.responses(spark, d), tables.study_sessions(spark, d), AS_OF)
 
 
+# A server that has two users in three, and devices that keep every other answer of most users
+SRV = "srv AS (SELECT * FROM responses WHERE user_id%3<>0)"
+LOC = "loc AS (SELECT * FROM responses WHERE id%2=0 AND user_id%7<>0 AND user_id NOT IN (SELECT user_id FROM srv))"
+SRV_STREAK, SRV_TREND, SRV_STATS = STREAK.format(t="created_at", v="srv"), TREND.replace("responses", "srv"), STATS.replace("responses", "srv")
+LOC_STATS = "SELECT user_id, category, count(*) FILTER (WHERE correct)/CAST(count(*) AS DOUBLE) AS accuracy FROM loc GROUP BY 1,2"
+
+
+def _server_and_local(spark, d):
+    r = tables.responses(spark, d)
+    return r.where("user_id % 3 <> 0"), r.where("id % 2 = 0 and user_id % 7 <> 0")
+
+
+@query(f"WITH {SRV}, {LOC}, h AS (SELECT user_id, source, count(*) AS total, count(*) FILTER (WHERE correct) AS correct, CAST(floor(count(*) FILTER (WHERE correct)*100.0::DOUBLE/count(*)+0.5) AS BIGINT) AS percent FROM (SELECT *, 'server' AS source FROM srv UNION ALL SELECT *, 'local' FROM loc) GROUP BY 1,2) SELECT h.user_id, h.source, h.total, h.correct, h.percent, coalesce(s.streak,0) AS streak, coalesce(t.n,0) AS trend_days, CASE WHEN h.source='server' THEN coalesce(x.n,0) ELSE 0 END AS sessions_shown, coalesce(p.n,0) AS to_work_on FROM h LEFT JOIN ({SRV_STREAK}) s USING (user_id) LEFT JOIN (SELECT user_id, count(*) AS n FROM ({SRV_TREND}) GROUP BY 1) t USING (user_id) LEFT JOIN (SELECT user_id, least(count(*),10) AS n FROM study_sessions GROUP BY 1) x USING (user_id) LEFT JOIN (SELECT user_id, count(*) FILTER (WHERE accuracy<0.7) AS n FROM (SELECT user_id, accuracy FROM ({SRV_STATS}) UNION ALL SELECT user_id, accuracy FROM ({LOC_STATS})) GROUP BY 1) p USING (user_id)", "responses study_sessions")
+def dashboard_by_source(spark, d):
+    return learner.dashboard_by_source(*_server_and_local(spark, d), tables.study_sessions(spark, d), AS_OF)
+
+
 def _items(spark, d):
     """Every item that a user has met, with its category."""
     return tables.responses(spark, d).groupBy("user_id", "item_id").agg(F.min("category").alias("cat"))

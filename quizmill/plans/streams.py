@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizmill.plans.registry import query
 from quizmill.sources import tables
+from quizmill.sources.keyed import KeyedTable
 from quizmill.sources.places import folder
 from quizmill.streaming import events
 
@@ -87,6 +89,36 @@ def stream_routes(spark, d):
     return _run(events.routed(e), "routes", "append").select("event_id", "route")
 
 
+@query("SELECT customer, tier, n FROM (SELECT user_id AS customer, arg_max(CASE event_id%5 WHEN 2 THEN 'free' ELSE 'pro' END, (ts,event_id)) FILTER (WHERE (event_id%5=0 AND event_id%2=0) OR event_id%5 IN (1,2)) AS tier, count(*) AS n FROM events GROUP BY 1) WHERE tier IS NOT NULL")
+def stream_to_sinks(spark, d):
+    """One stream into two sinks: tiers by customer, and a log of all events. The first run breaks after the first sink and
+    starts again from its checkpoint: nothing is doubled. Beside each tier the customer's events in the log."""
+    k = F.col("event_id")
+    kind = F.get(F.array(*map(F.lit, (*events.HANDLED, "customer.subscription.created"))), (k % 5).cast("int"))
+    e = events.routed(_read(spark, d).select("event_id", "user_id", "ts", kind.alias("type"), F.when(k % 2 == 0, "subscription").otherwise("payment").alias("mode")))
+    marks, ledger, log = folder(spark, "sinks-marks"), folder(spark, "sinks-ledger"), folder(spark, "sinks-log")
+    tiers = KeyedTable(spark, folder(spark, "sinks-tiers"), ["customer"], {"tier": "last"}, "customer long, tier string, ts timestamp_ntz, event_id long", ["ts", "event_id"])
+
+    def to_tiers(rows, batch):
+        set_ = rows.where(F.col("route").isin("subscribe", "change", "end"))
+        tiers.write(set_.select(F.col("user_id").alias("customer"), F.when(F.col("route") == "end", "free").otherwise("pro").alias("tier"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id"), "stream", batch)
+
+    def to_log(rows, batch):
+        rows.write.mode("overwrite").parquet(f"{log}/part={batch}")
+
+    def broken(rows, batch):
+        raise OSError("the log is away")
+
+    for last in (broken, to_log):
+        try:
+            e.writeStream.option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(events.fan_out({"tiers": to_tiers, "log": last}, ledger)).start().awaitTermination()
+        except StreamingQueryException:
+            if last is to_log:
+                raise
+    logged = spark.read.option("basePath", log).parquet(f"{log}/part=*").groupBy(F.col("user_id").alias("customer")).agg(F.count("*").alias("n"))
+    return tiers.read().join(logged, "customer").select("customer", "tier", "n")
+
+
 @query("SELECT 'u'||user_id AS \"to\", CASE event_id%4 WHEN 0 THEN 'signup' WHEN 1 THEN 'subscription' ELSE 'ebook_purchase' END AS kind, CASE event_id%4 WHEN 0 THEN 'Welcome' WHEN 1 THEN 'Your plan: pro a' ELSE 'Your books: b1, b2' END AS subject FROM events WHERE event_id%4<>3 AND event_id%7<>0")
 def stream_mails(spark, d):
     k = F.col("event_id")

@@ -229,6 +229,27 @@ def stored_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([*(f for f in schema.fields if f.name != "bucket"), T.StructField("bucket", T.StringType()), T.StructField("sender", T.StringType()), T.StructField("batch", T.LongType())])
 
 
+def fan_out(sinks: dict, ledger: str):
+    """A foreachBatch sink that gives each batch to several sinks, each once: a batch that failed after some of them goes on with the others.
+
+    sinks: name to a function of (rows, batch), in the order in which they run; each must write a batch over what an attempt that broke off has left of it. A
+    sink's batch is committed by a file of the ledger, so a restart from the stream's checkpoint, with the same batches, skips it."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        left = [n for n in sinks if not places.exists(spark, f"{ledger}/{n}/{batch}")]
+        if len(left) > 1:
+            rows = rows.persist()
+        try:
+            for name in left:
+                sinks[name](rows, batch)
+                places.put_once(spark, f"{ledger}/{name}/{batch}", "")
+        finally:
+            rows.unpersist()
+
+    return write
+
+
 def lines_to(path: str):
     """An output of notices: a line of text for people."""
     return lambda rows, name: rows.select("text").write.mode("overwrite").text(f"{path}/batch={name}")

@@ -120,3 +120,24 @@ def test_outputs_that_fail_leave_letters(spark, tmp_path):
     assert events.drain(spark, outputs, dead, 1180) == 2 and events.dead_letters(spark, dead) == []
     assert sorted(r.value for r in spark.read.text(f"{base}/agent").collect()) == ['{"n":0}', '{"n":1}', '{"n":2}']
     assert sorted(r.value for r in spark.read.text(f"{base}/lines").collect()) == ["t0", "t1", "t2"]
+
+
+def test_fan_out_commits_each_sink_once(spark, tmp_path):
+    """The second sink fails twice, then the batch goes on where it broke; a restart after the commit changes nothing."""
+    seen, ledger, broken = [], f"file://{tmp_path}/ledger", [True]
+
+    def second(rows, batch):
+        if broken:
+            raise OSError("away")
+        seen.append(("second", batch, rows.count()))
+
+    write = events.fan_out({"first": lambda rows, batch: seen.append(("first", batch, rows.count())), "second": second, "third": lambda rows, batch: seen.append(("third", batch, rows.count()))}, ledger)
+    rows = spark.range(5)
+    for _ in range(2):
+        with pytest.raises(OSError):
+            write(rows, 0)
+    broken.clear()
+    write(rows, 0)
+    write(rows, 0)
+    write(rows, 1)
+    assert seen == [("first", 0, 5), ("second", 0, 5), ("third", 0, 5), ("first", 1, 5), ("second", 1, 5), ("third", 1, 5)]
