@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quizmill.functions import text
 
+#: The share of a choice's words that makes a rationale name it: a fixed value.
+ENOUGH = 0.6
 # A choice named with its letter, and what may stand before the name: fixed values
 ARTICLE = r"(?i)^(and|or|but|the|a|an|is|not)\s+"
 NAMED = r"([A-Za-z][A-Za-z'’\- ]{3,44}?)\s*\(([A-D])\)"
@@ -52,3 +55,20 @@ def totals(bank: DataFrame, reviewed: DataFrame | None = None) -> DataFrame:
     checked = bank.agg(F.count_if(F.col("choices").isNotNull() & F.col("answer").isNotNull() & (F.coalesce("why", F.lit("")) != "")).alias("checked"))
     m = miskeys(bank, reviewed).agg(F.count_if(~F.col("dismissed")).alias("miskeys"), F.count_if("dismissed").alias("dismissed"))
     return checked.crossJoin(m).crossJoin(stale_letters(bank).agg(F.count("*").alias("stale")))  # one row each
+
+
+def overlapping(texts: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """(item, text, share) of all pairs in which the text has that share or more of the item's words. texts: text, words; items: item, words; words are distinct.
+
+    Such a text has at least one of any n - k + 1 words of an item, where k of its n are enough. So only an item's rarest words
+    meet texts, by their number of texts, and common words join nothing; pairs that meet are then compared whole."""
+    i = items.select("item", "words", F.size("words").alias("n")).where("n > 0")
+    enough = F.ceil(F.lit(least) * F.col("n") - 1e-9)
+    word_of = i.select("item", (F.col("n") - enough + 1).alias("most"), F.explode("words").alias("word"))
+    text_has = texts.select("text", F.explode("words").alias("word"))
+    counted = text_has.join(word_of.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("texts"))
+    order = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("texts", F.lit(0)), "word"))
+    rare = word_of.join(counted, "word", "left").withColumn("k", order).where(F.col("k") <= F.col("most")).select("item", "word")
+    met = text_has.join(rare, "word").select("item", "text").distinct()
+    both = met.join(i, "item").join(texts.select("text", F.col("words").alias("has")), "text")
+    return both.select("item", "text", text.overlap(F.col("words"), F.col("has")).alias("share")).where(F.col("share") >= least)

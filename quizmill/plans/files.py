@@ -28,10 +28,10 @@ def _line(*parts):
 
 @query("SELECT 3 AS planned, 'app-'||s_suppkey AS slug, CASE WHEN s_suppkey%2=0 THEN s_name END AS name, CAST(s_suppkey*4 AS INTEGER) AS terms, CASE WHEN s_suppkey%3=0 THEN s_nationkey||'' END AS covers FROM supplier")
 def catalogue_file(spark, d):
-    """The catalogue as one document; fields may be absent."""
+    """The catalogue as a document for each nation; fields may be absent."""
     k = F.col("s_suppkey")
     app = F.struct(F.concat(F.lit("app-"), k).alias("slug"), F.when(k % 2 == 0, F.col("s_name")).alias("name"), (k * 4).alias("terms"), F.when(k % 3 == 0, F.struct(F.array(F.col("s_nationkey").cast("string")).alias("covers"))).alias("coach"))
-    whole = tables.table(spark, d, "supplier").agg(F.collect_list(app).alias("apps")).select(F.lit("registry").alias("file"), F.to_json(F.struct(F.lit(3).alias("planned"), "apps")).alias("value"))
+    whole = tables.table(spark, d, "supplier").groupBy("s_nationkey").agg(F.collect_list(app).alias("apps")).select(F.col("s_nationkey").alias("file"), F.to_json(F.struct(F.lit(3).alias("planned"), "apps")).alias("value"))
     found = documents.registry(spark, _written(whole, "catalogue") + "/file=*")
     return found.select("planned", "slug", "name", "terms", F.get("coach.covers", F.lit(0)).alias("covers"))
 
@@ -75,6 +75,15 @@ def bank_or_sample(spark, d):
     return documents.bank_or_sample(apps, banks, samples).select("slug", F.size("questions").cast("long").alias("questions"))
 
 
+@query("SELECT 'app-'||p_size AS slug, 'q'||p_partkey AS id, CAST(p_partkey%4 AS INTEGER) AS answer FROM part WHERE p_size=7 UNION ALL SELECT 'app-0', s_name, NULL FROM supplier WHERE s_suppkey=0")
+def one_bank(spark, d):
+    """The questions of two apps: one has a bank, whose file alone is read, the other has none and falls back to its sample."""
+    path = _banks(spark, d)
+    samples = tables.table(spark, d, "supplier").where("s_suppkey in (0, 7)").select(F.concat(F.lit("app-"), "s_suppkey").alias("slug"), F.array(F.struct(F.col("s_name").alias("id"), F.lit(None).cast("int").alias("answer"))).alias("questions"))
+    found = documents.bank_of(spark, path, ["app-0", "app-7"]).select("slug", F.transform("questions", lambda q: F.struct(q["id"].alias("id"), q["answer"].alias("answer"))).alias("questions"))
+    return documents.bank_or_sample(samples.select("slug"), found, samples).select("slug", F.explode("questions").alias("q")).select("slug", "q.id", "q.answer")
+
+
 def _additions(spark, d, complete: bool):
     """A Markdown file for each nation: its customers as terms and scenarios, with an answer key, in which some are missing unless ``complete``."""
     k, name, segment = F.col("c_custkey").cast("string"), F.col("c_name"), F.initcap("c_mktsegment")
@@ -127,11 +136,14 @@ def additions_problems(spark, d):
     return named(problems, "problem", F.col("problem")).unionByName(named(good, "merged", F.lit("")))
 
 
+FILE_PARTS = 500
+
+
 def _trading(spark, d):
-    """A Markdown file of the trading kind for each size up to 26 signs of sections: parts by size, terms and then scenarios in each."""
+    """A Markdown file of the trading kind for every FILE_PARTS parts, with up to 26 signs of sections: parts by size, terms and then scenarios in each."""
     p = tables.table(spark, d, "part")
     k, sign = F.col("p_partkey").cast("string"), F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (F.col("p_size") % 26 + 1).cast("int"), F.lit(1)).alias("sign")
-    rows = p.select("p_partkey", (F.col("p_size") % 2).alias("file"), sign, _line("1. **", F.col("p_name"), "** — A ", F.col("p_brand"), ".\n").alias("term"), _line("**", sign, k, ".** What is\n", F.col("p_name"), "? A. ", F.col("p_type"), " B. Brass C. Tin D. None **Answer: ", F.substring(F.lit("ABCD"), (F.col("p_partkey") % 4 + 1).cast("int"), F.lit(1)), ".** It is ", F.col("p_brand"), ".\n\n").alias("ask"))
+    rows = p.select("p_partkey", F.floor(F.col("p_partkey") / FILE_PARTS).alias("file"), sign, _line("1. **", F.col("p_name"), "** — A ", F.col("p_brand"), ".\n").alias("term"), _line("**", sign, k, ".** What is\n", F.col("p_name"), "? A. ", F.col("p_type"), " B. Brass C. Tin D. None **Answer: ", F.substring(F.lit("ABCD"), (F.col("p_partkey") % 4 + 1).cast("int"), F.lit(1)), ".** It is ", F.col("p_brand"), ".\n\n").alias("ask"))
     own = rows.groupBy("file", "sign").agg(F.count("*").alias("n"), _joined(F.col("p_partkey").alias("at"), F.col("term").alias("line")).alias("terms"), _joined(F.col("p_partkey").alias("at"), F.col("ask").alias("line")).alias("asks"))
     part = own.select("file", "sign", F.concat(F.lit("### "), "sign", F.lit(". Part "), "sign", F.lit(" ("), "n", F.lit(")\n"), "terms", F.lit("\n## "), "sign", F.lit(". Part "), "sign", F.lit("\n\n"), "asks").alias("line"))
     whole = part.groupBy("file").agg(F.concat(F.lit("# Bank\n\n"), _joined(F.col("sign").alias("at"), F.col("line"))).alias("value"))

@@ -36,6 +36,12 @@ def banks(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("_corrupt_record is null and slug is not null").drop("_corrupt_record")
 
 
+def bank_of(spark: SparkSession, path: str, slugs: list[str]) -> DataFrame:
+    """The bank documents of some apps, of a folder in which each app's lies in a folder of its own (``write_banks``): no other file is opened. An app without a bank has no row."""
+    rows = spark.read.schema(f"{BANK}, file string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    return rows.where(F.col("file").isin(*slugs)).where("_corrupt_record is null and slug is not null").drop("_corrupt_record", "file")
+
+
 class BankCache:
     """Bank documents kept for a while: read anew once they are older than ``seconds``, by the time that the caller tells.
 
