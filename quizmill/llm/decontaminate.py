@@ -9,7 +9,8 @@ a document has several close to each other, so edited copies score by what they
 
 Seeds are n-grams of four words in a row, or of two and two with any word between: an edit at every
 fourth or third word leaves some of the latter. Words are lower-cased (A-Z). A null text counts as
-empty and matches nothing; items of fewer than eight words match nothing. Repeated documents
+empty and matches nothing. Items of fewer than eight words are too short for seeds and edits: they count where
+all their words stand in a row, from ``least_words`` words on (1: every item with a word). Repeated documents
 are each reported, repeated items each count. Texts of any length are taken whole: an alignment holds one row.
 """
 
@@ -25,7 +26,7 @@ from quizmill.llm import shared, textvec
 
 GRAM = 4
 SLICE = 1 << 20
-#: Words of the shortest items that are searched: shorter ones stand in many clean documents by chance.
+#: Words of the shortest items that are searched by seeds; shorter ones must stand in a document word by word.
 LEAST = 8
 #: Bytes of item texts in a block; about 32 MB of lookup tables go to each task.
 BLOCK_BYTES = 4 << 20
@@ -41,9 +42,10 @@ def patterns(n: int) -> list[tuple[int, ...]]:
 
 
 class Items:
-    """A block of items: their words, and where each n-gram occurs in them. Items of less than LEAST words have none."""
+    """A block of items: their words, and where each n-gram occurs in them. Items of less than LEAST words have none: of those with
+    ``least_words`` words or more, ``short`` has the hashes of the whole sequences, in order, and their items, by the number of words."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int):
+    def __init__(self, rows: list[tuple[int, str]], n: int, least_words: int = 1):
         rows = [(i, t) for i, t in rows if t]
         self.ids, self.patterns = [i for i, _ in rows], patterns(n)
         raw = [t.encode() for _, t in rows]
@@ -57,6 +59,14 @@ class Items:
             item = np.searchsorted(self.before, first, "right") - 1
             ok = size[item] >= LEAST
             found.append((h[ok], item[ok], first[ok] - self.before[item[ok]]))
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k in range(max(1, least_words), LEAST):
+            h, first = textvec.grams(self.word, self.before, k)
+            item = np.searchsorted(self.before, first, "right") - 1
+            h, item = h[size[item] == k], item[size[item] == k]
+            if len(h):
+                order = np.argsort(h, kind="stable")
+                self.short[k] = h[order], item[order]
         h, item, at = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(h, kind="stable")
         self.hash, self.item, self.at = h[order], item[order], at[order]
@@ -85,6 +95,20 @@ class Items:
         order = np.argsort(where, kind="stable")
         return which[order], where[order]
 
+    def whole(self, word: np.ndarray, before: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, first word, word after the last) of the first place at which each short item stands whole in each text."""
+        out = {}
+        for k, (known, item) in self.short.items():
+            h, first = textvec.grams(word, before, k)
+            a, b = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+            hit = np.flatnonzero(a < b)
+            text = np.searchsorted(before, first[hit], "right") - 1
+            for x, d in zip(hit.tolist(), text.tolist(), strict=True):
+                at = int(first[x] - before[d])
+                for i in item[a[x] : b[x]].tolist():  # items of the same words
+                    out.setdefault((d, i), (d, i, at, at + k))
+        return list(out.values())
+
     @property
     def mask(self) -> np.ndarray:
         if not hasattr(self, "_mask"):
@@ -180,19 +204,19 @@ HIT = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.Struct
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = GRAM) -> DataFrame:
+def matched(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, least_words: int = 1) -> DataFrame:
     """Add ``benchmark_hits`` to every row: for each item whose alignment reaches the threshold, its id,
     the score as a share of the item's own, and the range of words. Empty for clean documents."""
     shared.shared_dir(docs.sparkSession)
-    return shared.aside(docs, ("text",), lambda rows: _matched(rows, benchmark, threshold, n), ("benchmark_hits",))
+    return shared.aside(docs, ("text",), lambda rows: _matched(rows, benchmark, threshold, n, least_words), ("benchmark_hits",))
 
 
-def _matched(docs: DataFrame, benchmark: DataFrame, threshold: float, n: int) -> DataFrame:
+def _matched(docs: DataFrame, benchmark: DataFrame, threshold: float, n: int, least_words: int) -> DataFrame:
     spark = docs.sparkSession
     out = docs.withColumn("benchmark_hits", F.array().cast(HIT))
     for block in blocks(benchmark):
-        items = Items(block, n)
-        if not len(items.hash):
+        items = Items(block, n, least_words)
+        if not len(items.hash) and not items.short:
             continue
         sent = spark.sparkContext.broadcast(items)
         counted = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_counter(sent), "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
@@ -261,6 +285,8 @@ def _aligner(sent, seeds, threshold, names):
                         best = max(best, (score / (MATCH * len(target)), lo + i, lo + j))
                     if best[0] >= threshold:
                         old[a + d] = [*old[a + d], {"item_id": items.ids[k[x]], "score": best[0], "first_word": best[1], "end_word": best[2]}]
+                for d, i, first_word, end_word in items.whole(word, before):
+                    old[a + d] = [*old[a + d], {"item_id": items.ids[i], "score": 1.0, "first_word": first_word, "end_word": end_word}]
             yield shared.with_columns(batch, {"benchmark_hits": pa.array(old, _ARROW)}, names)
 
     return run

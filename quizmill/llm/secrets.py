@@ -8,17 +8,23 @@ segment costs extra. Brute force takes as many guesses a character as the kinds
 credential context have signs. Words are some common passwords, then the whole words of a public tokenizer's
 vocabulary in its order, some 32,000; every part of a value is looked up.
 
+A value that is a name costs what its hardest word does, and a little for each further one: words between signs, as in an address, a path, an identifier or
+a placeholder, all of which are in the vocabularies of two public tokenizers, many languages among them, or spelled like the words there. A value
+that has reached enough guesses after PREFIX characters is not read on; no value of that length can stay below.
+
 Places count code points, ends are exclusive. A null or empty text has no spans. The work grows with the
 text's length, however many spans it has.
 """
 
 from __future__ import annotations
 
+import base64
 import bisect
 import functools
 import json
 import math
 import re
+import unicodedata
 
 import public_tokenizers
 import pyarrow as pa
@@ -53,6 +59,15 @@ BRUTE = 1.0
 STEP, LEAST = 0.02, 3
 WALK, RUN = math.log10(len(NEXT)), 1.0
 ALPHABETS = ((re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[0-9]"), 10), (re.compile("[ -/:-@\\[-`{-~]"), 33), (re.compile(r"[^\x00-\x7F]"), 100))
+#: Words of many languages: the pieces of a byte-level vocabulary that follow a blank.
+MANY = "byte_bpe_multi_50k.tiktoken"
+#: What a further word of a name costs, the share of a name's letters that stands in words, and the letters from which what is spelled like a word is one.
+FURTHER, WORDS_SHARE, SPELLED = 0.5, 2 / 3, 4
+#: Of how many words a run of three letters must be part, for a word to be spelled like them.
+COMMON_RUN = 3
+#: Characters after which a value that has enough guesses is not read on.
+PREFIX = 1024
+PIECE = re.compile(r"[^\W\d_]+|\d+")
 #: What may be a plain word of a sentence.
 WORD = re.compile("[A-Za-z]?[a-z]+", re.ASCII)
 
@@ -72,6 +87,63 @@ def ranks(path: str | None = None) -> dict[str, int]:
     return {w: k + 2 for k, w in enumerate(words)}
 
 
+def plain_letters(word: str) -> str:
+    """Lower case, without accents."""
+    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
+
+
+@functools.cache
+def spelling() -> tuple[frozenset[str], frozenset[str]]:
+    """Words of the two vocabularies, and the runs of three signs, with the word's ends, that several words have."""
+    words = set(ranks())
+    with open(public_tokenizers.path(MANY), "rb") as f:
+        for line in f:
+            piece = base64.b64decode(line.split()[0])
+            if piece.startswith(b" "):
+                word = piece[1:].decode("utf-8", "ignore").lower()
+                if len(word) >= LEAST and word.isalpha():
+                    words.add(plain_letters(word))
+    count: dict[str, int] = {}
+    for w in words:
+        for run in {f" {w} "[k : k + 3] for k in range(len(w))}:
+            count[run] = count.get(run, 0) + 1
+    return frozenset(words), frozenset(r for r, n in count.items() if n >= COMMON_RUN)
+
+
+def name_cost(value: str) -> float:
+    """The decimal logarithm of the guesses that a name takes; infinite for what is none.
+
+    A name has signs or changes of case between its pieces, and each piece is a word, two words in one, spelled like a word, a number of up to
+    four digits or one or two letters; words make up most of it."""
+    pieces = PIECE.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value))
+    if len(pieces) < 2 and (not pieces or len(pieces[0]) == len(value)):
+        return math.inf
+    known, runs = spelling()
+    rank = ranks()
+    costs, letters = [], 0
+    for piece in map(plain_letters, pieces):
+        if piece.isdecimal():
+            if len(piece) > 4:
+                return math.inf
+            costs.append(len(piece) * BRUTE)
+        elif len(piece) >= LEAST and piece in known:
+            costs.append(math.log10(rank.get(piece, len(rank))))
+            letters += len(piece)
+        elif any(piece[:k] in known and piece[k:] in known for k in range(LEAST, len(piece) - LEAST + 1)):
+            costs.append(math.log10(len(rank)))
+            letters += len(piece)
+        elif len(piece) >= SPELLED and all(f"{piece} "[k : k + 3] in runs for k in range(len(piece) - 1)):
+            costs.append(math.log10(len(rank)) + BRUTE)
+            letters += len(piece)
+        elif len(piece) <= 2:
+            costs.append(len(piece) * math.log10(26))
+        else:
+            return math.inf
+    if letters < WORDS_SHARE * sum(map(len, pieces)):
+        return math.inf
+    return max(costs) + FURTHER * (len(costs) - 1)
+
+
 @functools.cache
 def longest(path: str | None = None) -> int:
     return max(map(len, ranks(path)))
@@ -112,10 +184,19 @@ def patterns(value: str, brute: float) -> list[tuple[float, int, list[int]]]:
     return out
 
 
-@functools.lru_cache(4096)
-def guess_cost(value: str, sign: float = BRUTE, path: str | None = None) -> float:
+def guess_cost(value: str, sign: float = BRUTE, path: str | None = None, enough: float = math.inf) -> float:
     """The decimal logarithm of the guesses that the cheapest segmentation takes, ``sign`` for each character by brute force; 0 for an empty value.
 
+    Of a value longer than PREFIX the least that any way over its beginning costs, if that is ``enough``."""
+    if len(value) > PREFIX and enough < math.inf and (least := _cost(value[:PREFIX], sign, path, True)) >= enough:
+        return least
+    return _cost(value, sign, path, False)
+
+
+@functools.lru_cache(4096)
+def _cost(value: str, sign: float, path: str | None, goes_on: bool) -> float:
+    """The cost of the cheapest segmentation, or of the beginning of a value that goes on: no segmentation of the whole costs less.
+
     Every part of a walk, run or repeat counts as one too: for each kind the cheapest cost with such
     a segment up to a character comes from that up to the character before, or from a new shortest one."""
     n = len(value)
@@ -137,6 +218,9 @@ def guess_cost(value: str, sign: float = BRUTE, path: str | None = None) -> floa
             i = j - least
             inside[k] = min(inside[k] + STEP, min(brute[i], other[i]) + SEGMENT + begin + STEP * least)
             other[j] = min(other[j], inside[k])
+    if goes_on:  # whatever segment lies over the cut began after one of the last places, or is a pattern that goes on
+        back = max(longest(path), *(least for _, least, _ in kinds), 10)  # a date has ten signs
+        return max(0.0, min(*inside, *brute[max(0, n - back) :], *other[max(0, n - back) :]))
     return max(0.0, min(brute[n], other[n])) if n else 0.0
 
 
@@ -165,24 +249,30 @@ class Cover:
 
 
 def find(text: str) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, guess cost of the value) in order of start, then of KINDS."""
+    """(kind, start, end, guesses) in order of start, then of KINDS. guesses: for a value found by its cost that cost, for others one sign of brute force a character."""
     out = [("hex", m.start(), m.end(), BRUTE * (m.end() - m.start())) for m in HEX.finditer(text)]
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), BRUTE * (m.end() - m.start())) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     low = text.lower()
     if any(x in low for x in MARKS):
-        out += [("assign", m.start(), m.end(), guess_cost(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+        out += [("assign", m.start(), m.end(), BRUTE * len(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
         base = Cover([(a, b) for _, a, b, _ in out])
         for m in CONTEXT.finditer(text):
             a, b = m.span(3)
             if base.whole(a, b):
                 continue
             value = m[3].rstrip(".!?)")
+            part, name = base.part(a, b), len(m[3]) <= PREFIX and name_cost(m[3]) < HARD
+            if name and not (part and re.search("[0-9]", value)):  # words and a number, of which the fixed patterns took a part, may well be a password
+                continue
+            if part:
+                if not base.whole(a, a + len(value)):  # a value of which the fixed patterns name a part is a secret to its end
+                    out.append(("guess", a, b, BRUTE * len(value)))
+                continue
             # after "is", what looks like a word of the sentence is not taken for random letters
             prose = " is " in text[m.start() : a].lower() and WORD.fullmatch(value)
-            cost = guess_cost(value, BRUTE if prose else sign_cost(value))
-            # a value of which the fixed patterns name a part is a secret to its end
-            if cost >= HARD or (base.part(a, b) and not base.whole(a, a + len(value))):
+            cost = guess_cost(value, BRUTE if prose else sign_cost(value), enough=HARD)
+            if cost >= HARD:
                 out.append(("guess", a, b, cost))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 

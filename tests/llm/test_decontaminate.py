@@ -55,9 +55,30 @@ def test_short_items_and_long_texts(spark):
     items = [(1, "harbor"), (2, "two short words only here ok now"), (3, prose(80, 2000)), (4, prose(81, 8))]
     long = " ".join(prose(90 + k, 2000) for k in range(40))
     rows = [(1, "the harbor and the harbor again"), (2, f"so {items[1][1]} they are"), (3, f"{long} {items[2][1]} {long}"), (4, f"x {items[3][1]} y"), (5, long), (6, "")]
-    got = {d.doc_id: [(h.item_id, h.first_word, h.end_word) for h in d.benchmark_hits] for d in decontaminate.matched(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    docs, asked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda least: {d.doc_id: [(h.item_id, h.first_word, h.end_word) for h in d.benchmark_hits] for d in decontaminate.matched(docs, asked, least_words=least).collect()}
     at = len(long.split())
-    assert got == {1: [], 2: [], 3: [(3, at, at + 2000)], 4: [(4, 1, 9)], 5: [], 6: []}
+    assert found(8) == {1: [], 2: [], 3: [(3, at, at + 2000)], 4: [(4, 1, 9)], 5: [], 6: []}
+    assert found(2) == {1: [], 2: [(2, 1, 8)], 3: [(3, at, at + 2000)], 4: [(4, 1, 9)], 5: [], 6: []}
+    word = long.split().index("harbor")
+    assert found(1) == {1: [(1, 1, 2)], 2: [(2, 1, 8)], 3: [(3, at, at + 2000), (1, word, word + 1)], 4: [(4, 1, 9)], 5: [(1, word, word + 1)], 6: []}
+
+
+def test_short_items_against_all_windows(spark):
+    """Every item of one to seven words, repeated ones too, in every document that has its words in a row, at the first place."""
+    r = random.Random(3)
+    items = [(k, " ".join(r.choice("ab Cd").strip() or "b" for _ in range(r.randint(0, 7)))) for k in range(60)] + [(60, "a b"), (61, "A  B"), (62, None)]
+    rows = [(k, "\n".join(r.choice(["a", "B", "c", "d"]) for _ in range(r.randint(0, 9)))) for k in range(50)] + [(50, None)]
+    got = {(d.doc_id, h.item_id): (h.score, h.first_word, h.end_word) for d in decontaminate.matched(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect() for h in d.benchmark_hits}
+    want = {}
+    for d, t in rows:
+        have = (t or "").lower().split()
+        for i, item in items:
+            asked = (item or "").lower().split()
+            where = [k for k in range(len(have) - len(asked) + 1) if have[k : k + len(asked)] == asked]
+            if asked and where:
+                want[d, i] = (1.0, where[0], where[0] + len(asked))
+    assert len(want) > 50 and got == want
 
 
 def test_alignment_begins_where_it_should():
