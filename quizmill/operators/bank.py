@@ -114,10 +114,11 @@ def section_filter(section: str, wanted: Column) -> Column:
     return (wanted == "all") | (F.col(section) == wanted)
 
 
-def split_bank(bank: DataFrame, free_ids: DataFrame, slug: str) -> DataFrame:
-    """The bank as a document: slug, total, freeIds, questions as JSON. One bank is small."""
-    flagged = free_flags(bank, free_ids)
-    return flagged.agg(F.lit(slug).alias("slug"), F.count("*").alias("total"), F.to_json(F.array_sort(F.collect_list(F.when(F.col("free"), F.col("id"))))).alias("freeIds"), F.to_json(F.array_sort(F.collect_list(F.struct(*bank.columns)))).alias("questions"))
+def split_bank(bank: DataFrame, free_ids: DataFrame, slug: Column) -> DataFrame:
+    """Each app's bank as a document: slug, total, freeIds, questions as JSON. One app's bank is small, the banks of all apps are not."""
+    columns = bank.columns
+    flagged = free_flags(bank.withColumn("_slug", slug), free_ids).groupBy(F.col("_slug").alias("slug"))
+    return flagged.agg(F.count("*").alias("total"), F.to_json(F.array_sort(F.collect_list(F.when(F.col("free"), F.col("id"))))).alias("freeIds"), F.to_json(F.array_sort(F.collect_list(F.struct(*columns)))).alias("questions"))
 
 
 def count_drift(registry: DataFrame, counted: DataFrame) -> DataFrame:

@@ -97,11 +97,13 @@ def bank_sections(spark, d):
     return bank.in_sections(tables.bank(spark, d).select("id", "cat"), "cat", "id")
 
 
-@query("SELECT 'demo' AS slug, count(*) AS total, count(*) FILTER (WHERE id<=10) AS free FROM bank", "bank")
+@query("SELECT 'app-'||n||'-'||cat AS slug, count(*) AS total, count(*) FILTER (WHERE id%10=0) AS free, string_agg(id||':'||answer, ',' ORDER BY id) AS keys FROM bank GROUP BY 1", "bank")
 def split_bank(spark, d):
-    """The whole bank as a document, in which ten questions are free."""
+    """Every app's bank as a document, in which one question in ten is free."""
     b = tables.bank(spark, d)
-    return bank.split_bank(b, b.where("id <= 10"), "demo").select("slug", "total", F.size(F.from_json("freeIds", "array<long>")).cast("long").alias("free"))
+    found = bank.split_bank(b, b.where("id % 10 = 0"), F.concat_ws("-", F.lit("app"), "n", "cat"))
+    keys = F.transform(F.from_json("questions", "array<struct<id:long,answer:long>>"), lambda q: F.concat_ws(":", q["id"], q["answer"]))
+    return found.select("slug", "total", F.size(F.from_json("freeIds", "array<long>")).cast("long").alias("free"), F.array_join(keys, ",").alias("keys"))
 
 
 @query("SELECT s_suppkey AS slug, s_suppkey*4 AS terms, s_suppkey%250 AS questions, CASE WHEN s_suppkey%9<>0 THEN s_suppkey*4+(s_suppkey%3) END AS found_terms, CASE WHEN s_suppkey%9<>0 THEN s_suppkey%250 END AS found_questions FROM supplier WHERE s_suppkey%9=0 OR s_suppkey%3<>0")

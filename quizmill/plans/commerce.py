@@ -110,11 +110,12 @@ def discounts(spark, d):
     return n.select("customer", "ebooks", applies.alias("applies_to"), off.alias("percent_off"))
 
 
-@query("SELECT r_regionkey AS id, CASE r_regionkey WHEN 0 THEN '' WHEN 1 THEN 'b' ELSE 'a,b' END AS missing FROM region")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey%7=0 THEN '' WHEN o_orderkey%7=1 THEN 'b'||o_custkey ELSE 'a,b'||o_custkey END AS missing, CASE WHEN o_orderkey%7=0 THEN '*' WHEN o_orderkey%7=1 THEN 'a,b'||o_custkey ELSE 'c'||o_custkey||',a,b'||o_custkey END AS whole FROM orders")
 def missing_webhooks(spark, d):
-    k = F.col("r_regionkey")
-    rows = tables.table(spark, d, "region").select(k.alias("id"), F.array(F.lit("a"), F.lit("b")).alias("wanted"), F.when(k == 0, F.array(F.lit("*"))).when(k == 1, F.array(F.lit("a"))).otherwise(F.array(F.lit("c"))).alias("enabled"))
-    return commerce.missing_events(rows).select("id", F.array_join("missing", ",").alias("missing"))
+    """Endpoints by order: every seventh takes all events, every seventh lacks one, the others have another one only."""
+    k, b = F.col("o_orderkey") % 7, F.concat(F.lit("b"), "o_custkey")
+    rows = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array(F.lit("a"), b).alias("wanted"), F.when(k == 0, F.array(F.lit("*"))).when(k == 1, F.array(F.lit("a"))).otherwise(F.array(F.concat(F.lit("c"), "o_custkey"))).alias("enabled"))
+    return commerce.missing_events(rows).select("id", F.array_join("missing", ",").alias("missing"), F.array_join("all", ",").alias("whole"))
 
 
 @query("SELECT event_id AS id, CASE event_id%4 WHEN 0 THEN 'Subscription: u'||user_id||' -> pro' WHEN 1 THEN 'Books: pro for '||CAST(CAST(event_id/100.0 AS DECIMAL(20,2)) AS VARCHAR) WHEN 2 THEN 'New account: u'||user_id ELSE 'Event: other' END AS text FROM events")

@@ -33,7 +33,7 @@ def upserted_tiers(spark, d):
     return table.read()
 
 
-@query("SELECT customer, slug, arg_min(amount,(created_at,session,line)) AS amount, arg_min(session,(created_at,session,line)) FILTER (line%3<>0) AS session, min(created_at) AS created_at FROM purchases GROUP BY 1,2", "purchases")
+@query("SELECT customer, slug, arg_min(amount,(created_at,session,line,amount)) AS amount, arg_min(session,(created_at,session,line,amount)) FILTER (line%3<>0) AS session, min(created_at) AS created_at FROM purchases GROUP BY 1,2", "purchases")
 def upserted_grants(spark, d):
     """Grants by customer and book: the first stays, and the first session that is known is kept; every third line comes without one."""
     rows = tables.purchases(spark, d).withColumn("by", F.col("session")).withColumn("session", F.when(F.col("line") % 3 != 0, F.col("session")))
