@@ -46,7 +46,7 @@ def tier_records(spark, d):
     return access.tier_record(tables.profiles(spark, d), now())
 
 
-@query("SELECT p_partkey AS id, regexp_full_match(replace(lower(p_name),' ','-'), '[a-z0-9][a-z0-9-]{0,63}') AS slug_ok, regexp_full_match('ebook_'||p_partkey, '(pro_[a-z0-9_]{1,40}|all_access|ebook_[a-z0-9_]{1,40})') AS key_ok FROM part")
+@query(f"SELECT p_partkey AS id, regexp_matches(replace(lower(p_name),' ','-'), '{text.SLUG}') AS slug_ok, regexp_matches('ebook_'||p_partkey, '{text.PRICE_KEY}') AS key_ok FROM part")
 def valid_names(spark, d):
     name = F.replace(F.lower("p_name"), F.lit(" "), F.lit("-"))
     return tables.table(spark, d, "part").select(F.col("p_partkey").alias("id"), name.rlike(text.SLUG).alias("slug_ok"), F.concat(F.lit("ebook_"), F.col("p_partkey")).rlike(text.PRICE_KEY).alias("key_ok"))

@@ -89,7 +89,7 @@ def history(column: Column) -> Column:
 
 
 def additions(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Terms, scenarios and answers of Markdown files with a glossary, a scenario and an answer part."""
+    """Terms, scenarios and answers of Markdown files with a glossary, a scenario and an answer part. The headings and line forms in the patterns are fixed values of these files."""
     part = lambda a, b: F.regexp_extract("body", rf"(?ms)^# {a}[^\n]*\n(.*?)(?=^# {b}|\z)", 1)
     sub = r"(?ms)^## (.+?) — \d+ (?:new terms|scenarios)[^\n]*\n(.*?)(?=^## |\z)"
 
