@@ -5,9 +5,9 @@ distance, in both. So each place belongs to one occurrence of such a least hash,
 of one hash need comparing. Occurrences with equal surroundings, by 64 bits of BLAKE2 beside the hash, are
 one class; its first and its last occurrence stand for it, with the bytes of their own documents. The
 segments of a hash are compared by their suffixes: shards of segments get a
-transform each (over symbols that stand for 200 bytes; strings with a symbol that occurs once are left out),
-two transforms are merged by interleave refinement, which sorts the merged rows by one more symbol each
-round and marks where common prefixes end, and the intervals that two rounds leave undivided are the
+transform each (over symbols that stand for 100 bytes; strings with a symbol that occurs once are left out),
+two transforms are merged by interleave refinement, which deals the merged rows by one more symbol each
+round, by counts and without a sort, and gives the length of common prefixes; intervals that agree in four symbols are the
 strings of 400 bytes that repeat. Equal symbols are confirmed byte by byte; where two different ones
 have one hash, the strings are told apart by SHA-256 instead.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quizmill.llm import shared, textvec
 
 WIDTH, SEED = 400, 64
-SYMBOL = 200
+SYMBOL = 100
 SLICE = 1 << 20
 #: Different segments of a hash that are compared in one place, and starts in a range beyond that.
 GROUP, RANGE = 2048, 32
@@ -118,10 +118,11 @@ def segment_limit(width: int = WIDTH, seed: int = SEED) -> int:
 
 
 class Transform:
-    """Rows of a collection's suffixes in the order of their first symbols: place, and the symbol before (0: none)."""
+    """Rows of a collection's suffixes in the order of their first symbols: place, the symbol before (0: none),
+    and ``follow``: the rows by the symbol before, so in the order of the suffixes that begin one symbol earlier."""
 
-    def __init__(self, place: np.ndarray, before: np.ndarray):
-        self.place, self.before = place, before
+    def __init__(self, place: np.ndarray, before: np.ndarray, follow: np.ndarray):
+        self.place, self.before, self.follow = place, before, follow
 
 
 def stable_order(x: np.ndarray) -> np.ndarray:
@@ -153,7 +154,8 @@ def transform(place: np.ndarray, symbols: np.ndarray, step: int, depth: int) ->
         rank = ranked(rank * (int(rank.max(initial=0)) + 1) + later)
         reach *= 2
     order = place[stable_order(rank)]
-    return Transform(order, _previous(order, symbols, step))
+    before = _previous(order, symbols, step)
+    return Transform(order, before, stable_order(before))
 
 
 def _previous(place: np.ndarray, symbols: np.ndarray, step: int) -> np.ndarray:
@@ -163,28 +165,42 @@ def _previous(place: np.ndarray, symbols: np.ndarray, step: int) -> np.ndarray:
 
 
 def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray]:
-    """The transform of both collections, and for each of its rows whether the first ``depth`` symbols differ from the row above.
+    """The transform of both collections, and for each of its rows how many symbols, up to ``depth``, it has in common with the row above.
 
-    Interleave refinement: ``z`` says of each merged row which transform it is from. Sorting the rows
-    stably by the symbol before each suffix turns an order by k symbols into one by k + 1.
+    Interleave refinement: ``z`` says of each merged row which transform it is from. A row of ``a`` moves
+    behind all rows with a smaller symbol before and those with the same one that stand above it. Those of
+    ``a`` are known from ``follow``, those of ``b`` are counted against ``z``; what remains free is for the rows
+    of ``b``. That turns an order by k symbols into one by k + 1, in which only the rows that begin a
+    block of k symbols, and those where the new symbol differs, have less than k + 1 in common with the row above.
     """
-    z = np.zeros(len(a.place) + len(b.place), bool)
-    z[len(a.place) :] = True
-    block = np.zeros(len(z), np.int64)  # rows that agree in their first k symbols
+    n, m = len(a.place), len(b.place)
+    own, base = np.arange(n), m + 1
+    of_a = a.before[a.follow].astype(np.int64) * base
+    of_b = b.before[b.follow].astype(np.int64) * base + b.follow
+    z = np.arange(n + m) >= n
+
+    def moved() -> np.ndarray:
+        above = (np.flatnonzero(~z) - own)[a.follow]  # rows of b above each row of a
+        out = np.ones(n + m, bool)
+        out[own + np.searchsorted(of_b, of_a + above)] = False
+        return out
+
+    def woven(z: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.empty(n + m, x.dtype)
+        out[~z], out[z] = x, y
+        return out
+
+    symbol_a, symbol_b = a.before[a.follow], b.before[b.follow]
+    block, common = np.zeros(n + m, np.int64), np.zeros(n + m, np.int64)
     for _ in range(depth):
-        before = np.empty(len(z), a.before.dtype)
-        before[~z], before[z] = a.before, b.before
-        order = stable_order(before)
-        sorted_, was = before[order], block[order]
-        z = z[order]
-        new = np.ones(len(z), bool)
-        new[1:] = (sorted_[1:] != sorted_[:-1]) | (was[1:] != was[:-1])
-        new |= sorted_ == 0  # a string's end is unlike any other
-        block = np.cumsum(new)
-    place, before = np.empty(len(z), a.place.dtype), np.empty(len(z), a.before.dtype)
-    place[~z], place[z] = a.place, b.place
-    before[~z], before[z] = a.before, b.before
-    return Transform(place, before), new
+        to = moved()
+        symbol, was = woven(to, symbol_a, symbol_b), woven(to, block[~z][a.follow], block[z][b.follow])
+        new = np.ones(n + m, bool)
+        new[1:] = (symbol[1:] != symbol[:-1]) | (was[1:] != was[:-1]) | (symbol[1:] == 0)  # a string's end is unlike any other
+        common += ~new
+        block, z = np.cumsum(new), to
+    follow = woven(moved(), np.flatnonzero(~z)[a.follow], np.flatnonzero(z)[b.follow])
+    return Transform(woven(z, a.place, b.place), woven(z, a.before, b.before), follow), common
 
 
 def repeated_starts(buf: np.ndarray, ends: np.ndarray, starts: np.ndarray, width: int = WIDTH, symbol: int = SYMBOL, shard: int = SHARD) -> np.ndarray:
@@ -216,27 +232,28 @@ def repeated_starts(buf: np.ndarray, ends: np.ndarray, starts: np.ndarray, width
     symbols[~used] = 0
     for k in range(depth + 1):  # suffixes: all places with a symbol, and the end of each string
         inside[start + k * symbol] = True
+    shard = min(shard, -(-int(ends[-1]) // 2))  # two shards at least, but for a single segment
     cuts = np.searchsorted(ends, np.arange(0, int(ends[-1]) + shard, shard))
     cuts = np.unique(np.clip(cuts, 0, len(ends) - 1))
     parts = []
     for x, y in zip(cuts[:-1], cuts[1:], strict=True):
         lo, hi = int(at[x]), int(at[y - 1] + np.diff(ends)[y - 1] + symbol)
         t = transform(np.flatnonzero(inside[lo:hi]), symbols[lo:hi], symbol, depth)
-        parts.append(Transform(t.place + lo, t.before))
-    new = None
+        parts.append(Transform(t.place + lo, t.before, t.follow))
+    common = None
     if len(parts) == 1:
-        parts.append(Transform(np.zeros(0, parts[0].place.dtype), np.zeros(0, parts[0].before.dtype)))
+        parts.append(Transform(*(x[:0] for x in (parts[0].place, parts[0].before, parts[0].follow))))
     while len(parts) > 1:
         joined = []
         for k in range(0, len(parts) - 1, 2):
-            t, new = merge(parts[k], parts[k + 1], depth)
+            t, common = merge(parts[k], parts[k + 1], depth)
             joined.append(t)
         parts = joined + parts[2 * len(joined) :]
     order = parts[0].place
     valid = np.zeros(len(wide), bool)
     valid[start] = True
     keep = valid[order]
-    block = np.cumsum(new)[keep]
+    block = np.cumsum(common < depth)[keep]
     order = order[keep]
     same = np.zeros(len(order) + 1, bool)
     same[1:-1] = block[1:] == block[:-1]

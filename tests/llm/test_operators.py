@@ -90,6 +90,34 @@ def test_op1_transforms_merge_to_the_order_of_all_suffixes():
         assert got.tolist() == want
 
 
+def test_op1_merge_counts_and_derives_prefix_lengths(monkeypatch):
+    rng = np.random.default_rng(11)
+    for step in (1, 2):
+        strings = [rng.integers(1, 3, int(n)) for n in rng.integers(1, 12, 40)]
+        place_of, at, symbols = [], 0, []
+        for s in strings:  # suffixes step apart, the end of each string included
+            place_of.append(at + step * np.arange(len(s) + 1))
+            wide = np.zeros(step * (len(s) + 1), np.int32)
+            wide[: step * len(s) : step] = s
+            symbols.append(wide)
+            at += len(wide)
+        symbols, depth = np.concatenate(symbols), 4
+        parts = [repeats.transform(np.concatenate(place_of[k : k + 10]), symbols, step, depth) for k in range(0, 40, 10)]
+        with monkeypatch.context() as m:
+            for name in ("sort", "argsort", "lexsort", "unique", "partition", "argpartition"):
+                m.setattr(np, name, None)
+            m.setattr(repeats, "stable_order", None)
+            left, right = (repeats.merge(parts[k], parts[k + 1], depth)[0] for k in (0, 2))
+            merged, common = repeats.merge(left, right, depth)
+        assert sorted(merged.place.tolist()) == sorted(np.concatenate(place_of).tolist())
+        suffix = {int(p): s[k:].tolist()[:depth] for s, ps in zip(strings, place_of, strict=True) for k, p in enumerate(ps)}
+        rows = [suffix[p] for p in merged.place.tolist()]
+        assert rows == sorted(rows)  # a string that ends stands before one that goes on
+        alike = lambda x, y: next((k for k, (i, j) in enumerate(zip(x, y, strict=False)) if i != j), min(len(x), len(y)))
+        assert common.tolist() == [0] + [alike(x, y) for x, y in zip(rows, rows[1:], strict=False)]
+        assert merged.before[merged.follow].tolist() == sorted(merged.before.tolist())
+
+
 def shingles(text):
     w = WORD.findall((text or "").translate(LOWER))
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
