@@ -300,31 +300,35 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 RUNS = "h long, sh long, a long, b long"
-SEGMENT = "key long, h long, sh long, off long, p long, n long, body binary"
+SEGMENT = "key long, h long, sh long, t int, off long, p long, n long, body binary"
 
 
 def _cut(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Segments with their bytes: of a class of several occurrences the first and the last, of another its only one."""
+    """Segments with their bytes: of a class of several occurrences the first and the last (``t``), of another its only one.
+
+    Repeated rows give the same segments; each task leaves out what it has cut before, and who reads them the rest."""
     ends = F.when(F.col("m") > 1, F.array("one", "two")).otherwise(F.array("one"))
     each = classes.select("h", "sh", F.posexplode(ends).alias("t", "at"))
     wanted = each.groupBy("at.doc_id", "at.text_key").agg(F.collect_list(F.struct("h", "sh", "t", F.col("at.lo").alias("lo"), F.col("at.n").alias("n"), F.col("at.p").alias("p"))).alias("cuts"))
     wanted = wanted.withColumnsRenamed({"doc_id": "w_id", "text_key": "w_key"})
-    found = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.w_id) & (docs.text_key == wanted.w_key)).select("text", "cuts")
+    found = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.w_id) & (docs.text_key == wanted.w_key)).select("w_id", "w_key", "text", "cuts")
 
     def run(batches):
+        done = set()
         for batch in batches:
-            for text, cuts in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                raw = text.as_buffer().to_pybytes()
-                part = _segments([(c["h"], c["h"], c["sh"], 0, c["p"], c["n"], raw[c["lo"] : c["lo"] + c["n"] - 1 + WIDTH]) for c in cuts])
-                yield part.append_column("t", pa.array([c["t"] for c in cuts], pa.int32()))
+            for *row, text, cuts in zip(*(batch.column(k).to_pylist() for k in (0, 1)), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                if tuple(row) not in done:
+                    done.add(tuple(row))
+                    raw = text.as_buffer().to_pybytes()
+                    yield _segments([(c["h"], c["h"], c["sh"], c["t"], 0, c["p"], c["n"], raw[c["lo"] : c["lo"] + c["n"] - 1 + WIDTH]) for c in cuts])
 
-    return found.mapInArrow(run, f"{SEGMENT}, t int").dropDuplicates(["h", "sh", "t"]).drop("t")  # repeated rows give the same segments
+    return found.mapInArrow(run, SEGMENT)
 
 
 def _segments(rows) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 6 + [pa.binary()]
-    names = ["key", "h", "sh", "off", "p", "n", "body"]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
+    kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3 + [pa.binary()]
+    names = ["key", "h", "sh", "t", "off", "p", "n", "body"]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names=names)
 
 
 def _split(segments: DataFrame, size: int) -> DataFrame:
@@ -333,11 +337,11 @@ def _split(segments: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for _, h, sh, off, p, n, body in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            for _, h, sh, t, off, p, n, body in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 for a in range(-((off - p) % size), n, size):  # ranges begin at multiples of size, counted from the hash's place
                     x, y = max(a, 0), min(a + size, n)
                     core = hashlib.blake2b(body[a + size - 1 : a + WIDTH], digest_size=8).digest()  # also where the range lacks its first or last starts
-                    rows.append((int.from_bytes(core, "little", signed=True), h, sh, off + x, p, y - x, body[x : y - 1 + WIDTH]))
+                    rows.append((int.from_bytes(core, "little", signed=True), h, sh, t, off + x, p, y - x, body[x : y - 1 + WIDTH]))
                 if len(rows) > 4096:
                     yield _segments(rows)
                     rows = []
@@ -351,28 +355,30 @@ def _compare(segments: DataFrame) -> DataFrame:
     """(h, sh, a, b): runs of starts, within their class's segment, whose strings start elsewhere too."""
 
     def engine(rows):
-        body = [r[6] for r in rows]
+        body = [r[7] for r in rows]
         ends = np.cumsum([0, *map(len, body)])
-        n = np.array([r[5] for r in rows])
+        n = np.array([r[6] for r in rows])
         hit = repeated_starts(np.frombuffer(b"".join(body), np.uint8), ends, n)
-        for (_, h, sh, off, _, _, _), a, b in zip(rows, ends[:-1], ends[1:], strict=True):
+        for (_, h, sh, _, off, _, _, _), a, b in zip(rows, ends[:-1], ends[1:], strict=True):
             if hit[a:b].any():
                 for x, y in zip(*runs_of(hit[a:b]), strict=True):
                     yield h, sh, off + int(x), off + int(y)
 
     def run(batches):
-        pending, size, last = [], 0, None
+        pending, size, last = [], 0, ()
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if size >= RUN and row[0] != last:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if row[:5] == last:  # a repeated row's
+                    continue
+                if size >= RUN and row[0] != last[0]:
                     yield _runs(engine(pending))
                     pending, size = [], 0
                 pending.append(row)
-                size, last = size + len(row[6]), row[0]
+                size, last = size + len(row[7]), row[:5]
         if pending:
             yield _runs(engine(pending))
 
-    return segments.repartition("key").sortWithinPartitions("key").mapInArrow(run, RUNS)
+    return segments.repartition("key").sortWithinPartitions("key", "h", "sh", "t", "off").mapInArrow(run, RUNS)
 
 
 def _runs(rows) -> pa.RecordBatch:
@@ -398,8 +404,8 @@ def covered(docs: DataFrame, group: int = GROUP) -> DataFrame:
     classes = shared.stored(classes.join(by_hash, "h"), "segments")
     segments = shared.stored(_cut(classes, docs), "segments")
     runs = spark.createDataFrame([], RUNS)
+    tally = classes.groupBy(F.col("h").alias("key")).agg(F.sum(F.when(F.col("m") > 1, 2).otherwise(1)).alias("rows"))
     for size in (RANGE, 1, None):
-        tally = segments.groupBy("key").agg(F.count("*").alias("rows"))
         large = tally.where(F.col("rows") > group)
         if size is None or large.isEmpty():
             runs = runs.unionByName(_compare(segments) if size is not None else _equal(segments))
@@ -408,7 +414,11 @@ def covered(docs: DataFrame, group: int = GROUP) -> DataFrame:
         if large.count() <= SENT:  # else both sides are dealt by key, and Spark splits large keys
             large = F.broadcast(large)
         runs = runs.unionByName(_compare(segments.join(large, "key", "left_anti")))
-        segments = shared.stored(_split(segments.join(large, "key", "left_semi"), size), "segments")
+        segments = segments.join(large, "key", "left_semi")
+        if size == RANGE:
+            segments = segments.dropDuplicates(["h", "sh", "t"])
+        segments = shared.stored(_split(segments, size), "segments")
+        tally = segments.groupBy("key").agg(F.count("*").alias("rows"))
     runs = shared.stored(runs.distinct(), "runs")
     return found.join(runs, ["h", "sh"]).select("doc_id", "text_key", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
 
