@@ -118,6 +118,25 @@ def test_op1_merge_counts_and_derives_prefix_lengths(monkeypatch):
         assert merged.before[merged.follow].tolist() == sorted(merged.before.tolist())
 
 
+@pytest.mark.parametrize("group", [repeats.GROUP, 2])
+def test_op1_repeated_rows_in_many_parts(spark, group):
+    passage = prose(21, 90)
+    rows = [(k, prose(300 + k, 60) + passage + prose(400 + k, 40)) for k in range(8)]
+    rows += [(k, t) for k, t in rows[:3] for _ in range(9)] + [(None, rows[0][1])] * 5 + [(50, prose(22, 120))]
+    seen = Counter(t.encode()[k : k + 400] for _, t in rows for k in range(len(t.encode()) - 399))
+    want = []
+    for i, t in rows:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 399):
+            if seen[b[k : k + 400]] > 1:
+                gone[k : k + 400] = b"\1" * 400
+        want.append((i, len(b), bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(17)
+    got = [(r.doc_id, r.n_bytes, bytes(r.kept_text)) for r in repeats.removed(docs, group=group).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def shingles(text):
     w = WORD.findall((text or "").translate(LOWER))
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
