@@ -2,7 +2,7 @@
 
 A document's set holds the hashes of its distinct 5-word shingles. Its sketch has 128 registers: in
 the bucket that a hash's top bits name, the leading zeros of the least remaining hash and the ten bits
-after them. Equal sets are one class from the start. Bands of registers propose pairs; the
+after them. Sets that are equal by a cryptographic digest of the whole sorted set are one class from the start. Bands of registers propose pairs; the
 Jaccard estimate, corrected for registers that agree by chance, and the sizes turn most away; full
 sets decide. First each member of a bucket meets only the bucket's least member. Buckets that
 this leaves in several components are worked through in blocks: the members outside the least
@@ -18,6 +18,8 @@ The least doc_id of a component ignores null ids.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -104,7 +106,7 @@ def may_link(x, y, n_x, n_y, percent: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, c (16 bytes that stand for the set; null for the empty one), registers."""
+    """doc_id, text_key, n_shingles, c (16 bytes of BLAKE2b over the whole sorted set; null for the empty one), registers."""
     rows = shared.texts_of(docs, "doc_id").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
     def run(batches):
@@ -112,8 +114,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             buf, ends = shared.rows_of(batch.column(2))
             for a, b in shared.slices(ends, SLICE):
                 sets = shingle_sets(buf[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
-                with np.errstate(over="ignore"):
-                    marks = [np.array([s.sum(dtype=np.uint64), textvec.mix(s ^ U(0xA0761D6478BD642F)).sum(dtype=np.uint64)]).tobytes() if len(s) else None for s in sets]
+                marks = [hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "text_key", "n_shingles", "c", "registers"])
 
     return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, c binary, registers binary")
