@@ -124,7 +124,7 @@ def tips(users: DataFrame, counts: DataFrame, limit: int = 3) -> DataFrame:
     return out.select("user_id", F.slice(F.concat(triggered, rotated), 1, limit).alias("tips"))
 
 
-def rotated(rows: DataFrame, start: Column, size: int, place: str = "place") -> DataFrame:
+def rotated(rows: DataFrame, start: Column, size: Column | int, place: str = "place") -> DataFrame:
     """``turn``: the place of each row when the list begins at ``start`` and wraps around."""
     return rows.withColumn("turn", F.pmod(F.col(place) - start, F.lit(size)).cast("long"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quizmill.functions import numbers, text
 from quizmill.operators import planner
@@ -112,9 +113,13 @@ def saved_blocks(spark, d):
     return e.select(F.col("event_id").alias("id"), minutes.alias("minutes"), focus.alias("focus"), saved.alias("saved"), short.alias("too_short"), planner.phase(F.col("value") * 60).alias("phase"))
 
 
-@query("SELECT r_regionkey AS place, (r_regionkey-3+5)%5 AS turn FROM region")
+@query("SELECT id, place, (place-user_id%n+n)%n AS turn FROM (SELECT o_orderkey AS id, o_custkey AS user_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)-1 AS place, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)")
 def rotation(spark, d):
-    return planner.rotated(tables.table(spark, d, "region").select(F.col("r_regionkey").alias("place")), F.lit(3), 5).select("place", "turn")
+    """Each user's list, which begins at another place for each and wraps around."""
+    own = Window.partitionBy("o_custkey")
+    size = F.count("*").over(own)
+    rows = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.row_number().over(own.orderBy("o_orderkey")) - 1).cast("long").alias("place"), (F.col("o_custkey") % size).alias("start"), size.alias("size"))
+    return planner.rotated(rows, F.col("start"), F.col("size")).select("id", "place", "turn")
 
 
 TL = f"SELECT id, hours, CASE WHEN id%11=0 THEN NULL ELSE id%60 END AS days, CAST(id%9 AS DOUBLE) AS hpw FROM ({ESTIMATE})"
