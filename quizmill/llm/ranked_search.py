@@ -36,6 +36,9 @@ BLOCK_BYTES = 4 << 20
 BEST = 20
 # Fixed values of the score: saturation, length's share in percent, and the scales of impacts and weights
 GAIN, LONG, IMPACT, WEIGHT = 12, 25, 1_000_000_000, 1000
+#: A shard is a row of megabytes. Parquet's writer looks at its size every hundred rows only, and a reader takes a row group at once, so that
+#: tasks would hold as much as a hundred shards; looked at after every row, a group has few, however many shards a task makes.
+GROUPS = {"parquet.block.size": str(SHARD), **{f"parquet.{kind}.size.row.check.{end}": "1" for kind in ("block", "page") for end in ("min", "max")}}
 
 _TERM = np.zeros(256, bool)
 _TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -126,7 +129,7 @@ def index(docs: DataFrame) -> Index:
     """Every row's postings, as a table in the shared folder. docs: doc_id, text; other columns are not read."""
     rows = shared.texts_of(docs, "doc_id")
     n, total = rows.select("text").mapInArrow(_sizes, "docs long, terms long").agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
-    return Index(shared.stored(rows.mapInArrow(_builder(n, total), _SCHEMA), "postings"), n)
+    return Index(shared.stored(rows.mapInArrow(_builder(n, total), _SCHEMA), "postings", GROUPS), n)
 
 
 class Queries:

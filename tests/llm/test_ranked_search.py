@@ -5,10 +5,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from cases import SCHEMA, documents, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quizmill.llm import oracle, queries, ranked_search
 
@@ -102,3 +104,13 @@ def test_best(rows, k):
     got = [(int(scores[j]), bool(known[j]), int(ids[j])) for j in ranked_search.best(scores, ids, known, k)]
     want = sorted(((s, n, i) for s, i, n in rows if s > 0), key=lambda x: (-x[0], x[1], x[2]))[:k]
     assert got == want
+
+
+def test_row_groups_hold_few_shards(spark):
+    """One task makes many shards; what a reader or writer holds at once does not grow with their number."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(300_000)), lambda k: F.hex(F.xxhash64(k, "doc_id")))
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text")).coalesce(1)
+    corpus = ranked_search.index(docs)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in corpus.shards.inputFiles()]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert sum(groups) == 10 and max(groups) <= 2
