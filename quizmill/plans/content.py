@@ -59,7 +59,7 @@ AW = f"SELECT 'app-'||lpad(CAST(p_partkey AS VARCHAR),6,'0') AS slug, p_brand AS
 @query(f"SELECT f.query_id, f.slug, array_to_string(w[1:4],'|') AS why FROM ({FOUND}) f JOIN (SELECT query_id, slug, list_filter(a, lambda x, i: list_position(a, x)=i) AS w FROM (SELECT query_id, slug, {WHY} AS a FROM ({QN}) CROSS JOIN ({AW}))) r ON r.query_id=f.query_id AND r.slug=f.slug")
 def search_reasons(spark, d):
     """By what each candidate was found."""
-    return search.search(_queries(spark, d), _apps(spark, d)).select("query_id", "slug", F.array_join("why", "|").alias("why"))
+    return search.reasons(_queries(spark, d), _apps(spark, d)).select("query_id", "slug", F.array_join("why", "|").alias("why"))
 
 
 @query(f"WITH f AS ({FOUND}), n AS (SELECT query_id, count(DISTINCT slug) FILTER (WHERE slug IN ('app-000001','app-000002','app-000003')) AS n, max(slug) FILTER (WHERE rank=1) AS slug FROM f GROUP BY 1) SELECT n_nationkey AS query_id, CASE WHEN slug IS NULL THEN 'none' WHEN n>=2 THEN 'narrow' ELSE 'pick' END AS outcome, slug, CASE WHEN n>=2 THEN 'first' END AS decision FROM nation LEFT JOIN n ON n_nationkey=query_id")
