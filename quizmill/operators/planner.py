@@ -69,11 +69,12 @@ def phase(seconds: Column) -> Column:
 
 def progress(blocks: DataFrame, hours: float, total_blocks: int, days_left: int | None) -> DataFrame:
     """Per user: minutes, hours, full blocks, percent of the estimate, and blocks a week until the target."""
-    done = blocks.where("minutes > 0").groupBy("user_id").agg(F.sum("minutes").alias("minutes"), F.count_if(F.col("minutes") >= WORK_MINUTES * 0.8).alias("blocks_done"))
+    total = F.round(F.sum("minutes"), 6)  # what is rounded next must not hang on the order in which doubles were added
+    done = blocks.where("minutes > 0").groupBy("user_id").agg(total.alias("minutes"), F.count_if(F.col("minutes") >= WORK_MINUTES * 0.8).alias("blocks_done"))
     part = F.col("minutes") / (hours * 60) * 100 if hours > 0 else F.lit(100.0)
     left = F.greatest(F.lit(0), F.lit(total_blocks) - F.col("blocks_done"))
     week = F.ceil(left / (days_left / 7.0)).cast("long") if days_left else F.lit(None).cast("long")
-    return done.select("user_id", F.round("minutes", 6).alias("minutes"), half_up(F.col("minutes") / 6).alias("tenths_of_hours"), "blocks_done", F.least(F.lit(100), half_up(part)).cast("long").alias("percent"), week.alias("blocks_per_week"))
+    return done.select("user_id", "minutes", half_up(F.col("minutes") / 6).alias("tenths_of_hours"), "blocks_done", F.least(F.lit(100), half_up(part)).cast("long").alias("percent"), week.alias("blocks_per_week"))
 
 
 def by_activity(blocks: DataFrame) -> DataFrame:

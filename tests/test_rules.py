@@ -281,3 +281,10 @@ def test_signatures(spark, secret):
     rows = [(body, f"t={at},v1={sign}", at + 300), (body, f"t={at},v1={sign}", at + 301), (body + " ", f"t={at},v1={sign}", at), (body, f"t={at},v0={sign}", at), (body, f"v1={sign}", at), (body, f"t={at},v1=00,v1={sign}", at), (body, None, at), (None, f"t={at},v1={sign}", at)]
     good = events.verified(spark.createDataFrame(rows, "body string, signature string, received long"), secret)
     assert sorted((r.signature, r.received) for r in good.collect()) == sorted([(rows[0][1], at + 300), (rows[5][1], at)])
+
+
+def test_progress_does_not_hang_on_the_order_of_sums(spark):
+    """Ten times 0.3 minutes are three, half of a tenth of an hour, though doubles add up to less."""
+    blocks = spark.createDataFrame([(1, 0.3)] * 10, "user_id long, minutes double").coalesce(1)
+    row = planner.progress(blocks, 28.5, 29, 21).first()
+    assert (row.minutes, row.tenths_of_hours) == (3.0, 1)
