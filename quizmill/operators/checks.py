@@ -72,3 +72,12 @@ def overlapping(texts: DataFrame, items: DataFrame, least: float) -> DataFrame:
     met = text_has.join(rare, "word").select("item", "text").distinct()
     both = met.join(i, "item").join(texts.select("text", F.col("words").alias("has")), "text")
     return both.select("item", "text", text.overlap(F.col("words"), F.col("has")).alias("share")).where(F.col("share") >= least)
+
+
+def meeting(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(item, text, share) of all pairs that share a word. texts: text (distinct), words; items: item (distinct), words; words are distinct.
+
+    Words that no item has are dropped where they are read; the pairs of a text are counted in the task that holds its words where the items' words are broadcast."""
+    of = items.select("item", F.size("words").alias("n"), F.explode("words").alias("word"))
+    met = texts.select("text", F.explode("words").alias("word")).join(of, "word").groupBy("item", "text")
+    return met.agg((F.count("*") / F.first("n").cast("double")).alias("share"))

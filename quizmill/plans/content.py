@@ -21,12 +21,12 @@ def normal_texts(spark, d):
     return docs.select("doc_id", F.md5("n").alias("norm"), F.size(text.tokens_of(F.col("n"))).cast("long").alias("tokens"))
 
 
-@query(f"WITH i AS (SELECT item_id, len(a) AS n, unnest(a) AS w FROM (SELECT item_id, {CW.format('text')} AS a FROM benchmark)), t AS (SELECT doc_id, unnest({CW.format('text')}) AS w FROM documents) SELECT item_id, doc_id, count(*)/CAST(any_value(n) AS DOUBLE) AS share FROM i JOIN t USING (w) GROUP BY 1,2 HAVING count(*)/CAST(any_value(n) AS DOUBLE)>=0.6")
+@query(f"WITH i AS (SELECT item_id, len(a) AS n, unnest(a) AS w FROM (SELECT item_id, {CW.format('text')} AS a FROM benchmark)), t AS (SELECT doc_id, unnest({CW.format('text')}) AS w FROM documents) SELECT item_id, doc_id, count(*)/CAST(any_value(n) AS DOUBLE) AS share FROM i JOIN t USING (w) GROUP BY 1,2")
 def word_overlap(spark, d):
-    """Every document with every item of whose words it has as many as the checks ask of a choice."""
+    """Every document against every item with which it shares a word."""
     docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("text"), text.check_words(F.col("text")).alias("words"))
     items = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("item"), text.check_words(F.col("text")).alias("words"))
-    return checks.overlapping(docs, items, checks.ENOUGH).select(F.col("item").alias("item_id"), F.col("text").alias("doc_id"), "share")
+    return checks.meeting(docs, items).select(F.col("item").alias("item_id"), F.col("text").alias("doc_id"), "share")
 
 
 def _apps(spark, d):

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quizmill import plans
 from quizmill.operators import checks
 from quizmill.sources import documents
 
@@ -29,6 +30,17 @@ def test_a_common_word_joins_nothing_alone(spark):
     assert got.count() == 2000 and got.where("share < 1").count() == 0
 
 
+def test_pairs_that_share_one_word_are_found(spark):
+    """A pair meets however small its share is, in the operator and in the query."""
+    r = random.Random(5)
+    some = lambda n: sorted({f"w{r.randint(0, 60)}" for _ in range(n)})
+    texts, items = [(k, some(r.randint(0, 20))) for k in range(60)], [(k, some(r.randint(0, 12))) for k in range(30)]
+    got = checks.meeting(spark.createDataFrame(texts, "text int, words array<string>"), spark.createDataFrame(items, "item int, words array<string>"))
+    want = {(i, t): len(set(a) & set(b)) / len(a) for i, a in items for t, b in texts if set(a) & set(b)}
+    assert min(want.values()) < 0.2 and {(x.item, x.text): x.share for x in got.collect()} == pytest.approx(want)
+    assert "HAVING" not in plans.SQL["word_overlap"]
+
+
 def test_only_the_asked_files_are_opened(spark, tmp_path):
     path = str(tmp_path / "banks")
     documents.write_banks(spark.range(30).select(F.concat(F.lit("s"), F.col("id") % 5).alias("slug"), F.concat(F.lit("q"), "id").alias("id"), F.col("id").cast("int").alias("answer")), path)
