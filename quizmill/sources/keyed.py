@@ -64,12 +64,16 @@ class KeyedTable:
             entry = F.when(F.col(f"{column}.value").isNotNull(), entry)
         return (F.max if policy.startswith("last") else F.min)(entry).alias(column)
 
-    def _store(self, entries: DataFrame) -> str | None:
-        """One entry of each key as a new folder; None if there is none."""
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """The rows by key, each bucket in parts of its own: the only shuffle, so rows come as narrow as they are and are merged where they are written."""
+        own = {"_bucket": self._bucket({c: F.col(c) for c in self.keys}), "_part": F.pmod(F.hash(*self.keys), F.lit(self.buckets))}
+        return rows.withColumns(own).repartition(*own)
+
+    def _store(self, dealt: DataFrame) -> str | None:
+        """One entry of each key of rows that are dealt as a new folder; None if there is none."""
         name = uuid.uuid4().hex
-        merged = entries.groupBy(*self.keys).agg(*(self._best(c) for c in self.policies), F.bool_or("_inserted").alias("_inserted"))  # a hot key's rows are merged in each task first
-        dealt = merged.withColumn("_bucket", self._bucket({c: F.col(c) for c in self.keys})).repartition(self.buckets, "_bucket")
-        dealt.write.partitionBy("_bucket").parquet(f"{self.path}/data/folder={name}")
+        merged = dealt.groupBy("_bucket", "_part", *self.keys).agg(*(self._best(c) for c in self.policies), F.bool_or("_inserted").alias("_inserted"))
+        merged.drop("_part").write.partitionBy("_bucket").parquet(f"{self.path}/data/folder={name}")
         return name if any(n.startswith("_bucket=") for n in places.names(self.spark, f"{self.path}/data/folder={name}")) else None
 
     def write(self, rows: DataFrame, writer: str, batch: int, insert: bool = True) -> bool:
@@ -78,9 +82,10 @@ class KeyedTable:
         Columns with a policy that the rows lack are not written."""
         if self.manifest()["done"].get(writer, -1) >= batch:
             return False
+        dealt = self._dealt(rows.select(*(F.col(c).cast(t).alias(c) for c, t in self.types.items() if c in rows.columns)))
         at = F.struct(*((F.col(c) if c in rows.columns else F.lit(None)).cast(self.types[c]).alias(f"o{k}") for k, c in enumerate(self.order)), F.lit(None).cast("long").alias("seq"))
-        entry = lambda c: F.struct(at.alias("at"), F.col(c).cast(self.types[c]).alias("value")) if c in rows.columns else F.lit(None).cast(self.schema[c].dataType)
-        name = self._store(rows.select(*(F.col(c).cast(self.types[c]).alias(c) for c in self.keys), *(entry(c).alias(c) for c in self.policies), F.lit(insert).alias("_inserted")))
+        entry = lambda c: F.struct(at.alias("at"), F.col(c).alias("value")) if c in rows.columns else F.lit(None).cast(self.schema[c].dataType)
+        name = self._store(dealt.select("_bucket", "_part", *self.keys, *(entry(c).alias(c) for c in self.policies), F.lit(insert).alias("_inserted")))
 
         def change(old: dict) -> dict | None:
             if old["done"].get(writer, -1) >= batch:
@@ -118,7 +123,7 @@ class KeyedTable:
         merged = {n for n, _ in old["folders"]}
         if len(merged) < 2:
             return False
-        name = self._store(self._entries(old))
+        name = self._store(self._dealt(self._entries(old)))
 
         def change(now: dict) -> dict | None:
             if not merged <= {n for n, _ in now["folders"]}:

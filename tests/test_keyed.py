@@ -152,3 +152,10 @@ def test_put_once(spark, tmp_path):
     assert places.put_once(spark, path, "é") and not places.put_once(spark, path, "b")
     assert places.text(spark, path) == "é" and places.names(spark, f"file://{tmp_path}/x") == [".1.json.crc", "1.json"] or places.names(spark, f"file://{tmp_path}/x") == ["1.json"]
     assert keyed.EMPTY["number"] == 0
+
+
+def test_a_write_shuffles_once(spark, table):
+    """Rows are merged in the task that writes their bucket."""
+    dealt = table._dealt(spark.range(100).select(F.col("id").alias("k"), F.lit("x").alias("a")))
+    plan = dealt.groupBy("_bucket", "_part", "k").agg(F.min("a"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
