@@ -49,9 +49,16 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("session_id"), F.col("l_partkey").alias("id")).agg((F.min("l_linenumber") % 4).alias("picked"))
 
 
+#: Purchases that one task of a join should hold at most.
+LINES = 500_000
+
+
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("customer"), F.col("l_partkey").alias("slug"), F.col("l_orderkey").alias("session"), F.col("l_linenumber").alias("line"), F.floor(F.col("l_extendedprice") * 100 + 0.5).alias("amount"), F.col("o_orderdate").alias("created_at"))
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    parts = -(-lines.count() // LINES)  # from the files' footers
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):  # more tasks, not larger ones
+        lines, orders = lines.repartition(parts, "l_orderkey"), orders.repartition(parts, "o_orderkey")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("customer"), F.col("l_partkey").alias("slug"), F.col("l_orderkey").alias("session"), F.col("l_linenumber").alias("line"), F.floor(F.col("l_extendedprice") * 100 + 0.5).alias("amount"), F.col("o_orderdate").alias("created_at"))
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from quizmill import plans
+from quizmill.sources import tables
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents benchmark".split()
@@ -36,3 +37,11 @@ def test_query(spark, duck, name):
         assert sorted(want.columns) == columns
         at = [want.columns.index(c) for c in columns]
         assert got == sorted((tuple(plain(r[k]) for k in at) for r in want.fetchall()), key=repr)
+
+
+def test_purchases_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
+    """A task's share of the join and of the windows by session is bounded, whatever the session's number of partitions is."""
+    monkeypatch.setattr(tables, "LINES", 500)
+    df = plans.QUERIES["replayed_purchases"](spark, DATA)
+    n = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert df.rdd.getNumPartitions() == -(-n // 500) and df.count() == n
