@@ -10,11 +10,13 @@ from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Row
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quizmill.operators.drill import TOP_BOX
 from quizmill.sources import places
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -77,74 +79,103 @@ def counters(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "item_id").agg(F.count("*").alias("seen"), F.count_if(F.col("score") == 2).alias("right"))
 
 
-class InOrder(StatefulProcessor):
+class Keyed(StatefulProcessor):
+    """Events of a user, as pandas brings them. ``FIELDS``: those of an event that count, ts (seconds) and id first."""
+
+    FIELDS = ("ts", "id")
+
+    def known(self, frames: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+        """The events of each frame that have an id, nulls as None."""
+        for frame in frames:
+            frame = frame[frame["known"]]
+            columns = [[None if x != x else x for x in frame[f].tolist()] for f in self.FIELDS]
+            if len(frame):
+                yield list(zip(*columns, strict=True))
+
+    def close(self) -> None:
+        pass
+
+
+class InOrder(Keyed):
     """Holds each key's events until the watermark has passed them, and takes them in order of time and id.
 
     An event-time timer stands at the earliest event that waits. No event from before the watermark can come any more, so what is
-    taken is complete: batches may bring events in any order, and the result is that of the batch twin. ``EVENT``: the fields that wait,
-    ts (seconds) and id first. ``taken(key, events)`` yields the result rows of some events in order."""
+    taken is complete: batches may bring events in any order, and the result is that of the batch twin. The events of a batch wait as one
+    text, since every entry of a state is a call of its own. ``taken(key, events)`` gives the result rows of some events in order."""
 
-    EVENT = "ts double, id long"
+    COLUMNS: tuple[str, ...]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.EVENT)
-        self.fields = [f.split()[0] for f in self.EVENT.split(", ")]
+        self.waiting = handle.getListState("waiting", "events string")
 
-    def _wake(self, events: list[tuple]) -> None:
-        self.handle.registerTimer(math.ceil(min(events)[0] * 1000))
+    def _wait(self, events: list[tuple]) -> None:
+        self.waiting.appendValue((json.dumps(events),))
+        self.handle.registerTimer(math.ceil(min(e[0] for e in events) * 1000))
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [tuple(r[c] for c in self.fields) for r in rows if r.id is not None]
-        if new:
-            self.waiting.appendList(new)
-            self._wake([e[:2] for e in new])
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for new in self.known(rows):
+            self._wait(new)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() / 1000
-        events = [tuple(e) for e in self.waiting.get()]
+        events = [tuple(e) for (batch,) in self.waiting.get() for e in json.loads(batch)]
         rest = [e for e in events if e[0] > passed]
         if len(rest) == len(events):
             return
+        self.waiting.clear()
         if rest:
-            self.waiting.put(rest)
-            self._wake([e[:2] for e in rest])
-        else:
-            self.waiting.clear()
-        yield from self.taken(key, sorted((e for e in events if e[0] <= passed), key=lambda e: e[:2]))
+            self._wait(rest)
+        found = list(self.taken(key, sorted((e for e in events if e[0] <= passed), key=lambda e: e[:2])))
+        if found:
+            yield pd.DataFrame(found, columns=list(self.COLUMNS))
 
-    def close(self) -> None:
-        pass
 
+def keyed(events: DataFrame, late: str, processor: Keyed, schema: str, mode: str) -> DataFrame:
+    """``processor`` over the events of each user. Events without time or id are ignored, but a time without an id still moves the watermark on."""
+    at = F.timestamp_seconds("ts").alias("at")
+    # a null makes doubles of a batch's whole numbers in pandas: users go as strings, and a flag tells who has an id; a filter by id would go below the watermark
+    rows = events.where("ts is not null").select(F.col("user_id").cast("string").alias("user"), "ts", F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNotNull().alias("known"), *processor.FIELDS[2:], at)
+    found = rows.withWatermark("at", late).groupBy("user").transformWithStateInPandas(processor, f"user string, {schema}", mode, "EventTime")
+    return found.select(F.col("user").cast("long").alias("user_id"), *found.columns[1:])
 
-def in_order(events: DataFrame, keys: list[str], late: str, processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
-    """``processor`` over the events of each key. Events without time or id are ignored, but a time without an id still moves the watermark on."""
-    timed = events.where("ts is not null").withColumn("_at", F.timestamp_seconds("ts")).withWatermark("_at", late)  # a filter by id would go below the watermark
-    return timed.groupBy(*keys).transformWithState(processor, schema, mode, "EventTime")
 
+class Boxes(Keyed):
+    """The box of each item of a user: 2 moves up to three at most, 1 stays, anything else falls to 0.
 
-class Boxes(InOrder):
-    """The box of each (user, item): 2 moves up to three at most, 1 stays, anything else falls to 0."""
+    A box never exceeds three, so it is the number of moves up since the last fall, three at most: the last fall and the three latest moves
+    up after it tell it, whatever order events come in, and no event waits. What a user's items have is one text, so a batch takes one read
+    and one write of state for each user, however many items and events it brings."""
 
-    EVENT = "ts double, id long, score int"
+    FIELDS = ("ts", "id", "item_id", "score")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.box = handle.getValueState("box", "box int")
-
-    def taken(self, key, events: list[tuple]) -> Iterator[Row]:
-        old = self.box.get()
-        box = old[0] if old is not None else 0
-        for _, _, score in events:
-            box = min(box + 1, 3) if score == 2 else box if score == 1 else 0
-        self.box.update((box,))
-        yield Row(user_id=key[0], item_id=key[1], box=box)
+        self.cards = handle.getValueState("cards", "cards string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old, cards, seen = None, {}, set()
+        for events in self.known(rows):
+            if not seen:
+                old = self.cards.get()
+                cards = {item: (fall, ups) for item, fall, ups in json.loads(old[0])} if old is not None else {}
+            for ts, number, item, score in events:
+                at, (fall, ups) = [ts, number], cards.get(item, (None, []))
+                if score == 2:
+                    if fall is None or at >= fall:
+                        ups = sorted([*ups, at])[-TOP_BOX:]
+                elif score != 1 and (fall is None or at > fall):
+                    fall, ups = at, [u for u in ups if u >= at]
+                cards[item] = (fall, ups)
+                seen.add(item)
+        if seen:
+            self.cards.update((json.dumps([(item, *card) for item, card in cards.items()]),))
+            yield pd.DataFrame([(key[0], item, len(cards[item][1])) for item in seen], columns=["user", "item_id", "box"])
 
 
 def boxes(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """The box of each key as of the watermark, for update mode. events: user_id, item_id, score, ts (seconds), id; those that come later than ``late`` are dropped."""
-    return in_order(events, ["user_id", "item_id"], late, Boxes(), "user_id long, item_id string, box int", "Update")
+    """The box of each key by all events so far, for update mode. events: user_id, item_id, score, ts (seconds), id; those that come later than ``late`` are dropped."""
+    return keyed(events, late, Boxes(), "item_id string, box int", "Update")
 
 
 def tiers(events: DataFrame) -> DataFrame:
@@ -161,20 +192,21 @@ def marks(events: DataFrame) -> DataFrame:
 class Blocks(InOrder):
     """Study blocks from start and end events: a second start replaces the first, an end without a start is ignored."""
 
-    EVENT = "ts double, id long, what string, activity string"
+    FIELDS = ("ts", "id", "what", "activity")
+    COLUMNS = ("user", "activity", "started", "minutes")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.open = handle.getValueState("open", "activity string, ts double")
 
-    def taken(self, key, events: list[tuple]) -> Iterator[Row]:
+    def taken(self, key, events: list[tuple]) -> Iterator[tuple]:
         before = self.open.get()
         open_ = before
         for ts, _, what, activity in events:
             if what == "start":
                 open_ = (activity, ts)
             elif what == "end" and open_ is not None:
-                yield Row(user_id=key[0], activity=open_[0], started=open_[1], minutes=(ts - open_[1]) / 60)
+                yield key[0], open_[0], open_[1], (ts - open_[1]) / 60
                 open_ = None
             else:
                 open_ = None
@@ -186,7 +218,7 @@ class Blocks(InOrder):
 
 def blocks(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Blocks that ended before the watermark. events: user_id, what (start, end, cancel), activity, ts (seconds), id; those that come later than ``late`` are dropped."""
-    return in_order(events, ["user_id"], late, Blocks(), "user_id long, activity string, started double, minutes double", "Append")
+    return keyed(events, late, Blocks(), "activity string, started double, minutes double", "Append")
 
 
 def blocks_batch(events: DataFrame) -> DataFrame:
