@@ -118,6 +118,29 @@ def test_op1_merge_counts_and_derives_prefix_lengths(monkeypatch):
         assert merged.before[merged.follow].tolist() == sorted(merged.before.tolist())
 
 
+def test_op1_engine_sorts_packed_numbers_in_arrays_that_a_cache_holds(monkeypatch):
+    assert 8 * max(repeats.RUN, repeats.SLICE // 2) <= 1 << 20
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(97, 123, 700).astype(np.uint8) for _ in range(40)]
+    buf, ends, starts = np.concatenate(texts + texts[:30]), 700 * np.arange(71), np.full(70, 301)
+    sizes, slow = [], []
+    for name, seen in (("sort", sizes), ("unique", slow), ("argsort", slow), ("lexsort", slow)):
+        monkeypatch.setattr(np, name, lambda x, *a, _real=getattr(np, name), _seen=seen, **k: _seen.append(len(x)) or _real(x, *a, **k))
+    got = repeats.repeated_starts(buf, ends, starts)
+    inside = np.arange(700) < 301
+    assert got.reshape(70, 700).tolist() == [(inside & (k < 30 or k >= 40)).tolist() for k in range(70)]
+    assert max(slow, default=0) <= len(ends) and sum(sizes) <= 6 * len(buf)  # symbols, three orders of ranks and one by the symbol before of the strings left, confirmation
+
+
+def test_op1_runs_of_several_segments_stay_in_their_segments(spark):
+    r = np.random.default_rng(8)
+    text = lambda n: bytes(r.integers(97, 123, n).astype(np.uint8))
+    shared_, other = text(450), text(400)
+    rows = [(1, 10, 11, 0, 5, 0, 51, shared_), (1, 10, 12, 0, 7, 0, 61, text(10) + shared_), (2, 20, 21, 0, 0, 0, 1, other), (2, 20, 22, 0, 3, 0, 1, other), (3, 30, 31, 0, 0, 0, 11, text(410))]
+    got = repeats._compare(spark.createDataFrame(rows, repeats.SEGMENT)).collect()
+    assert sorted(map(tuple, got)) == [(10, 11, 5, 55), (10, 12, 17, 67), (20, 21, 0, 0), (20, 22, 3, 3)]
+
+
 @pytest.mark.parametrize("group", [repeats.GROUP, 2])
 def test_op1_repeated_rows_in_many_parts(spark, group):
     passage = prose(21, 90)
